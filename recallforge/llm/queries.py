@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing, packing, url_filter
+from . import ann, chat, fingerprint, hmm_lm, lang_id, line_dedup, mixing, near_dup, packing, url_filter
 from .common import table
 
 URL_RULES = [
@@ -18,6 +18,13 @@ URL_RULES = [
     ("block", "com", "/de/"),
 ]
 
+#: Tools that conversations may call, by name, with the JSON schemas of their arguments.
+TOOLS = {
+    "search": {"type": "object", "properties": {"query": {"type": "string", "minLength": 1}, "top_k": {"type": "integer", "minimum": 1, "maximum": 100}}, "required": ["query"], "additionalProperties": False},
+    "read": {"type": "object", "properties": {"path": {"type": "string", "minLength": 1}}, "required": ["path"], "additionalProperties": False},
+    "calculate": {"type": "object", "properties": {"expression": {"type": "string", "minLength": 1}}, "required": ["expression"], "additionalProperties": False},
+}
+
 
 def tokenizer_path() -> str:
     import public_tokenizers
@@ -25,11 +32,29 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.remove_repeated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", "n_lines", "removed_lines")
+
+
+def op2_ann_one_bit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter("vec_id % 50 = 0"), 5)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op4_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=2, similarity=0.8)
+
+
+def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.train_and_predict(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -42,12 +67,27 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_hidden_markov_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.train_and_score(table(spark, sf_dir, "documents"))
+
+
+def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.link_tool_calls(table(spark, sf_dir, "conversations"), TOOLS)
+    return found.withColumn("errors", F.array_join("errors", "; "))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
+        "op2_ann_one_bit": op2_ann_one_bit,
         "op3_mix_sources": op3_mix_sources,
+        "op4_minhash_near_dup": op4_minhash_near_dup,
+        "op5_language_mixture": op5_language_mixture,
         "op6_pack_windows": op6_pack_windows,
         "op7_url_rules": op7_url_rules,
         "op8_fingerprints": op8_fingerprints,
+        "op9_hidden_markov_lm": op9_hidden_markov_lm,
+        "op10_tool_calls": op10_tool_calls,
     }
 
 
