@@ -4,9 +4,11 @@ Each document gets a fractional number of copies, the target of its source
 divided by the source's size.  Pairs of documents of a source trade words until
 one of the two has a whole number of copies; the sum of words stays the same in
 each trade and the expected copies of each document stay what they were.  What
-remains fractional in a bucket (at most one document a source) goes up a
+remains fractional in a bucket (a few documents a source) goes up a
 reduction tree, 64 buckets to one, until one document a source is left, which a
-coin decides.  So each source's words miss the target by one document at most.
+coin decides.  The smallest documents of a bucket sit out until the root, where
+the larger ones trade with all of them at once; so a source's words miss the
+target by the size of a small document, and never by more than one document.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from .common import mix64, staged, text_buffer, text_key, word_counts
 
 ROWS_PER_BUCKET = 2048
 FAN_IN = 64
+KEEP = 8
 EPS = 1e-9
 
 
@@ -65,28 +68,69 @@ def source_targets(sizes: DataFrame, cycle: tuple[float, ...], share: float, mos
     return sources.select("source", F.col("source_size").cast("long").alias("source_size"), F.least(F.col("cap"), F.col("weight") * level).alias("target"))
 
 
-def _trade(t: pa.Table) -> pa.Table:
-    """Pair the fractional rows of a table source by source; at most one a source stays fractional."""
-    order = t.sort_by([("source", "ascending"), ("doc_id", "ascending"), ("text_key", "ascending"), ("size", "ascending")])
-    source, size = order["source"].to_pylist(), order["size"].to_pylist()
-    p, key = order["part"].to_pylist(), order["draw"].to_numpy().astype(np.uint64)
+def _settle(p: list[float], *rows: int) -> None:
+    for j in rows:
+        p[j] = 0.0 if p[j] < EPS else 1.0 if p[j] > 1 - EPS else p[j]
+
+
+def _coin(key: np.ndarray, i: int, j: int) -> float:
+    return float(mix64(key[i : i + 1] ^ (key[j : j + 1] << np.uint64(1)))[0] >> np.uint64(11)) / 2**53
+
+
+def _pair_off(rows: list[int], p: list[float], size: list[int], key: np.ndarray) -> None:
+    """Trade between neighbours until one row at most is fractional."""
     held = None
-    for i, s in enumerate(size):
-        if not 0 < p[i] < 1:
-            continue
-        if held is None or source[held] != source[i]:
+    for i in rows:
+        if held is None:
             held = i
             continue
-        ratio = s / size[held]
+        ratio = size[i] / size[held]
         up, down = min(1 - p[held], p[i] * ratio), min(p[held], (1 - p[i]) * ratio)
-        coin = float(mix64(key[held : held + 1] ^ (key[i : i + 1] << np.uint64(1)))[0] >> np.uint64(11)) / 2**53
-        step = up if coin * (up + down) < down else -down
+        step = up if _coin(key, held, i) * (up + down) < down else -down
         p[held] += step
         p[i] -= step / ratio
-        for j in (held, i):
-            p[j] = 0.0 if p[j] < EPS else 1.0 if p[j] > 1 - EPS else p[j]
+        _settle(p, held, i)
         held = next((j for j in (held, i) if 0 < p[j] < 1), None)
-    return order.set_column(order.schema.get_field_index("part"), "part", pa.array(p, pa.float64()))
+
+
+def _pair_with_rest(rows: list[int], p: list[float], size: list[int], key: np.ndarray) -> None:
+    """Trade each row, the largest first, with all smaller ones together, so that the least stays fractional."""
+    for at, i in enumerate(rows[:-1]):
+        rest = [j for j in rows[at + 1 :] if 0 < p[j] < 1]
+        if not 0 < p[i] < 1 or not rest:
+            continue
+        words, room = sum(p[j] * size[j] for j in rest), sum((1 - p[j]) * size[j] for j in rest)
+        up, down = min((1 - p[i]) * size[i], words), min(p[i] * size[i], room)
+        if _coin(key, i, rest[0]) * (up + down) < down:
+            p[i] += up / size[i]
+            for j in rest:
+                p[j] *= 1 - up / words
+        else:
+            p[i] -= down / size[i]
+            for j in rest:
+                p[j] += (1 - p[j]) * down / room
+        _settle(p, i, *rest)
+
+
+def _trade(keep: int, last: bool):
+    """Trades within a table, source by source: all but the ``keep`` smallest fractional rows are paired off; at the root the rest is settled too, but for the least."""
+
+    def run(t: pa.Table) -> pa.Table:
+        order = t.sort_by([("source", "ascending"), ("size", "descending"), ("doc_id", "ascending"), ("text_key", "ascending")])
+        source, size = order["source"].to_pylist(), order["size"].to_pylist()
+        p, key = order["part"].to_pylist(), order["draw"].to_numpy().astype(np.uint64)
+        by: dict[str | None, list[int]] = {}
+        for i, s in enumerate(source):
+            if 0 < p[i] < 1:
+                by.setdefault(s, []).append(i)
+        for rows in by.values():
+            cut = max(0, len(rows) - keep)
+            _pair_off(rows[:cut], p, size, key)
+            if last:
+                _pair_with_rest([i for i in rows if 0 < p[i] < 1], p, size, key)
+        return order.set_column(order.schema.get_field_index("part"), "part", pa.array(p, pa.float64()))
+
+    return run
 
 
 def mix_sources(docs: DataFrame, cycle: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -115,7 +159,8 @@ def mix_sources(docs: DataFrame, cycle: tuple[float, ...] = (5, 2, 1), share: fl
     fractional = (F.col("part") > 0) & (F.col("part") < 1)
     done, keys = None, ["bucket"]
     while True:
-        rows = staged(rows.groupBy(*keys).applyInArrow(_trade, rows.schema), "mix-level")
+        keep = KEEP * (FAN_IN if buckets == 1 else 1)
+        rows = staged(rows.groupBy(*keys).applyInArrow(_trade(keep, buckets == 1), rows.schema), "mix-level")
         if buckets == 1:
             coin = F.xxhash64(F.lit(seed + 2), "draw").bitwiseAND(2**53 - 1) / 2.0**53
             rows = rows.withColumn("part", F.when(fractional, (coin < F.col("part")).cast("double")).otherwise(F.col("part")))
