@@ -125,6 +125,7 @@ _LOWER_BYTE = _BYTE.copy()
 _LOWER_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
+HASH_BYTES = 1 << 19
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -144,9 +145,15 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     A polynomial over random byte values modulo 2**64, by one running sum over
     the whole buffer, then mixed; equal words have equal hashes anywhere.
     """
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_LOWER_BYTE[data] * _power("up", len(data)), out=total[1:])
-    h = (total[ends] - total[starts]) * _power("down", int(starts[-1]) + 1)[starts]
-    return mix64(h ^ (ends - starts).astype(np.uint64))
+    out = np.empty(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):  # in runs of about HASH_BYTES, to bound memory
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + HASH_BYTES)))
+        at = int(starts[first])
+        part = data[at : ends[last - 1]]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_LOWER_BYTE[part] * _power("up", len(part)), out=total[1:])
+        lo, hi = starts[first:last] - at, ends[first:last] - at
+        out[first:last] = (total[hi] - total[lo]) * _power("down", int(lo[-1]) + 1)[lo]
+        first = last
+    return mix64(out ^ (ends - starts).astype(np.uint64))

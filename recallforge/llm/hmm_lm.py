@@ -32,17 +32,19 @@ WARM_DOCS = 600
 WARM_ROUNDS = 12
 CHUNK = 1_000_000
 SEGMENT = 200_000
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, ending numbers, and the bounds of each text among them."""
     data, offsets = text_buffer(texts)
     starts, ends = word_bounds(data, offsets)
-    lower = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint32) if len(data) else data.astype(np.uint32)
+    lower = _LOWER[data]
     code = np.zeros(len(starts), np.uint32)
     for back in (3, 2, 1):
         at = ends - back
-        code = code * np.uint32(257) + np.where(at >= starts, lower[np.maximum(at, 0)] + 1 if len(lower) else 0, 0).astype(np.uint32)
+        code = code * np.uint32(257) + np.where(at >= starts, lower[np.maximum(at, 0)].astype(np.uint32) + 1, 0).astype(np.uint32)
     ending = ((code * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.int32) % ENDINGS
     return word_hashes(data, starts, ends).view(np.int64), ending, np.searchsorted(starts, offsets)
 
@@ -228,7 +230,7 @@ def sequences(texts: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray, np
 
 def _slices(column: pa.Array) -> Iterator[pa.Array]:
     """Runs of texts of about ``CHUNK`` words at most, or single longer texts."""
-    data, offsets = text_buffer(column)
+    _, offsets = text_buffer(column)
     first = 0
     for i in range(1, len(offsets)):
         if i == len(offsets) - 1 or offsets[i + 1] - offsets[first] > 7 * CHUNK:

@@ -28,6 +28,7 @@ from .common import mix64, staged, text_buffer, word_bounds, word_hashes
 COORDINATES = 48
 MATCHES = 22
 STAR_ROUNDS = 4
+ROWS = 1024
 _rng = np.random.default_rng(7)
 _MULTIPLY = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, 256, dtype=np.uint64)
@@ -73,17 +74,19 @@ def sign(docs: DataFrame, words: int, coordinates: int, id_col: str = "doc_id",
     """(doc_id, n_shingles, class, sig): class is a 128-bit digest of the set; both are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = shingle_sets(b.column("text"), words)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("doc_id"),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                    pa.array([signature(s, coordinates).tobytes() if len(s) else None for s in sets], pa.binary()),
-                ],
-                ["doc_id", "n_shingles", "class", "sig"],
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                sets = shingle_sets(b.column("text"), words)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column("doc_id"),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                        pa.array([signature(s, coordinates).tobytes() if len(s) else None for s in sets], pa.binary()),
+                    ],
+                    ["doc_id", "n_shingles", "class", "sig"],
+                )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_shingles long, class binary, sig binary")
