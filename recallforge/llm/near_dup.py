@@ -3,14 +3,18 @@
 Equal shingle sets are one class, and classes are compared through signatures
 of ``COORDINATES`` minima.  A class is posted under each (coordinate, value)
 pair; pairs that only one class has are of no use and go.  Two classes at the
-threshold agree in at least ``MATCHES`` coordinates except with a probability
-of about one in ten million, so a class with fewer shared coordinates has no partner, and of
-the others only a prefix is joined: all but ``MATCHES - 1`` of the shared
-coordinates, the rarest first.  Within a posting list nothing is paired that
-is connected already: rounds link each component to one centre of the list, and
-only what stays apart after that is compared pair by pair.  Collisions of each
-candidate are counted over whole signatures, and links are confirmed on the
-full shingle sets.
+threshold agree in at least ``MATCHES`` coordinates but for one case in some
+hundred thousand, so a class with fewer shared coordinates has no partner, and
+of the others only a prefix is joined: all but ``MATCHES - 1`` of the shared
+coordinates, the rarest first.
+
+Within a posting list nothing is paired that is connected already.  Rounds link
+classes to one centre each; what then lies apart in a list is compared in
+blocks: the list's largest component against the rest and the rest among
+themselves, each pair in the first list that it shares, by collisions over the
+whole signature and then by sets or longer signatures that travel with the
+posting.  So the rows that move grow with the postings, not with the pairs.
+Links are confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -26,12 +30,17 @@ from pyspark.sql import functions as F
 from .common import mix64, staged, text_buffer, word_bounds, word_hashes
 
 COORDINATES = 48
-MATCHES = 22
-STAR_ROUNDS = 4
+MATCHES = 25
+STAR_ROUNDS = 2
+STAR_MATCHES = 32
+BLOCK = 256
+SET_LIMIT = 256
+FINE = 256
+BROADCAST_ROWS = 2_000_000
 ROWS = 1024
 _rng = np.random.default_rng(7)
-_MULTIPLY = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 2**63, 256, dtype=np.uint64)
+_MULTIPLY = _rng.integers(1, 2**63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _rng.integers(0, 2**63, 512, dtype=np.uint64)
 
 
 def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
@@ -113,16 +122,21 @@ def prefix_postings(nodes: DataFrame, matches: int) -> DataFrame:
     counts = posts.groupBy(F.col("key").alias("shared")).count().filter("count > 1")
     # the posting side may hold a hot key; a sort-merge join lets Spark split it
     shared = posts.join(counts, F.col("key") == F.col("shared")).select("node", F.struct("count", "key").alias("post"))
-    lists = shared.groupBy("node").agg(F.sort_array(F.collect_list("post")).alias("posts")).filter(F.size("posts") >= matches)
+    lists = shared.groupBy("node").agg(F.sort_array(F.collect_set("post")).alias("posts")).filter(F.size("posts") >= matches)
     prefix = F.slice("posts", F.lit(1), F.size("posts") - (matches - 1))
     return lists.select("node", F.explode(prefix.getField("key")).alias("key"))
 
 
-def _with_sigs(pairs: DataFrame, nodes: DataFrame, least: float, matches: int) -> DataFrame:
+def _few(df: DataFrame) -> DataFrame:
+    """A broadcast hint for a staged table of ids or pairs that was counted to be small (32 MB at most); else the planner's choice."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _agreeing(pairs: DataFrame, nodes: DataFrame, percent: int, matches: int) -> DataFrame:
     """Pairs whose signatures agree in ``matches`` places and whose set sizes allow the threshold."""
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n_shingles").alias(f"n_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = both.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * round(least * 100))
+    both = both.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,35 +149,163 @@ def _with_sigs(pairs: DataFrame, nodes: DataFrame, least: float, matches: int) -
     return both.mapInArrow(run, "a long, b long")
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b")
+def _confirm(pairs: DataFrame, sources: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs whose full sets have 100 * intersection >= percent * union.
+
+    Texts are read again for the documents of ``pairs`` only; while the pairs
+    are few they go to the texts of their first documents, and only these and
+    the texts of the second documents move.
+    """
+    seconds = staged(pairs.select(F.col("b").alias("node")).distinct(), "near-seconds")
+    left = sources.join(_few(pairs), F.col("node") == F.col("a")).select("a", "b", F.col("text").alias("text_a")).distinct()
+    right = sources.join(_few(seconds), "node", "left_semi").select(F.col("node").alias("of"), F.col("text").alias("text_b")).distinct()
+    both = left.join(right, F.col("b") == F.col("of"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                c = b.slice(at, 256)
-                x, y = shingle_sets(c.column("text_a"), words), None
-                ids = c.column("b").to_pylist()
-                new = [i for i, v in enumerate(ids) if v not in held and v not in ids[:i]]
-                if len(held) > 512:
-                    held.clear()
-                    new = [i for i, v in enumerate(ids) if v not in ids[:i]]
-                y = shingle_sets(c.column("text_b").take(pa.array(new, pa.int32())), words)
-                held |= {ids[i]: s for i, s in zip(new, y, strict=True)}
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                c = whole.slice(at, 256)
                 hit = []
-                for s, v in zip(x, ids, strict=True):
-                    t = held[v]
-                    near = s[np.minimum(np.searchsorted(s, t), len(s) - 1)] == t if len(s) else np.zeros(0, bool)
-                    common = int(near.sum())
-                    hit.append(100 * common >= percent * (len(s) + len(t) - common))
+                held: tuple[str, np.ndarray] | None = None
+                for s, second in zip(shingle_sets(c.column("text_a"), words), c.column("text_b"), strict=True):
+                    second = second.as_py()
+                    if held is None or held[0] != second:
+                        held = (second, shingle_sets(pa.array([second], pa.string()), words)[0])
+                    common = _common(s, held[1])
+                    hit.append(100 * common >= percent * (len(s) + len(held[1]) - common))
                 hit = pa.array(hit)
                 yield pa.RecordBatch.from_arrays([c.column("a").filter(hit), c.column("b").filter(hit)], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if not len(x) or not len(y):
+        return 0
+    return int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+
+
+def _payload(sources: DataFrame, live: DataFrame, words: int) -> DataFrame:
+    """(node, n, small, fine): the set as 32-bit hashes if it is small, and a longer signature of bytes if it is not very small."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                sets = shingle_sets(b.column("text"), words)
+                small = [np.unique(s >> np.uint64(32)).astype("<u4").tobytes() if len(s) <= SET_LIMIT else None for s in sets]
+                fine = [(signature(s, FINE) & np.uint32(255)).astype(np.uint8).tobytes() if len(s) > SET_LIMIT // 2 else None for s in sets]
+                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([len(s) for s in sets], pa.int32()), pa.array(small, pa.binary()), pa.array(fine, pa.binary())], ["node", "n", "small", "fine"])
+
+    return sources.join(_few(live), "node", "left_semi").select("node", "text").distinct().mapInArrow(run, "node long, n int, small binary, fine binary")
+
+
+def _compare(rows: list[dict], percent: int, matches: int, coordinate: int) -> list[tuple[int, int]]:
+    """Pairs of a block that lie apart, share this list first, and are near by all that travels with them."""
+    comp = np.array([r["component"] for r in rows])
+    side = np.array([r["side"] for r in rows])
+    n = np.array([r["n"] for r in rows])
+    sigs = np.frombuffer(b"".join(r["sig"] for r in rows), "<u4").reshape(len(rows), -1)
+    posted = np.unpackbits(np.array([r["mask"] for r in rows], np.int64).astype("<u8").view(np.uint8).reshape(len(rows), 8), axis=1, bitorder="little")[:, : sigs.shape[1]].astype(bool)
+    small = [None if r["small"] is None else np.frombuffer(r["small"], "<u4") for r in rows]
+    fine = [None if r["fine"] is None else np.frombuffer(r["fine"], np.uint8) for r in rows]
+    nodes = [r["node"] for r in rows]
+    least = percent / 100 - 4.5 * (percent / 100 * (1 - percent / 100) / FINE) ** 0.5
+    found, joined = [], set()
+    for i in range(len(rows)):
+        j = np.arange(i + 1, len(rows))
+        # two sides meet, or the two halves of one block pair; never rows of one component
+        j = j[(comp[j] != comp[i]) & ((side[j] != side[i]) | (side[i] == 2))]
+        j = j[np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent]
+        if not len(j):
+            continue
+        same = sigs[j] == sigs[i]
+        near = (same.sum(axis=1) >= matches) & (np.argmax(same & posted[j] & posted[i], axis=1) == coordinate)
+        for k in j[near].tolist():
+            if small[i] is not None and small[k] is not None:
+                common = _common(small[i], small[k]) + 1  # one for a collision of 32-bit hashes
+                if 100 * common >= percent * (int(n[i]) + int(n[k]) - common) and (int(comp[i]), int(comp[k])) not in joined:
+                    if 100 * (common - 2) >= percent * (int(n[i]) + int(n[k]) - common + 2):
+                        joined |= {(int(comp[i]), int(comp[k])), (int(comp[k]), int(comp[i]))}  # one sure link is enough
+                    found.append((nodes[i], nodes[k]))
+            elif fine[i] is None or fine[k] is None or (fine[i] == fine[k]).mean() >= least:
+                found.append((nodes[i], nodes[k]))
+    return [(min(p), max(p)) for p in found]
+
+
+def _apart(posts: DataFrame, comps: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Postings (key, node, component) and, of the lists with several components, (key, main, n_main, n_other)."""
+    at = posts.withColumn("component", F.col("node"))
+    if comps is not None:
+        at = posts.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = at.groupBy("key", "component").count()
+    lists = sizes.groupBy("key").agg(F.max(F.struct("count", "component")).alias("main"), F.sum("count").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
+    return at, lists.select("key", F.col("main.component").alias("main"), F.col("main.count").alias("n_main"), (F.col("n") - F.col("main.count")).alias("n_other"))
+
+
+def _star_pairs(at: DataFrame, lists: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each class that lies apart from the main component of a list, with one centre from all its lists' main components."""
+    draw = F.struct((F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("draw"), F.col("node").alias("at"))
+    inside = at.join(lists, "key")
+    if turn == 0:  # every class is a component of its own; the least of the list is the centre
+        centre = inside.groupBy("key").agg(F.min(draw).alias("centre"))
+    else:
+        centre = inside.filter(F.col("component") == F.col("main")).groupBy("key").agg(F.min(draw).alias("centre"))
+    met = inside.join(centre, "key").filter(F.col("node") != F.col("centre.at"))
+    if turn:
+        met = met.filter(F.col("component") != F.col("main"))
+    one = met.groupBy("node").agg(F.min("centre").alias("centre"))
+    return one.select(F.col("node").alias("a"), F.col("centre.at").alias("b"))
+
+
+def _blocks(at: DataFrame, lists: DataFrame, nodes: DataFrame, payload: DataFrame, coordinates: int) -> DataFrame:
+    """Postings dealt to blocks of bounded size: (key, block, side, node, component, n, sig, mask, small, fine)."""
+    # one bit for each coordinate that a class is posted under
+    masks = at.groupBy(F.col("node").alias("of")).agg(F.expr("bit_or(shiftleft(1L, cast(shiftright(key, 32) as int)))").alias("mask"))
+    rows = at.join(lists, "key").withColumn("other", F.col("component") != F.col("main"))
+    n_m, n_o = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n_main", "n_other"))
+    place = F.pmod(F.xxhash64("node"), F.when(F.col("other"), n_o).otherwise(n_m)).cast("int")
+    rows = rows.withColumns({"m": n_m, "o": n_o, "i": place})
+    upto = lambda c: F.sequence(F.lit(0), c - 1)
+    block = lambda x, y, kind: F.concat_ws("/", kind, x.cast("string"), y.cast("string"))
+    small = F.col("n_main") + F.col("n_other") <= 2 * BLOCK
+    i = F.col("i")
+    with_rest = F.transform(upto(F.col("o")), lambda j: F.struct(block(F.least(i, j), F.greatest(i, j), F.lit("o")).alias("block"), F.when(i == j, 2).when(i < j, 0).otherwise(1).alias("side")))
+    with_main = F.transform(upto(F.col("m")), lambda j: F.struct(block(i, j, F.lit("m")).alias("block"), F.lit(0).alias("side")))
+    of_main = F.transform(upto(F.col("o")), lambda j: F.struct(block(j, i, F.lit("m")).alias("block"), F.lit(1).alias("side")))
+    whole = F.array(F.struct(F.lit("").alias("block"), F.lit(2).alias("side")))
+    dealt = rows.withColumn("to", F.explode(F.when(small, whole).when(F.col("other"), F.concat(with_rest, with_main)).otherwise(of_main)))
+    dealt = dealt.select("key", "to.block", "to.side", "node", "component")
+    facts = nodes.select(F.col("node").alias("of"), "sig").join(payload.withColumnRenamed("node", "of"), "of").join(masks, "of")
+    return dealt.join(facts, F.col("node") == F.col("of")).drop("of")
+
+
+def _compare_blocks(blocks: DataFrame, percent: int, matches: int) -> DataFrame:
+    """Candidate pairs of all blocks; a task reads block after block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        out: list[tuple[int, int]] = []
+
+        def settle() -> None:
+            if len(held) > 1 and any(r["component"] != held[0]["component"] for r in held):
+                out.extend(_compare(held, percent, matches, held[0]["key"] >> 32))
+            held.clear()
+
+        for b in batches:
+            for row in b.to_pylist():
+                if held and (held[0]["key"], held[0]["block"]) != (row["key"], row["block"]):
+                    settle()
+                held.append(row)
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+                out.clear()
+        settle()
+        columns = list(zip(*out, strict=True)) if out else [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
+    return blocks.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame, label: str = "components") -> DataFrame:
@@ -205,32 +347,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, co
     nodes = staged(nodes.select("node", "one.n_shingles", "one.sig"), "near-nodes")
     posts = staged(prefix_postings(nodes, matches), "near-posts")
     sources = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    texts = _texts_of(sources, posts.select("node").distinct())
+    percent = round(100 * similarity)
     links, comps = None, None
-    tried = None
     for turn in range(STAR_ROUNDS + 1):
-        at = posts.withColumn("component", F.col("node")) if comps is None else posts.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        apart = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+        at, lists = _apart(posts, comps)
         if turn < STAR_ROUNDS:
-            # the centre of a list: another member each round
-            order = F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "component") if turn else F.struct(F.lit(0).alias("draw"), "node", "component")
-            centre = at.join(apart, "key", "left_semi").groupBy("key").agg(F.min(order).alias("centre"))
-            pairs = at.join(centre, "key").filter(F.col("component") != F.col("centre.component"))
-            pairs = pairs.select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b")).distinct()
+            pairs = staged(_agreeing(staged(_star_pairs(at, lists, turn), "near-stars"), nodes, percent, max(matches, STAR_MATCHES)), "near-pairs")
         else:
-            live = at.join(apart, "key", "left_semi")
-            other = live.select("key", F.col("node").alias("b"), F.col("component").alias("of_b"))
-            pairs = live.join(other, "key").filter((F.col("component") != F.col("of_b")) & (F.col("node") < F.col("b")))
-            pairs = pairs.select(F.col("node").alias("a"), "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = staged(_with_sigs(pairs, nodes, similarity, matches), "near-pairs")
-        tried = pairs if tried is None else tried.union(pairs)
+            lists = staged(lists, "near-lists")
+            live = staged(at.join(lists, "key", "left_semi").select("node").distinct(), "near-live")
+            payload = staged(_payload(sources, live, words), "near-payload")
+            pairs = staged(_compare_blocks(_blocks(at, lists, nodes, payload, coordinates), percent, matches), "near-pairs")
         if pairs.isEmpty():
-            if turn == STAR_ROUNDS:
-                break
             continue
-        found = staged(_confirm(pairs, texts, words, round(100 * similarity)), "near-links")
+        found = staged(_confirm(pairs, sources, words, percent), "near-links")
         links = found if links is None else links.union(found)
         comps = components(links, "near-components")
     # rows that repeat an id may be in several classes: these are one document
@@ -245,13 +375,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, co
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def _texts_of(sources: DataFrame, wanted: DataFrame, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """Texts of the classes that may have partners; their ids go to all tasks while they are few."""
-    wanted = staged(wanted, "near-wanted")
-    few = wanted.count() <= broadcast_rows  # 16 MB of ids
-    return staged(sources.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").distinct(), "near-texts")
-
-
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose document is kept, with the same columns; null ids stay, as nothing links them."""
     gone = near_duplicates(docs, **options).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
