@@ -249,10 +249,10 @@ def slugs_and_digests(spark, read):
 
 
 EX = rf"""said AS (SELECT conv_id::VARCHAR AS session, turn, role, text FROM conversations WHERE trim(coalesce(text, '')) <> ''),
-runs AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY turn) - 1 AS at, coalesce(sum((role <> 'user')::INT) OVER (PARTITION BY session ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM said),
+runs AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY turn) - 1 AS pos, coalesce(sum((role <> 'user')::INT) OVER (PARTITION BY session ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM said),
 parts AS (SELECT *, (row_number() OVER (PARTITION BY session, run ORDER BY turn) - 1) // 8 AS part FROM runs),
-ex0 AS (SELECT session, min(at) AS turn_lo, max(at) AS turn_hi, {S.strip("coalesce(string_agg(text, ' ' ORDER BY at) FILTER (WHERE role = 'user'), '')")} AS q0,
- {S.strip("coalesce(string_agg(text, ' ' ORDER BY at) FILTER (WHERE role <> 'user'), '')")} AS a, string_agg(text, ' ' ORDER BY at) AS body FROM parts GROUP BY session, run, part),
+ex0 AS (SELECT session, min(pos) AS turn_lo, max(pos) AS turn_hi, {S.strip("coalesce(string_agg(text, ' ' ORDER BY pos) FILTER (WHERE role = 'user'), '')")} AS q0,
+ {S.strip("coalesce(string_agg(text, ' ' ORDER BY pos) FILTER (WHERE role <> 'user'), '')")} AS a, string_agg(text, ' ' ORDER BY pos) AS body FROM parts GROUP BY session, run, part),
 ex AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY turn_lo) AS xid, turn_lo, turn_hi, CASE WHEN q0 = '' THEN 'context' ELSE q0 END AS q, a, body FROM ex0)"""
 
 
@@ -268,8 +268,8 @@ def exchanges(spark, read):
 
 
 WORDS = f"w0 AS (SELECT *, {S.content_words('q')} AS q1, {S.content_words('a')} AS a1, {S.bare('q')} AS qb FROM ex), w1 AS (SELECT *, {S.distinct('q1')} AS qw, {S.distinct('a1')} AS aw FROM w0), w2 AS (SELECT *, list_concat(qw[1:4], aw[1:10]) AS e0 FROM w1), w3 AS (SELECT *, {S.distinct('e0')} AS every, list_filter(qb, lambda w: NOT list_contains({S.strings(text.DEIXIS)}, w)) AS kept FROM w2)"
-DENY = rf"""w4 AS (SELECT *, every[1:12] AS anchors, trim(regexp_replace(array_to_string(kept, ' '), '\s+', ' ', 'g')) AS clean, len(list_filter(kept, lambda w: NOT list_contains({S.strings(text.STOP_SESSION)}, w))) >= 2 AS full FROM w3),
-w5 AS (SELECT *, CASE WHEN full THEN clean ELSE trim(clean || ' ' || array_to_string(anchors[1:3], ' ')) END AS denied FROM w4),
+DENY = rf"""w4 AS (SELECT *, every[1:12] AS anchors, trim(regexp_replace(array_to_string(kept, ' '), '\s+', ' ', 'g')) AS clean, len(list_filter(kept, lambda w: NOT list_contains({S.strings(text.STOP_SESSION)}, w))) >= 2 AS thick FROM w3),
+w5 AS (SELECT *, CASE WHEN thick THEN clean ELSE trim(clean || ' ' || array_to_string(anchors[1:3], ' ')) END AS denied FROM w4),
 w6 AS (SELECT *, list_filter([denied, array_to_string(anchors[1:8], ' '), CASE WHEN len(aw) >= 3 THEN array_to_string(aw[1:6], ' ') ELSE '' END], lambda k: trim(k) <> '' AND NOT list_contains(every, k)) AS k0 FROM w5),
 keyed AS (SELECT *, {S.distinct('k0')} AS keys, '[turns ' || turn_lo || '-' || turn_hi || '] Q: ' || denied || ' A: ' || a AS content FROM w6)"""
 
