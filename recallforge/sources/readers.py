@@ -31,7 +31,7 @@ def items(rows: DataFrame, column: str = "line") -> DataFrame:
     """(content, key, meta): JSON objects by their fields, other fields as meta; any other line is content."""
     line = F.col(column)
     is_object = line.startswith("{") & F.try_parse_json(line).isNotNull()
-    bare = F.when(line.startswith('"'), F.coalesce(F.from_json(line, "string"), line)).otherwise(line)
+    bare = F.when(line.startswith('"'), F.coalesce(F.try_variant_get(F.try_parse_json(line), "$", "string"), line)).otherwise(line)
     whole = F.from_json(line, "map<string,string>")
     content, key = _first(line, CONTENT_FIELDS), _first(line, KEY_FIELDS)
     rest = F.map_filter(whole, lambda k, v: ~k.isin(*CONTENT_FIELDS, *KEY_FIELDS))
