@@ -58,8 +58,19 @@ def _drop_staged() -> None:
             return
 
 
-def rows_of(df: DataFrame) -> int:
-    return df.count()
+BATCH_ROWS = 1024
+
+
+def frugal(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of at most ``BATCH_ROWS`` rows from now on, unless the session names a size.
+
+    Whole texts pass through Python, and workers share an executor's memory.
+    """
+    spark = df.sparkSession
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+    return df
 
 
 def text_key(column: str = "text") -> F.Column:

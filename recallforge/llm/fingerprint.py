@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_key
+from .common import frugal, staged, text_key
 
 BROADCAST_ROWS = 1_000_000
 
@@ -49,7 +49,7 @@ def _map_text(docs: DataFrame, make, schema: str) -> DataFrame:
             types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
             yield pa.RecordBatch.from_arrays([pa.array(c, types[f.split()[1]]) for c, f in zip(columns, schema.split(", "), strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def clashes(docs: DataFrame, found: DataFrame) -> frozenset[str]:
@@ -94,7 +94,7 @@ def _with_next(docs: DataFrame) -> DataFrame:
     both.  The last place gets the first document of all.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), F.col("text").cast("string").alias("text"))
+    rows = frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), F.col("text").cast("string").alias("text"))
     places = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = rows.select(F.percentile_approx("doc_id", [i / places for i in range(1, places)] or [0.5], 50 * places)).first()[0]
     bounds = np.array(sorted(set(found or [])), np.int64)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_buffer, word_bounds, word_hashes
+from .common import frugal, staged, text_buffer, word_bounds, word_hashes
 from .lang_id import folds
 
 STATES = 8
@@ -77,7 +77,7 @@ def vocabulary(docs: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in merged()], ["word", "ending", "n"])
 
-    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word long, ending int, n long")
+    parts = frugal(docs).select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word long, ending int, n long")
     return parts.groupBy("word", "ending").agg(F.sum("n").alias("n"))
 
 
@@ -272,7 +272,9 @@ def baum_welch_pass(docs: DataFrame, words: Words, model: Model) -> tuple[Model,
 
 def warm_start(docs: DataFrame, words: Words, states: int, n_docs: int = WARM_DOCS, rounds: int = WARM_ROUNDS, seed: int = 3) -> Model:
     """A starting point from at most ``n_docs`` documents of up to 20,000 characters; every later pass reads all documents."""
-    short = docs.filter(F.length("text").between(1, 20_000)).select("text").orderBy(F.xxhash64("text")).limit(n_docs)
+    share = min(1.0, 2 * n_docs / max(1, words.docs))  # tasks send little more than is used
+    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    short = docs.filter(F.length("text").between(1, 20_000)).select("text").filter(draw < int(share * (1 << 30))).orderBy(draw, "text").limit(n_docs)
     texts = pa.array([r[0] for r in short.collect()], pa.string())
     rng = np.random.default_rng(seed)
     cls, bounds, *_ = sequences(texts, words)

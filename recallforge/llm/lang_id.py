@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal
+
 BUCKETS = 1 << 15
 _LETTER = r"\p{L}"
 
@@ -54,7 +56,7 @@ def gram_counts(docs: DataFrame, buckets: int) -> DataFrame:
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(c[at])], ["lang", "bucket", "n"])
 
-    return docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return frugal(docs).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 class LanguageModel:
@@ -121,7 +123,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     uniform chance.  Ties go to the language that sorts first.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x buckets doubles
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"), F.coalesce(F.col(text_col).rlike(_LETTER), F.lit(False)).alias("_letters"), *[F.col(k) for k in keep if k not in (id_col,)])
+    rows = frugal(docs).select(F.col(id_col), F.col(text_col).cast("string").alias("_text"), F.coalesce(F.col(text_col).rlike(_LETTER), F.lit(False)).alias("_letters"), *[F.col(k) for k in keep if k not in (id_col,)])
     kept = [c for c in rows.columns if c not in ("_text", "_letters")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in kept)
 

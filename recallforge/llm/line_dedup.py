@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, staged, text_buffer, text_key, word_counts
+from .common import frugal, mix64, staged, text_buffer, text_key, word_counts
 
 DIVISOR = 16
 LONG_LINE = 50
@@ -68,7 +68,7 @@ def windows(docs: DataFrame, long_line: int) -> DataFrame:
                 ["doc_id", "key", "place", "window", "one", "two", "single"],
             )
 
-    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, place int, window long, one long, two long, single boolean")
+    return frugal(docs).select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, place int, window long, one long, two long, single boolean")
 
 
 def chunks_of(place: list[int], count: list[int], window: list[int], one: list[int], two: list[int], single: list[bool], divisor: int) -> list[tuple[int, int, bytes]]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, staged, text_buffer, text_key, word_counts
+from .common import frugal, mix64, staged, text_buffer, text_key, word_counts
 
 ROWS_PER_BUCKET = 2048
 FAN_IN = 64
@@ -31,7 +31,7 @@ EPS = 1e-9
 
 def word_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, source, text_key, size): words of each text; 0 for null."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), text_key(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
+    rows = frugal(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), text_key(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
