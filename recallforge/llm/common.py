@@ -58,6 +58,11 @@ def _drop_staged() -> None:
             return
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns c0, c1, ... so that no name of it clashes with those an operator adds, and its own names."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), df.columns
+
+
 BATCH_ROWS = 1024
 
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, mix64, staged, text_buffer, text_key, word_counts
+from .common import frugal, mix64, numbered, staged, text_buffer, text_key, word_counts
 
 DIVISOR = 16
 LONG_LINE = 50
@@ -132,7 +132,7 @@ def repeated_chunks(docs: DataFrame, divisor: int, long_line: int) -> DataFrame:
 
 
 def remove_repeated(docs: DataFrame, divisor: int = DIVISOR, long_line: int = LONG_LINE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows and columns of ``docs`` with repeated chunks of lines cut from the text, and ``n_lines`` and ``removed_lines`` behind.
+    """The rows and columns of ``docs`` with repeated chunks of lines cut from the text, and ``n_lines`` and ``removed_lines`` behind (in place of columns of these names).
 
     A chunk is removed if it has two lines or more that are not blank, or one
     line of ``long_line`` words, and its bytes occur at an earlier place; the
@@ -186,13 +186,14 @@ def remove_repeated(docs: DataFrame, divisor: int = DIVISOR, long_line: int = LO
     clash = frozenset(bytes(r[0]) for r in ends.select("digest").collect())
     if clash:  # two different chunks under one digest: neither is touched
         done = staged(cut.mapInArrow(cutter(clash), schema), "line-cut")
-    return done.select(*fields, "n_lines", "removed_lines").toDF(*names, "n_lines", "removed_lines")
+    mine = ("n_lines", "removed_lines")
+    return done.select(*[F.col(f).alias(n) for f, n in zip(fields, names, strict=True) if n not in mine], *mine)
 
 
 def clean_lines(docs: DataFrame, **options) -> DataFrame:
     """:func:`remove_repeated` with the columns of ``docs`` alone; n_chars, if there, is counted again."""
-    names = docs.columns
-    found = remove_repeated(docs, **options)
-    cleaned = found.toDF(*[f"c{i}" for i in range(len(found.columns))])
-    text = F.col(f"c{names.index(options.get('text_col', 'text'))}")
-    return cleaned.select(*[(F.coalesce(F.length(text), F.lit(0)).cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"c{i}")).alias(c) for i, c in enumerate(names)])
+    held, names = numbered(docs)
+    own_id, own_text = (f"c{names.index(options.pop(k, d))}" for k, d in (("id_col", "doc_id"), ("text_col", "text")))
+    found = remove_repeated(held, id_col=own_id, text_col=own_text, **options)
+    count = F.coalesce(F.length(own_text), F.lit(0))
+    return found.select(*[(count.cast(f.dataType) if n == "n_chars" else F.col(f.name)).alias(n) for f, n in zip(held.schema.fields, names, strict=True)])

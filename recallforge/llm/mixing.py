@@ -1,14 +1,17 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Each document gets a fractional number of copies, the target of its source
-divided by the source's size.  Pairs of documents of a source trade words until
-one of the two has a whole number of copies; the sum of words stays the same in
-each trade and the expected copies of each document stay what they were.  What
-remains fractional in a bucket (a few documents a source) goes up a
-reduction tree, 64 buckets to one, until one document a source is left, which a
-coin decides.  The smallest documents of a bucket sit out until the root, where
-the larger ones trade with all of them at once; so a source's words miss the
-target by the size of a small document, and never by more than one document.
+divided by the source's size.  Documents of a source trade words until one side
+of the trade has a whole number of copies; the sum of words stays the same in each
+trade and the expected copies of each document stay what they were.
+
+First the large documents of a source, those above a fixed share of its words
+and so a bounded number, are settled from the largest down, each by a trade with
+all smaller documents of the source at once.  The small ones then trade in pairs
+within buckets.  What stays fractional in a bucket (one document a source) goes
+up a reduction tree, 64 buckets to one, until one document a source is left,
+which a coin decides.  So a source's words miss its target by the size of a small
+document.
 """
 
 from __future__ import annotations
@@ -21,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import frugal, mix64, staged, text_buffer, text_key, word_counts
+from .common import frugal, mix64, numbered, staged, text_buffer, text_key, word_counts
 
 ROWS_PER_BUCKET = 2048
 FAN_IN = 64
-KEEP = 8
+LARGE = 0.002
 EPS = 1e-9
 
 
@@ -93,15 +96,22 @@ def _pair_off(rows: list[int], p: list[float], size: list[int], key: np.ndarray)
         held = next((j for j in (held, i) if 0 < p[j] < 1), None)
 
 
-def _pair_with_rest(rows: list[int], p: list[float], size: list[int], key: np.ndarray) -> None:
-    """Trade each row, the largest first, with all smaller ones together, so that the least stays fractional."""
-    for at, i in enumerate(rows[:-1]):
-        rest = [j for j in rows[at + 1 :] if 0 < p[j] < 1]
+def _settle_large(t: pa.Table) -> pa.Table:
+    """Settle the large documents of one source against all smaller ones; ``pool`` becomes the fraction that is left to each small one.
+
+    The small documents take part as one row with their words in all.
+    """
+    order = t.sort_by([("size", "descending"), ("doc_id", "ascending"), ("text_key", "ascending")])
+    size, p, key = order["size"].to_pylist(), order["part"].to_pylist(), order["draw"].to_numpy().astype(np.uint64)
+    size.append(order["source_size"][0].as_py() - sum(size))
+    p.append(order["pool"][0].as_py() if size[-1] else 0.0)
+    for i in range(len(size) - 1):
+        rest = [j for j in range(i + 1, len(size)) if 0 < p[j] < 1]
         if not 0 < p[i] < 1 or not rest:
             continue
         words, room = sum(p[j] * size[j] for j in rest), sum((1 - p[j]) * size[j] for j in rest)
         up, down = min((1 - p[i]) * size[i], words), min(p[i] * size[i], room)
-        if _coin(key, i, rest[0]) * (up + down) < down:
+        if _coin(key, i, min(rest[0], len(key) - 1)) * (up + down) < down:
             p[i] += up / size[i]
             for j in rest:
                 p[j] *= 1 - up / words
@@ -110,27 +120,22 @@ def _pair_with_rest(rows: list[int], p: list[float], size: list[int], key: np.nd
             for j in rest:
                 p[j] += (1 - p[j]) * down / room
         _settle(p, i, *rest)
+    order = order.set_column(order.schema.get_field_index("part"), "part", pa.array(p[:-1], pa.float64()))
+    return order.set_column(order.schema.get_field_index("pool"), "pool", pa.array([p[-1]] * len(order), pa.float64()))
 
 
-def _trade(keep: int, last: bool):
-    """Trades within a table, source by source: all but the ``keep`` smallest fractional rows are paired off; at the root the rest is settled too, but for the least."""
-
-    def run(t: pa.Table) -> pa.Table:
-        order = t.sort_by([("source", "ascending"), ("size", "descending"), ("doc_id", "ascending"), ("text_key", "ascending")])
-        source, size = order["source"].to_pylist(), order["size"].to_pylist()
-        p, key = order["part"].to_pylist(), order["draw"].to_numpy().astype(np.uint64)
-        by: dict[str | None, list[int]] = {}
-        for i, s in enumerate(source):
-            if 0 < p[i] < 1:
-                by.setdefault(s, []).append(i)
-        for rows in by.values():
-            cut = max(0, len(rows) - keep)
-            _pair_off(rows[:cut], p, size, key)
-            if last:
-                _pair_with_rest([i for i in rows if 0 < p[i] < 1], p, size, key)
-        return order.set_column(order.schema.get_field_index("part"), "part", pa.array(p, pa.float64()))
-
-    return run
+def _trade(t: pa.Table) -> pa.Table:
+    """Trades in pairs within a table, source by source; at most one row a source stays fractional."""
+    order = t.sort_by([("source", "ascending"), ("size", "descending"), ("doc_id", "ascending"), ("text_key", "ascending")])
+    source, size = order["source"].to_pylist(), order["size"].to_pylist()
+    p, key = order["part"].to_pylist(), order["draw"].to_numpy().astype(np.uint64)
+    by: dict[str | None, list[int]] = {}
+    for i, s in enumerate(source):
+        if 0 < p[i] < 1:
+            by.setdefault(s, []).append(i)
+    for rows in by.values():
+        _pair_off(rows, p, size, key)
+    return order.set_column(order.schema.get_field_index("part"), "part", pa.array(p, pa.float64()))
 
 
 def mix_sources(docs: DataFrame, cycle: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -155,19 +160,24 @@ def mix_sources(docs: DataFrame, cycle: tuple[float, ...] = (5, 2, 1), share: fl
     rows = sizes.join(known, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     rows = rows.withColumn("base", whole.cast("long")).withColumn("part", F.when((part > EPS) & (F.col("size") > 0), part).otherwise(0.0))
     rows = rows.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "text_key", "source").bitwiseAND(2**63 - 1))
+    rows = rows.withColumn("pool", F.when(part > EPS, part).otherwise(0.0))
+    large = F.col("size") > F.col("source_size") * LARGE
+    # fewer than 1 / LARGE rows a source
+    settled = staged(rows.filter(large).groupBy("source").applyInArrow(_settle_large, rows.schema), "mix-large")
+    pools = settled.groupBy(F.col("source").alias("of")).agg(F.first("pool").alias("left_over"))
+    rows = rows.filter(~large).join(pools, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    rows = rows.withColumn("part", F.when(F.col("part") > 0, F.coalesce("left_over", "part")).otherwise(0.0)).drop("left_over")
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text_key", "source"), F.lit(buckets)))
     fractional = (F.col("part") > 0) & (F.col("part") < 1)
-    done, keys = None, ["bucket"]
+    coin = F.xxhash64(F.lit(seed + 2), "draw").bitwiseAND(2**53 - 1) / 2.0**53
+    tossed = F.when(fractional, (coin < F.col("part")).cast("double")).otherwise(F.col("part"))
+    done, keys = settled.withColumn("part", tossed), ["bucket"]
     while True:
-        keep = KEEP * (FAN_IN if buckets == 1 else 1)
-        rows = staged(rows.groupBy(*keys).applyInArrow(_trade(keep, buckets == 1), rows.schema), "mix-level")
+        rows = staged(rows.groupBy(*keys).applyInArrow(_trade, rows.schema), "mix-level")
         if buckets == 1:
-            coin = F.xxhash64(F.lit(seed + 2), "draw").bitwiseAND(2**53 - 1) / 2.0**53
-            rows = rows.withColumn("part", F.when(fractional, (coin < F.col("part")).cast("double")).otherwise(F.col("part")))
-            done = rows if done is None else done.unionByName(rows)
+            done = done.unionByName(rows.withColumn("part", tossed).drop("bucket"))
             break
-        settled = rows.filter(~fractional)
-        done = settled if done is None else done.unionByName(settled)
+        done = done.unionByName(rows.filter(~fractional).drop("bucket"))
         buckets = math.ceil(buckets / FAN_IN)
         rows = rows.filter(fractional).withColumn("bucket", F.floor(F.col("bucket") / FAN_IN))
         keys = ["bucket", "source"]
@@ -175,17 +185,16 @@ def mix_sources(docs: DataFrame, cycle: tuple[float, ...] = (5, 2, 1), share: fl
     return done.select("doc_id", "source", "text_key", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
-def apply_mix(docs: DataFrame, **options) -> DataFrame:
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with the same columns.
 
     Rows equal in id, source and text share their copies.
     """
-    columns = docs.columns
-    mix = mix_sources(docs, **options)
+    held, names = numbered(docs)
+    own = {k: f"c{names.index(v)}" for k, v in {"id_col": id_col, "text_col": text_col, "source_col": source_col}.items()}
     keys = ["doc_id", "source", "text_key"]
-    copies = mix.groupBy(*keys).agg(F.sum("copies").alias("copies")).filter("copies > 0")
-    copies = copies.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("copies").alias("_copies"))
-    rows = docs.withColumn("_text_key", text_key()).dropDuplicates(["doc_id", "source", "_text_key"]).withColumnRenamed("_text_key", "_of_text")
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_of_text") == F.col("_text_key"))
-    rows = rows.join(copies, same)
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in columns])
+    copies = mix_sources(held, **own, **options).groupBy(*keys).agg(F.sum("copies").alias("copies")).filter("copies > 0")
+    rows = held.withColumns({"of_id": F.col(own["id_col"]).cast("long"), "of_source": F.col(own["source_col"]).cast("string"), "of_text": text_key(own["text_col"])})
+    rows = rows.dropDuplicates(["of_id", "of_source", "of_text"])
+    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & F.col("source").eqNullSafe(F.col("of_source")) & (F.col("of_text") == F.col("text_key"))
+    return rows.join(copies, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*held.columns).toDF(*names)

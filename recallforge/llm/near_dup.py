@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, mix64, staged, text_buffer, word_bounds, word_hashes
+from .common import frugal, mix64, numbered, staged, text_buffer, word_bounds, word_hashes
 
 COORDINATES = 48
 MATCHES = 25
@@ -375,7 +375,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, co
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose document is kept, with the same columns; null ids stay, as nothing links them."""
-    gone = near_duplicates(docs, **options).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    held, names = numbered(docs)
+    own_id, own_text = (f"c{names.index(c)}" for c in (id_col, text_col))
+    gone = near_duplicates(held, id_col=own_id, text_col=own_text, **options).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("gone")).distinct()
+    return held.join(gone, F.col(own_id) == F.col("gone"), "left_anti").toDF(*names)
