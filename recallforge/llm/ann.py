@@ -33,6 +33,11 @@ def rotation(width: int, seed: int = 5) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums of rows, added from left to right, so that equal rows have equal sums in any batch."""
+    return np.cumsum(x, axis=1)[:, -1]
+
+
 def _width(dim: int) -> int:
     return 64 * math.ceil(dim / 64)
 
@@ -44,7 +49,7 @@ def _pack(bits: np.ndarray) -> np.ndarray:
 
 def encode(x: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed codes, inner products of unit vectors with their codes, and norms."""
-    norm = np.sqrt((x * x).sum(axis=1))
+    norm = np.sqrt(_sums(x * x))
     unit = np.zeros((len(x), len(turn)))
     unit[:, : x.shape[1]] = x / norm[:, None]
     turned = unit @ turn
@@ -56,7 +61,7 @@ class Queries:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, turn: np.ndarray):
         self.ids, self.x = ids, x
-        self.norm = np.sqrt((x * x).sum(axis=1))
+        self.norm = np.sqrt(_sums(x * x))
         unit = np.zeros((len(x), len(turn)))
         unit[:, : x.shape[1]] = x / self.norm[:, None]
         turned = unit @ turn
@@ -131,7 +136,7 @@ def _scan(block: Queries, k: int):
             rows, cols = rows[other], cols[other]
             for at in range(0, len(rows), 65536):
                 i, j = rows[at : at + 65536], cols[at : at + 65536]
-                s = (x[i] * block.x[j]).sum(axis=1) / (norm[i] * block.norm[j])
+                s = _sums(x[i] * block.x[j]) / (norm[i] * block.norm[j])
                 q, score, ids = _best(np.append(q, j), np.append(score, s), np.append(ids, own_ids[i]), k)
             full, n = np.unique(q, return_counts=True)
             full = full[n >= k]

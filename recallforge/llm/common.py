@@ -63,7 +63,7 @@ def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), df.columns
 
 
-BATCH_ROWS = 1024
+BATCH_ROWS = 512
 
 
 def frugal(df: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ PASSES = 2
 WARM_DOCS = 600
 WARM_ROUNDS = 12
 CHUNK = 1_000_000
-SEGMENT = 200_000
+SEGMENT = 2_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -246,23 +246,81 @@ def _cut(bounds: np.ndarray, most: int) -> np.ndarray:
     return np.append(np.concatenate(more), bounds[-1])
 
 
-def baum_welch_pass(docs: DataFrame, words: Words, model: Model) -> tuple[Model, float]:
-    """One pass over all rows of (text): expected counts by partition, summed, and normalised."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((words, model))  # bounded by HEAD words and classes x states
-    states = len(model.start)
+PREPARED = "row long, doc_id long, train boolean, n_tokens long, n_known long, counts double, inside double, classes binary, word long, times long"
+
+
+def prepare(docs: DataFrame, words: Words, id_col: str = "doc_id", text_col: str = "text", train: F.Column | None = None) -> DataFrame:
+    """What training and scoring need of each document, so that texts are read once after the counting.
+
+    A row a document with its class sequence, its known tokens and the sums of
+    the logarithms that the head's counts give; and a row for each distinct word
+    of it that the head lacks.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(words)  # bounded by HEAD words
+    flag = F.lit(True) if train is None else F.coalesce(train, F.lit(False))
+    rows = frugal(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), flag.alias("train"))
+    names = [f.split()[0] for f in PREPARED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, m = shared.value
-        into = Counts.none(len(m.start), w.classes)
+        w = shared.value
+        serial = TaskContext.get().partitionId() << 36
         for b in batches:
             for lo, hi in _slices(b.column("text")):
-                cls, bounds, *_ = sequences(b.column("text").slice(lo, hi - lo), w)
-                expect(cls, _cut(bounds, SEGMENT), m, into)
+                part = b.slice(lo, hi - lo)
+                cls, bounds, h, count, known = sequences(part.column("text"), w)
+                n = np.diff(bounds) - 1
+                doc = np.repeat(np.arange(len(n)), n)
+                word_cls = cls[np.arange(len(h)) + doc]
+                logs = np.log10(count + 1)
+                inside = np.bincount(doc, weights=np.where(word_cls > OWN, logs - w.log_class[np.maximum(word_cls - 1 - OWN, 0)], 0.0), minlength=len(n))
+                counts = np.bincount(doc, weights=logs, minlength=len(n)) + math.log10(w.docs + 1)
+                found = np.bincount(doc, weights=known, minlength=len(n)).astype(np.int64) + (w.docs > 0)
+                row = serial + np.arange(len(n))
+                serial += len(n)
+                none = pa.nulls(len(n), pa.int64())
+                raw = pa.array([c.tobytes() for c in np.split(cls.astype("<i2"), bounds[1:-1])] if len(n) else [], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(row), part.column("doc_id"), part.column("train"), pa.array(n + 1), pa.array(found), pa.array(counts), pa.array(inside), raw, none, none], names)
+                if w.types <= len(w.head) + 1:
+                    continue
+                rare = np.flatnonzero(~known)
+                order = rare[np.lexsort((h[rare], doc[rare]))]
+                if len(order):
+                    at = np.flatnonzero(np.append(True, (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])))
+                    times = np.diff(np.append(at, len(order)))
+                    none = [pa.nulls(len(at), t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())]
+                    yield pa.RecordBatch.from_arrays([pa.array(row[doc[order[at]]]), *none, pa.array(h[order[at]]), pa.array(times)], names)
+
+    return staged(rows.mapInArrow(run, PREPARED), "lm-prepared")
+
+
+def _classes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Class sequences of a batch end to end, and their bounds."""
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), "<i2").astype(np.int32), np.cumsum([0, *(len(r) // 2 for r in raw)])
+
+
+def baum_welch_pass(prepared: DataFrame, words: Words, model: Model) -> tuple[Model, float]:
+    """One pass over all training rows: expected counts by partition, summed, and normalised."""
+    shared = prepared.sparkSession.sparkContext.broadcast((words.classes, model))  # classes x states
+    states = len(model.start)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, m = shared.value
+        into = Counts.none(len(m.start), classes)
+        for b in batches:
+            cls, bounds = _classes(b.column("classes"))
+            bounds = _cut(bounds, SEGMENT)
+            first = 0
+            while first < len(bounds) - 1:  # in runs of about CHUNK words
+                last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + CHUNK)))
+                last = min(last, len(bounds) - 1)
+                expect(cls[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first], m, into)
+                first = last
         rows = np.vstack([into.emit, into.move, into.start[None, :], np.full((1, len(m.start)), into.log_likelihood)])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows), dtype=np.int32)), *(pa.array(rows[:, s]) for s in range(len(m.start)))], ["at", *(f"s{s}" for s in range(len(m.start)))])
 
-    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "at int, " + ", ".join(f"s{s} double" for s in range(states)))
+    rows = prepared.filter("train and classes is not null").select("classes")
+    parts = rows.mapInArrow(run, "at int, " + ", ".join(f"s{s} double" for s in range(states)))
     total = parts.groupBy("at").agg(*[F.sum(f"s{s}").alias(f"s{s}") for s in range(states)]).toPandas()
     rows = np.zeros((words.classes + states + 2, states))
     rows[total["at"].to_numpy(np.int64)] = total[[f"s{s}" for s in range(states)]].to_numpy()
@@ -314,18 +372,27 @@ class LanguageModel:
     passes: list[float] = field(default_factory=list)
 
 
-def fit(docs: DataFrame, states: int = STATES, passes: int = PASSES, head: int = HEAD) -> LanguageModel:
-    """Train on all rows of (text); a null text counts as empty."""
+def _counted(docs: DataFrame, head: int) -> tuple[DataFrame, Words]:
     vocab = staged(vocabulary(docs), "lm-vocabulary")
-    words = gather(vocab, docs.count(), head)
+    return vocab, gather(vocab, docs.count(), head)
+
+
+def _trained(docs: DataFrame, prepared: DataFrame, vocab: DataFrame, words: Words, states: int, passes: int) -> LanguageModel:
     model = warm_start(docs, words, states)
     likelihoods = []
     for _ in range(passes if words.docs else 0):
-        model, value = baum_welch_pass(docs, words, model)
+        model, value = baum_welch_pass(prepared, words, model)
         likelihoods.append(value)
     return LanguageModel(words, model, vocab, likelihoods)
 
 
+def fit(docs: DataFrame, states: int = STATES, passes: int = PASSES, head: int = HEAD, text_col: str = "text") -> LanguageModel:
+    """Train on all rows of ``docs``; a null text counts as empty."""
+    docs = docs.select(F.lit(None).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    vocab, words = _counted(docs, head)
+    return _trained(docs, prepare(docs, words), vocab, words, states, passes)
+
+
 def score(docs: DataFrame, lm: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score), a row for each row of ``docs``.
 
@@ -334,48 +401,27 @@ def score(docs: DataFrame, lm: LanguageModel, id_col: str = "doc_id", text_col:
     token.  With nothing to learn from, every token is unknown.  Other columns
     are ignored.
     """
-    spark = docs.sparkSession
+    return _scores(prepare(docs, lm.words, id_col, text_col), lm)
+
+
+def _scores(prepared: DataFrame, lm: LanguageModel) -> DataFrame:
     words = lm.words
-    shared = spark.sparkContext.broadcast((words, lm.model))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    names = ["row", "doc_id", "n_tokens", "n_known", "counts", "hidden", "word", "times"]
+    shared = prepared.sparkSession.sparkContext.broadcast(lm.model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, m = shared.value
-        serial = TaskContext.get().partitionId() << 36
+        m = shared.value
         for b in batches:
-            for lo, hi in _slices(b.column("text")):
-                part = b.slice(lo, hi - lo)
-                cls, bounds, h, count, known = sequences(part.column("text"), w)
-                n = np.diff(bounds) - 1
-                doc = np.repeat(np.arange(len(n)), n)
-                hidden = forward(cls, bounds, m) / math.log(10)
-                word_cls = cls[np.arange(len(h)) + doc]
-                shared_class = word_cls > OWN
-                inside = np.where(shared_class, np.log10(count + 1) - w.log_class[np.maximum(word_cls - 1 - OWN, 0)], 0.0)
-                hidden += np.bincount(doc, weights=inside, minlength=len(n))
-                counts = np.bincount(doc, weights=np.log10(count + 1), minlength=len(n)) + math.log10(w.docs + 1)
-                found = np.bincount(doc, weights=known, minlength=len(n)).astype(np.int64) + (w.docs > 0)
-                row = serial + np.arange(len(n))
-                serial += len(n)
-                none = pa.nulls(len(n), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(row), part.column("doc_id"), pa.array(n + 1), pa.array(found), pa.array(counts), pa.array(hidden), none, none], names)
-                # words outside the head are looked up by a join
-                rare = np.flatnonzero(~known)
-                order = rare[np.lexsort((h[rare], doc[rare]))]
-                if len(order) and w.types > len(w.head) + 1:
-                    new = np.append(True, (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1]))
-                    at = np.flatnonzero(new)
-                    times = np.diff(np.append(at, len(order)))
-                    none = [pa.nulls(len(at), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                    yield pa.RecordBatch.from_arrays([pa.array(row[doc[order[at]]]), *none, pa.array(h[order[at]]), pa.array(times)], names)
+            cls, bounds = _classes(b.column("classes"))
+            hidden = forward(cls, bounds, m) / math.log(10)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(hidden, pa.float64())], [*b.schema.names[:-1], "hidden"])
 
-    found = staged(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, counts double, hidden double, word long, times long"), "lm-scores")
     least = int(words.count.min()) if len(words.count) else 2**62
     rest = lm.vocab.filter(F.col("n") < least).select(F.col("word").alias("of"), "n")
-    more = found.filter("word is not null").select("row", "word", "times").join(rest, F.col("word") == F.col("of"))
+    more = prepared.filter("word is not null").select("row", "word", "times").join(rest, F.col("word") == F.col("of"))
     more = more.groupBy(F.col("row").alias("of_row")).agg(F.sum("times").alias("rare"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare_counts"))
-    main = found.filter("n_tokens is not null").join(more, F.col("row") == F.col("of_row"), "left")
+    main = prepared.filter("classes is not null").select("row", "doc_id", "n_tokens", "n_known", "counts", "inside", "classes")
+    main = main.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, counts double, inside double, hidden double")
+    main = main.join(more, F.col("row") == F.col("of_row"), "left")
     extra = F.coalesce("rare_counts", F.lit(0.0))
     return main.select(
         "doc_id",
@@ -383,13 +429,16 @@ def score(docs: DataFrame, lm: LanguageModel, id_col: str = "doc_id", text_col:
         (F.col("n_known") + F.coalesce("rare", F.lit(0))).alias("n_known"),
         F.lit(words.tokens).cast("long").alias("train_tokens"),
         (F.col("counts") + extra - F.col("n_tokens") * math.log10(words.tokens + words.types + 1)).alias("base_score"),
-        (F.col("hidden") + extra).alias("score"),
+        (F.col("hidden") + F.col("inside") + extra).alias("score"),
     )
 
 
-def train_and_score(docs: DataFrame, parts: int = 7, held: int = 2, **options) -> DataFrame:
+def train_and_score(docs: DataFrame, parts: int = 7, held: int = 2, states: int = STATES, passes: int = PASSES, head: int = HEAD) -> DataFrame:
     """:func:`score` of every document with ``held_out``, by a model of those whose crc32(doc_id as text) mod ``parts`` is not ``held``; a null id is in no fold."""
-    fold = folds("doc_id", parts)
-    lm = fit(docs.filter(fold != held).select(F.coalesce("text", F.lit("")).alias("text")), **options)
-    found = score(docs, lm)
+    docs = docs.select("doc_id", "text")
+    trains = folds("doc_id", parts) != held
+    own = docs.filter(trains).select(F.coalesce("text", F.lit("")).alias("text"))
+    vocab, words = _counted(own, head)
+    prepared = prepare(docs, words, train=trains)
+    found = _scores(prepared, _trained(own, prepared, vocab, words, states, passes))
     return found.withColumn("held_out", F.coalesce(folds("doc_id", parts) == held, F.lit(False))).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -192,9 +192,14 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """
     held, names = numbered(docs)
     own = {k: f"c{names.index(v)}" for k, v in {"id_col": id_col, "text_col": text_col, "source_col": source_col}.items()}
-    keys = ["doc_id", "source", "text_key"]
-    copies = mix_sources(held, **own, **options).groupBy(*keys).agg(F.sum("copies").alias("copies")).filter("copies > 0")
-    rows = held.withColumns({"of_id": F.col(own["id_col"]).cast("long"), "of_source": F.col(own["source_col"]).cast("string"), "of_text": text_key(own["text_col"])})
-    rows = rows.dropDuplicates(["of_id", "of_source", "of_text"])
-    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & F.col("source").eqNullSafe(F.col("of_source")) & (F.col("of_text") == F.col("text_key"))
-    return rows.join(copies, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*held.columns).toDF(*names)
+
+    def keyed(df: DataFrame, id_: F.Column, source: F.Column, key: F.Column) -> DataFrame:
+        # plain keys without nulls: the join's dealing of the texts then serves the distinct rows too
+        return df.withColumns({"k1": F.coalesce(id_, F.lit(0)), "k2": id_.isNull(), "k3": F.coalesce(source, F.lit("")), "k4": source.isNull(), "k5": key})
+
+    keys = ["k1", "k2", "k3", "k4", "k5"]
+    mix = mix_sources(held, **own, **options)
+    copies = keyed(mix, F.col("doc_id"), F.col("source"), F.col("text_key")).groupBy(*keys).agg(F.sum("copies").alias("copies")).filter("copies > 0")
+    rows = keyed(held, F.col(own["id_col"]).cast("long"), F.col(own["source_col"]).cast("string"), text_key(own["text_col"]))
+    rows = rows.join(copies, keys).dropDuplicates(keys)
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*held.columns).toDF(*names)
