@@ -167,3 +167,16 @@ def graph_stats(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     lang = symbols.groupBy(F.lit("language").alias("facet"), F.col("language").alias("value")).count()
     e = edges.groupBy(F.lit("edge_kind").alias("facet"), F.col("kind").alias("value")).count()
     return s.unionByName(lang).unionByName(e).withColumnRenamed("count", "n")
+
+
+def dump(symbols: DataFrame, edges: DataFrame, path: str) -> None:
+    """A graph as JSON lines, one a symbol or edge, with their part."""
+    rows = symbols.select(F.lit("symbol").alias("part"), F.to_json(F.struct("*")).alias("body")).unionByName(edges.select(F.lit("edge").alias("part"), F.to_json(F.struct("*")).alias("body")))
+    rows.write.mode("overwrite").json(path)
+
+
+def load(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """Symbols and edges of :func:`dump`."""
+    rows = spark.read.schema("part string, body string").json(path)
+    part = lambda name, schema: rows.filter(F.col("part") == name).select(F.from_json("body", schema).alias("r")).select("r.*")
+    return part("symbol", SYMBOLS), part("edge", EDGES)

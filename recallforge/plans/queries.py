@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import detectors, scores, text, vectors
-from ..operators import agents, diff, graph, memory, rack, sessions, similarity, skills, vault
+from ..operators import agents, diff, graph, memory, rack, sessions, similarity, skills, units, vault
 from ..sources import exports
 from . import sql as S
 from .registry import query
@@ -684,3 +684,89 @@ def parse_payloads(spark, read):
     """JSON payloads as variants."""
     v = F.try_parse_json(F.col("props"))
     return read("events").select("event_id", F.col("props").alias("line"), F.try_variant_get(v, "$.k", "string").alias("k"))
+
+
+@query("SELECT min(doc_id) AS entry_id, count(*) AS n FROM documents WHERE lang IS DISTINCT FROM 'de' GROUP BY text, lang")
+def delete_and_compact(spark, read):
+    """German documents deleted, the first of each content and key kept, with how many there were."""
+    rows = doc_kinds(read)
+    left = memory.delete(rows, rows.filter("key_norm = 'de'").select("entry_id"))
+    counts = memory.live(left).groupBy("content", "key_norm").agg(F.count("*").alias("n"))
+    kept = memory.compact(left, dedupe=True)
+    same = (kept["content"] == counts["content"]) & kept["key_norm"].eqNullSafe(counts["key_norm"])
+    return kept.join(counts, same).select("entry_id", "n")
+
+
+@query("SELECT entry_id FROM (SELECT conv_id * 1000 + turn AS entry_id, role FROM conversations) QUALIFY role <> 'user' OR row_number() OVER (PARTITION BY role = 'user' ORDER BY entry_id) > 40")
+def session_forget(spark, read):
+    """The forty oldest turn entries forgotten; what is left."""
+    rows = read("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("entry_id"), F.when(F.col("role") == "user", 4).otherwise(1).alias("kind"), F.lit(False).alias("deleted"))
+    return memory.live(sessions.forget(rows, 40)).select("entry_id")
+
+
+@query(f"WITH {EX} SELECT xid, session FROM ex QUALIFY row_number() OVER (PARTITION BY xid ORDER BY turn_lo, session) = 1 ORDER BY xid DESC LIMIT 10")
+def recent_exchanges(spark, read):
+    """The last exchanges by number, each number once."""
+    found = sessions.exchanges(turns_of(read))
+    first = found.groupBy("xid").agg(F.min_by(F.struct("session", "turn_lo"), F.struct("turn_lo", "session")).alias("f")).select("xid", "f.session", "f.turn_lo")
+    return sessions.recent(first).select("xid", "session")
+
+
+_EXT = "CASE WHEN p_size < 20 THEN '.py' WHEN p_size < 30 THEN '.ts' WHEN p_size < 38 THEN '.tsx' WHEN p_size < 44 THEN '.rs' ELSE '.txt' END"
+
+
+@query(f"WITH f AS (SELECT 'src/' || p_partkey || {_EXT} AS path, {_EXT} AS e FROM part), l AS (SELECT path, CASE e WHEN '.py' THEN 'python' WHEN '.ts' THEN 'typescript' WHEN '.tsx' THEN 'typescript' WHEN '.rs' THEN 'rust' END AS language FROM f) SELECT language, count(*) AS files FROM l WHERE language IS NOT NULL GROUP BY 1 ORDER BY files DESC, min(path) LIMIT 3")
+def language_census(spark, read):
+    """The three most frequent languages of made-up paths for every part."""
+    z = F.col("p_size")
+    ext = F.when(z < 20, ".py").when(z < 30, ".ts").when(z < 38, ".tsx").when(z < 44, ".rs").otherwise(".txt")
+    return units.census(read("part").select(F.concat(F.lit("src/"), F.col("p_partkey").cast("string"), ext).alias("path")))
+
+
+@query("SELECT p_brand, count(*) FILTER (WHERE p_size > 10) AS correct, count(*) AS total FROM part GROUP BY 1")
+def routing_accuracy(spark, read):
+    """How many problems of each brand were routed as expected."""
+    rows = read("part").select("p_brand", F.col("p_type").alias("expected"), F.when(F.col("p_size") > 10, F.col("p_type")).otherwise("none").alias("routed"))
+    return skills.accuracy(rows, "p_brand")
+
+
+@query("SELECT o_custkey AS project, max(o_orderdate) AS last_activity, max(o_orderdate) < TIMESTAMP '2001-01-01' - INTERVAL 30 DAY AS stale FROM orders GROUP BY 1")
+def stale_projects(spark, read):
+    """Customers by their last order."""
+    rows = read("orders").groupBy(F.col("o_custkey").alias("project")).agg(F.max("o_orderdate").alias("last_activity"))
+    return agents.stale(rows, F.lit("2001-01-01").cast("timestamp_ntz"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, (l_linenumber * (l_quantity::INT + 1))::DOUBLE AS value FROM lineitem")
+def evaluate_answers(spark, read):
+    """Arithmetic on the last line of made-up answers for every line item."""
+    said = F.concat(F.lit("so it is\nANSWER="), F.col("l_linenumber").cast("string"), F.lit(" x ("), F.col("l_quantity").cast("int").cast("string"), F.lit(" + 1)"))
+    return read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", scores.evaluated(said).alias("value"))
+
+
+@query("SELECT u.user_id AS xid, count(*) + coalesce(max(m.n), 0) AS access_count FROM events u LEFT JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1) m ON m.user_id = u.user_id GROUP BY 1")
+def recall_feedback(spark, read):
+    """ST5, W10: recalls (here errors) counted into the accesses of records."""
+    return sessions.touch(decay_records(read), read("events").filter("event_type = 'error'").select(F.col("user_id").alias("xid"))).select("xid", "access_count")
+
+
+@query("SELECT page_id, page_id * 1000 <= 65536 AND url LIKE 'https://%' AND regexp_extract(url, '^https://([^/?#:]+)', 1) <> '' AS ok FROM pages")
+def secret_policies(spark, read):
+    """Policies of made-up secrets that may go to each page's host."""
+    host = F.regexp_extract("url", "^[a-z]+://([^/?#:]+)", 1)
+    return read("pages").select("page_id", detectors.valid_policy(F.col("page_id") * 1000, F.lit("bearer"), host, F.col("url")).alias("ok"))
+
+
+@query("SELECT c_custkey, contains(n, '@') OR regexp_matches(n, '\\+?\\d[\\d\\s\\-]{8,}\\d') AS sensitive FROM (SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN c_name || '@x' WHEN c_acctbal > 0 THEN 'c' || c_custkey ELSE '+49 170 1234567' END AS n FROM customer)")
+def sensitive_names(spark, read):
+    """F9."""
+    name = F.when(F.col("c_acctbal") > 5000, F.concat("c_name", F.lit("@x"))).when(F.col("c_acctbal") > 0, F.concat(F.lit("c"), F.col("c_custkey").cast("string"))).otherwise("+49 170 1234567")
+    return read("customer").select("c_custkey", detectors.sensitive_name(name).alias("sensitive"))
+
+
+@query("SELECT o_custkey::VARCHAR AS agent, CASE o_orderkey % 3 WHEN 0 THEN 'identity' WHEN 1 THEN 'goal' ELSE 'note' END AS section, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE count(*) END AS entries FROM orders GROUP BY 1, 2, o_orderkey % 3")
+def agent_sections(spark, read):
+    """Entries of each agent's sections; singletons are replaced."""
+    section = F.element_at(F.array(F.lit("identity"), F.lit("goal"), F.lit("note")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    rows = read("orders").select(F.col("o_custkey").cast("string").alias("agent"), section.alias("section"), F.lit(None).cast("string").alias("key"), F.col("o_orderstatus").alias("content"), F.lit(1).alias("priority"), F.lit("open").alias("status"), F.array().cast("array<string>").alias("tags"), F.col("o_orderdate").cast("timestamp").alias("updated"), F.col("o_orderkey").alias("seq"))
+    return agents.section_stats(agents.put(spark.createDataFrame([], agents.STATE), rows))
