@@ -94,11 +94,15 @@ def kind_name(kind: Column) -> Column:
     return F.coalesce(names[kind.cast("int")], F.lit("generic"))
 
 
-def exact_hits(queries: DataFrame, entries: DataFrame, normalize=text.normalize) -> DataFrame:
-    """The newest live entry whose key_norm is the normalised query, at confidence 1."""
-    newest = entries.groupBy("key_norm").agg(F.max("entry_id").alias("entry_id"))
+def exact_hits(queries: DataFrame, entries: DataFrame, normalize=text.normalize, few: bool = False) -> DataFrame:
+    """The newest live entry whose key_norm is the normalised query, at confidence 1.
+
+    Only entries with an asked key are grouped; ``few`` queries go to the entries.
+    """
     asked = queries.select("query_id", normalize(F.col("query")).alias("key_norm")).filter("key_norm <> ''")
-    return asked.join(newest, "key_norm").select("query_id", "entry_id", F.lit(1.0).alias("confidence"), F.lit("exact").alias("mode"))
+    met = entries.select("key_norm", "entry_id").join(F.broadcast(asked) if few else asked, "key_norm")
+    newest = met.groupBy("query_id").agg(F.max("entry_id").alias("entry_id"))
+    return newest.select("query_id", "entry_id", F.lit(1.0).alias("confidence"), F.lit("exact").alias("mode"))
 
 
 def _scored(block: DataFrame, entries: DataFrame, top_k: int, fuzzy: float, semantic: float, use_semantic: bool) -> DataFrame:
@@ -126,7 +130,8 @@ def search(queries: DataFrame, entries: DataFrame, top_k: int = 3, kind: str | i
     if top_k <= 0:
         return queries.sparkSession.createDataFrame([], hit)
     alive = live(entries, kind)
-    exact = exact_hits(queries, alive, normalize)
+    n = queries.count()
+    exact = exact_hits(queries, alive, normalize, n <= QUERY_BLOCK)
     found = exact
     asked = queries.join(exact.select("query_id", F.col("entry_id").alias("exact_id")), "query_id", "left")
     asked = asked.withColumn("room", F.lit(top_k) - F.col("exact_id").isNotNull().cast("int")).filter("room > 0")
@@ -136,7 +141,6 @@ def search(queries: DataFrame, entries: DataFrame, top_k: int = 3, kind: str | i
     keep = ["query_id", "qv", "room", "exact_id"] + (["qs"] if embed is not None else [])
     vecs = ["entry_id", "k", "c"] + (["sk", "sc"] if embed is not None else [])
     # blocks bound what is broadcast; most callers ask fewer queries than one block
-    n = queries.count()
     blocks = max(1, math.ceil(n / QUERY_BLOCK))
     for i in range(blocks):
         block = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)

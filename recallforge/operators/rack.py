@@ -82,9 +82,9 @@ def _per_cartridge(queries: DataFrame, entries: DataFrame, depth: int, **options
 
     normalize = options.get("normalize", text.normalize)
     alive = memory.live(entries, options.get("kind"))
-    newest = alive.groupBy("cartridge", "key_norm").agg(F.max("entry_id").alias("exact_id"))
     q = asked.select("query_id", "query", normalize(F.col("query")).alias("key_norm"), F.col("query_id.cartridge").alias("cartridge"))
-    q = q.join(newest, ["cartridge", "key_norm"], "left").withColumn("room", F.lit(depth) - F.col("exact_id").isNotNull().cast("int"))
+    met = alive.select("cartridge", "key_norm", "entry_id").join(F.broadcast(q.select("query_id", "cartridge", "key_norm")), ["cartridge", "key_norm"])
+    q = q.join(met.groupBy("query_id").agg(F.max("entry_id").alias("exact_id")), "query_id", "left").withColumn("room", F.lit(depth) - F.col("exact_id").isNotNull().cast("int"))
     exact = q.filter("exact_id is not null").select("query_id", F.col("exact_id").alias("entry_id"), F.lit(1.0).alias("confidence"), F.lit("exact").alias("mode"))
     block = q.filter("room > 0").select("query_id", "cartridge", "room", "exact_id", vectors.encoder(options.get("seed", vectors.SEED))(F.col("query")).alias("qv"))
     pairs = alive.select("cartridge", "entry_id", "k", "c").join(F.broadcast(block), "cartridge")  # queries x cartridges, bounded by the caller's queries
