@@ -35,6 +35,23 @@ INJECTION = [
     ("new_instruction", r"(?:new\s+(?:instructions?|rules?|guidelines?|directives?)\s*:|updated\s+(?:instructions?|rules?|guidelines?)\s*:)", 0.40, 1),
     ("role_switch", r"(?:switch\s+to|enter|activate|enable)\s+(?:debug|admin|developer|sudo|root|unrestricted)\s+(?:mode|access|privilege|level)", 0.50, 2),
 ]
+#: Words of which each rule needs one.
+NEEDED = {
+    "direct_override": ["previous", "prior", "earlier", "above", "preceding"],
+    "direct_override_2": ["different", "new", "unrestricted", "jailbroken", "dan", "evil"],
+    "prompt_extraction": ["prompt", "instruction", "rule", "initial", "configuration", "hidden"],
+    "prompt_extraction_2": ["prompt", "instruction", "rule"],
+    "safety_override": ["safety", "ethical", "moral", "security", "content", "alignment", "guardrail", "restriction", "censor"],
+    "system_impersonation": ["system", "admin", "moderator", "root", "superuser", "assistant", "ai", "bot", "instruction", "prompt"],
+    "system_impersonation_2": ["<"],
+    "base64_attempt": ["base64"],
+    "hex_encoding": ["hex"],
+    "cot_manipulation": ["let", "step", "first", "reasoning", "therefore"],
+    "data_exfiltration": ["http", "ftp", "mailto", "webhook", "discord", "slack"],
+    "leetspeak_decode": ["h4ck", "cr4ck", "byp4ss", "1gnore", "d1sreg4rd", "r3pl4ce", "1ns3rt", "3x3cut3", "0verr1de"],
+    "new_instruction": ["instruction", "rule", "guideline", "directive"],
+    "role_switch": ["mode", "access", "privilege", "level"],
+}
 RTL = "\u202a\u202b\u202c\u202d\u202e\u2066\u2067\u2068\u2069"
 ZERO_WIDTH = "\u200b\u200c\u200d\u2060\u2061\u2062\u2063\u2064\ufeff"
 HOMOGLYPHS = "\u0430\u0435\u043e\u0440\u0441\u0443\u0445\u0251\u03b5\u03bf"
@@ -112,7 +129,9 @@ def injection_risk(c: Column) -> Column:
     """Struct (risk, score, patterns): the highest level and weight of all rules that match, with their names in order."""
     none = F.lit(None).cast("struct<name:string,weight:double,level:int>")
     rule = lambda name, weight, level: F.struct(name.alias("name"), weight.alias("weight"), level.alias("level"))
-    found = [F.when(c.rlike("(?i)" + p), rule(F.lit(n), F.lit(w), F.lit(lv))).otherwise(none) for n, p, w, lv in INJECTION]
+    # the words that each rule cannot match without are looked for first, in the lower-cased text
+    low = F.lower(c)
+    found = [F.when(_any_of(low, NEEDED[n]) & c.rlike("(?i)" + p), rule(F.lit(n), F.lit(w), F.lit(lv))).otherwise(none) for n, p, w, lv in INJECTION]
     zero, homo = _count_of(c, ZERO_WIDTH), _count_of(c, HOMOGLYPHS)
     tags = F.length(c) - F.length(F.regexp_replace(c, "[\ue000-\ue07f]", ""))
     odd = [
@@ -133,9 +152,13 @@ def injection_risk(c: Column) -> Column:
         F.transform(details, lambda x: F.lit("hidden_details_injection")),
     )
     every = F.concat(F.array_compact(F.array(*found)), odd_rules, F.transform(marks, lambda n: rule(n, F.lit(0.65), F.lit(3))))
-    level = F.coalesce(F.array_max(F.transform(every, lambda r: r["level"])), F.lit(0))
     names = F.array(*[F.lit(x) for x in LEVELS])
-    return F.struct(F.element_at(names, level + 1).alias("risk"), F.coalesce(F.array_max(F.transform(every, lambda r: r["weight"])), F.lit(0.0)).alias("score"), F.transform(every, lambda r: r["name"]).alias("patterns"))
+
+    def summed(rules: Column) -> Column:
+        level = F.coalesce(F.array_max(F.transform(rules, lambda r: r["level"])), F.lit(0))
+        return F.struct(F.element_at(names, level + 1).alias("risk"), F.coalesce(F.array_max(F.transform(rules, lambda r: r["weight"])), F.lit(0.0)).alias("score"), F.transform(rules, lambda r: r["name"]).alias("patterns"))
+
+    return F.transform(F.array(every), summed)[0]  # binds the rules, so that they run once
 
 
 RECOMMENDATION = {
