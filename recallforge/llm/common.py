@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_staged: list[tuple[SparkSession, str]] = []
+_staged: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,16 +44,30 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _staged.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _staged[path] = spark
+    found._staged_path = path
+    return found
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete staged tables that nothing reads any more; what isn't staged is left alone."""
+    for t in tables:
+        path = getattr(t, "_staged_path", None) if t is not None else None
+        if path in _staged:
+            _delete(_staged.pop(path), path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @atexit.register
 def _drop_staged() -> None:
-    for spark, path in _staged:
+    for path, spark in _staged.items():
         try:
-            jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001 - the session may be gone by now
             return
 

@@ -5,15 +5,15 @@ of ``COORDINATES`` minima.  A class is posted under each (coordinate, value)
 pair; pairs that only one class has are of no use and go.  Two classes at the
 threshold agree in at least ``MATCHES`` coordinates but for one case in some
 hundred thousand, so a class with fewer shared coordinates has no partner, and
-of the others only a prefix is joined: all but ``MATCHES - 1`` of the shared
-coordinates, the rarest first.
+of the others only a prefix is joined: the rarest shared coordinates, so many
+that two such classes have ``TOGETHER`` of them in common.
 
 Within a posting list nothing is paired that is connected already.  Rounds link
-classes to one centre each; what then lies apart in a list is compared in
-blocks: the list's largest component against the rest and the rest among
-themselves, each pair in the first list that it shares, by collisions over the
-whole signature and then by sets or longer signatures that travel with the
-posting.  So the rows that move grow with the postings, not with the pairs.
+classes to one centre each.  Of what then lies apart, pairs in short lists are
+counted and go on if they meet three times; long lists are compared in blocks:
+the list's largest component against the rest and the rest among themselves,
+each pair in the first long list that it shares, by collisions over the whole
+signature and then by sets or longer signatures that travel with the posting.  So the rows that move grow with the postings, not with the pairs.
 Links are confirmed on the full shingle sets.
 """
 
@@ -27,12 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, mix64, numbered, staged, text_buffer, word_bounds, word_hashes
+from .common import discard, frugal, mix64, numbered, staged, text_buffer, word_bounds, word_hashes
 
 COORDINATES = 48
 MATCHES = 25
 STAR_ROUNDS = 2
 STAR_MATCHES = 32
+TOGETHER = 3
+SMALL = 6
 BLOCK = 256
 SET_LIMIT = 256
 FINE = 256
@@ -116,14 +118,14 @@ def _postings(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "sig").mapInArrow(run, "key long, node long")
 
 
-def prefix_postings(nodes: DataFrame, matches: int) -> DataFrame:
-    """(key, node): the rarest shared coordinates of each class, all but ``matches - 1``."""
+def prefix_postings(nodes: DataFrame, matches: int, together: int = TOGETHER) -> DataFrame:
+    """(key, node): the rarest shared coordinates of each class, so many that two classes with ``matches`` in common have ``together`` of these in common."""
     posts = _postings(nodes)
     counts = posts.groupBy(F.col("key").alias("shared")).count().filter("count > 1")
     # the posting side may hold a hot key; a sort-merge join lets Spark split it
     shared = posts.join(counts, F.col("key") == F.col("shared")).select("node", F.struct("count", "key").alias("post"))
     lists = shared.groupBy("node").agg(F.sort_array(F.collect_set("post")).alias("posts")).filter(F.size("posts") >= matches)
-    prefix = F.slice("posts", F.lit(1), F.size("posts") - (matches - 1))
+    prefix = F.slice("posts", F.lit(1), F.size("posts") - (matches - together))
     return lists.select("node", F.explode(prefix.getField("key")).alias("key"))
 
 
@@ -259,6 +261,18 @@ def _star_pairs(at: DataFrame, lists: DataFrame, turn: int) -> DataFrame:
     return one.select(F.col("node").alias("a"), F.col("centre.at").alias("b"))
 
 
+def _counted_pairs(at: DataFrame, lists: DataFrame, together: int) -> DataFrame:
+    """(a, b): pairs that lie apart and meet in ``together`` short lists; a list of at most ``SMALL`` gives at most 15."""
+    members = at.join(lists.select("key"), "key").groupBy("key").agg(F.collect_list(F.struct("node", "component")).alias("m"))
+
+    def later(x: F.Column) -> F.Column:
+        apart = F.filter("m", lambda y: (y["node"] > x["node"]) & (y["component"] != x["component"]))
+        return F.transform(apart, lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))
+
+    pairs = members.select(F.explode(F.flatten(F.transform("m", later))).alias("p"))
+    return pairs.groupBy("p.a", "p.b").count().filter(F.col("count") >= together).select("a", "b")
+
+
 def _blocks(at: DataFrame, lists: DataFrame, nodes: DataFrame, payload: DataFrame, coordinates: int) -> DataFrame:
     """Postings dealt to blocks of bounded size: (key, block, side, node, component, n, sig, mask, small, fine)."""
     # one bit for each coordinate that a class is posted under
@@ -315,14 +329,16 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
     the logarithm of the longest path.
     """
     edges = staged(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{label}-edges")
-    labels = staged(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")), label)
+    before = labels = staged(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")), label)
     while True:
         near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         moved = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("now"))
         jump = labels.select(F.col("node").alias("now"), F.col("component").alias("far"))
         moved = staged(moved.join(jump, "now").select("node", F.least("now", "far").alias("component"), (F.least("now", "far") < F.col("component")).alias("moved")), label)
-        labels = moved.select("node", "component")
+        discard(before)
+        labels, before = moved.select("node", "component"), moved
         if moved.filter("moved").isEmpty():
+            discard(edges)
             return labels
 
 
@@ -352,15 +368,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, co
     for turn in range(STAR_ROUNDS + 1):
         at, lists = _apart(posts, comps)
         if turn < STAR_ROUNDS:
-            pairs = staged(_agreeing(staged(_star_pairs(at, lists, turn), "near-stars"), nodes, percent, max(matches, STAR_MATCHES)), "near-pairs")
+            stars = staged(_star_pairs(at, lists, turn), "near-stars")
+            pairs = staged(_agreeing(stars, nodes, percent, max(matches, STAR_MATCHES)), "near-pairs")
+            discard(stars)
         else:
+            # a pair shares a long list, or all that it shares are short ones
             lists = staged(lists, "near-lists")
-            live = staged(at.join(lists, "key", "left_semi").select("node").distinct(), "near-live")
+            size = F.col("n_main") + F.col("n_other")
+            counted = staged(_counted_pairs(at, lists.filter(size <= SMALL), TOGETHER), "near-counted")
+            long = lists.filter(size > SMALL)
+            at = staged(at.join(long.select("key"), "key"), "near-long")
+            live = staged(at.select("node").distinct(), "near-live")
             payload = staged(_payload(sources, live, words), "near-payload")
-            pairs = staged(_compare_blocks(_blocks(at, lists, nodes, payload, coordinates), percent, matches), "near-pairs")
+            met = _compare_blocks(_blocks(at, long, nodes, payload, coordinates), percent, matches)
+            pairs = staged(met.union(_agreeing(counted, nodes, percent, matches)).distinct(), "near-pairs")
+            discard(lists, counted, at, live, payload, posts)
         if pairs.isEmpty():
             continue
         found = staged(_confirm(pairs, sources, words, percent), "near-links")
+        discard(pairs)
         links = found if links is None else links.union(found)
         comps = components(links, "near-components")
     # rows that repeat an id may be in several classes: these are one document
