@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import frugal
 
 BUCKETS = 1 << 15
+MAX_LANGS = 1000
 _LETTER = r"\p{L}"
 
 
@@ -70,7 +71,9 @@ class LanguageModel:
 
     @classmethod
     def fit(cls, docs: DataFrame, buckets: int = BUCKETS) -> LanguageModel:
-        """Learn from all rows of (lang, text) whose lang is not null."""
+        """Learn from all rows of (lang, text) whose lang is not null; more than ``MAX_LANGS`` labels raise, as the model goes to every task."""
+        if docs.filter("lang is not null").select("lang").distinct().limit(MAX_LANGS + 1).count() > MAX_LANGS:
+            raise ValueError(f"more than {MAX_LANGS} labels; these can't be languages")
         rows = gram_counts(docs.filter("lang is not null and text is not null"), buckets).toPandas()
         langs = sorted(set(rows["lang"]))
         counts = np.zeros((len(langs), buckets))
