@@ -87,6 +87,26 @@ def similarity(a: Column, b: Column, dims: int = DIMS) -> Column:
     return F.lit(1.0) - hamming(a, b, dims // 64) / F.lit(float(dims))
 
 
+def spread(a: Column, prefix: str, words: int = WORDS) -> list[Column]:
+    """A vector's longs as columns of their own, for scans that compare many pairs.
+
+    Array accesses in the inner loop make a method that the JVM won't compile;
+    plain columns that are never null keep it short.
+    """
+    return [F.coalesce(F.get(a, F.lit(i)), F.lit(0).cast("bigint")).alias(f"{prefix}{i}") for i in range(words)]
+
+
+def spread_hamming(a: str, b: str, words: int = WORDS) -> Column:
+    """Differing bits of two vectors that were spread under these prefixes."""
+    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(words)])
+
+
+def spread_similarity(q: str, *others: str, dims: int = DIMS) -> Column:
+    """The greatest similarity of a spread vector to some others."""
+    near = [spread_hamming(q, o, dims // 64) for o in others]
+    return F.lit(1.0) - (F.least(*near) if len(near) > 1 else near[0]) / F.lit(float(dims))
+
+
 def popcount(a: Column, words: int = WORDS) -> Column:
     return reduce(lambda x, y: x + y, [F.bit_count(a[i]) for i in range(words)])
 

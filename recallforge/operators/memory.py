@@ -107,10 +107,15 @@ def exact_hits(queries: DataFrame, entries: DataFrame, normalize=text.normalize,
 
 def _scored(block: DataFrame, entries: DataFrame, top_k: int, fuzzy: float, semantic: float, use_semantic: bool) -> DataFrame:
     """Rows of both tiers for a block of queries (query_id, qv[, qs], room, exact_id)."""
-    both = entries.crossJoin(F.broadcast(block)).filter(F.col("entry_id") != F.coalesce("exact_id", F.lit(-1)))
-    tier = lambda q, k, c, least, mode: (
-        both.withColumn("confidence", F.greatest(vectors.similarity(F.col(q), F.col(k)), vectors.similarity(F.col(q), F.col(c)))).filter(F.col("confidence") >= least).select("query_id", "entry_id", "confidence", F.lit(mode).alias("mode"), "room")
-    )
+
+    def tier(q: str, k: str, c: str, least: float, mode: str) -> DataFrame:
+        own, other = F.coalesce(k, c), F.coalesce(c, k)
+        rows = entries.filter(own.isNotNull()).select("entry_id", *vectors.spread(own, "k"), *vectors.spread(other, "c"))
+        asked = block.filter(F.col(q).isNotNull()).select("query_id", "room", "exact_id", *vectors.spread(F.col(q), "q"))
+        both = rows.crossJoin(F.broadcast(asked)).filter(F.col("entry_id") != F.coalesce("exact_id", F.lit(-1)))
+        scored = both.select("query_id", "entry_id", vectors.spread_similarity("q", "k", "c").alias("confidence"), F.lit(mode).alias("mode"), "room")
+        return scored.filter(F.col("confidence") >= least)
+
     rows = tier("qv", "k", "c", fuzzy, "fuzzy")
     if use_semantic:
         rows = rows.unionByName(tier("qs", "sk", "sc", semantic, "semantic"))

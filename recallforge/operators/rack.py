@@ -87,9 +87,10 @@ def _per_cartridge(queries: DataFrame, entries: DataFrame, depth: int, **options
     q = q.join(met.groupBy("query_id").agg(F.max("entry_id").alias("exact_id")), "query_id", "left").withColumn("room", F.lit(depth) - F.col("exact_id").isNotNull().cast("int"))
     exact = q.filter("exact_id is not null").select("query_id", F.col("exact_id").alias("entry_id"), F.lit(1.0).alias("confidence"), F.lit("exact").alias("mode"))
     block = q.filter("room > 0").select("query_id", "cartridge", "room", "exact_id", vectors.encoder(options.get("seed", vectors.SEED))(F.col("query")).alias("qv"))
-    pairs = alive.select("cartridge", "entry_id", "k", "c").join(F.broadcast(block), "cartridge")  # queries x cartridges, bounded by the caller's queries
+    block = block.select("query_id", "cartridge", "room", "exact_id", *vectors.spread(F.col("qv"), "q"))
+    pairs = alive.select("cartridge", "entry_id", *vectors.spread(F.col("k"), "k"), *vectors.spread(F.col("c"), "c")).join(F.broadcast(block), "cartridge")  # queries x cartridges, bounded by the caller's queries
     pairs = pairs.filter(F.col("entry_id") != F.coalesce("exact_id", F.lit(-1)))
-    score = F.greatest(vectors.similarity(F.col("qv"), F.col("k")), vectors.similarity(F.col("qv"), F.col("c")))
+    score = vectors.spread_similarity("q", "k", "c")
     fuzzy = pairs.withColumn("confidence", score).filter(F.col("confidence") >= options.get("fuzzy", 0.60))
     order = Window.partitionBy("query_id").orderBy(F.col("confidence").desc(), F.col("entry_id").desc())
     fuzzy = fuzzy.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= depth).filter("place <= room")

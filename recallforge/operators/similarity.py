@@ -29,10 +29,10 @@ def similarity_edges(entries: DataFrame, threshold: float = 0.55, max_edges: int
 def similar_pairs(entries: DataFrame, threshold: float) -> DataFrame:
     """All pairs (a, b, similarity) with a < b and key similarity of at least the threshold."""
     rows = entries.select("entry_id", "k", vectors.popcount(F.col("k")).alias("p"))
-    a, b = (rows.select([F.col(c).alias(f"{c}_{s}") for c in rows.columns]) for s in "ab")
+    a, b = (rows.select(F.col("entry_id").alias(f"entry_id_{s}"), F.col("p").alias(f"p_{s}"), *vectors.spread(F.col("k"), s)) for s in "ab")
     room = int((1 - threshold) * DIMS)
     pairs = a.join(b, (F.col("entry_id_a") < F.col("entry_id_b")) & (F.abs(F.col("p_a") - F.col("p_b")) <= room))
-    return pairs.select(F.col("entry_id_a").alias("a"), F.col("entry_id_b").alias("b"), vectors.similarity(F.col("k_a"), F.col("k_b")).alias("similarity")).filter(F.col("similarity") >= threshold)
+    return pairs.select(F.col("entry_id_a").alias("a"), F.col("entry_id_b").alias("b"), vectors.spread_similarity("a", "b").alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
 def greedy_dedup(entries: DataFrame, threshold: float = 0.9) -> DataFrame:
