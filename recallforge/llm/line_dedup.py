@@ -6,8 +6,12 @@ chunk ends between two lines if no other place has this pair, if the pair is
 rarer than the one before or after it, or at one hash in ``DIVISOR``.  As
 boundaries depend on neighbouring lines only, text put in before a passage does
 not move those inside it, and a passage between lines of its own gets a chunk of
-its own.  Chunks of several lines (or one long line) that occur again are removed
-after byte comparison; the first occurrence stays.
+its own.  Chunks of several lines (or one long line) that occur again are removed after byte
+comparison; the first occurrence stays.
+
+Where counts fall along a passage, its chunks are single lines or lie elsewhere
+in each copy.  So every repeated window (two neighbouring lines that are not
+blank, with the blank ones between them) is posted as well, inside chunks too, and removed wherever the same bytes stand at an earlier place.
 """
 
 from __future__ import annotations
@@ -20,11 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, mix64, numbered, staged, text_buffer, text_key, word_counts
+from .common import discard, frugal, mix64, numbered, staged, text_buffer, text_key, word_counts
 
 DIVISOR = 16
 LONG_LINE = 50
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_UNODD = np.uint64(pow(int(_ODD), -1, 1 << 64))
+PAIR, SINGLE, WIDE = 0, 1, 2
 
 
 def _lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -44,10 +50,20 @@ def _lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return hashes, words, doc, place
 
 
+def _spanned(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Rolling hashes of the lines from ``start`` to before ``end``."""
+    if not len(start):
+        return np.empty(0, np.uint64)
+    power = np.cumprod(np.append(np.uint64(1), np.full(len(h) - 1, _ODD)))
+    back = np.cumprod(np.append(np.uint64(1), np.full(len(h) - 1, _UNODD)))
+    sums = np.append(np.uint64(0), np.cumsum(mix64(h) * power))
+    return mix64((sums[end] - sums[start]) * back[start] ^ mix64((end - start).astype(np.uint64)))
+
+
 def windows(docs: DataFrame, long_line: int) -> DataFrame:
-    """(doc_id, key, place, window, one, two, single): two neighbouring lines, or one long line.
+    """(doc_id, key, place, size, window, one, two, kind): two neighbouring lines, one long line, or two lines with blank ones between.
 
-    ``window`` is the rolling hash, ``one`` and ``two`` the hashes of its lines.
+    ``window`` is the rolling hash, ``one`` and ``two`` the hashes of the outer lines, ``size`` counts the lines.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,24 +73,28 @@ def windows(docs: DataFrame, long_line: int) -> DataFrame:
             h, words, doc, place = _lines(b.column("text"))
             pair = np.flatnonzero((doc[1:] == doc[:-1]) & ((words[1:] > 0) | (words[:-1] > 0)))
             lone = np.flatnonzero(words >= long_line)
-            at = np.concatenate([pair, lone])
-            two = np.concatenate([h[pair + 1], np.zeros(len(lone), np.uint64)])
-            rolled = np.concatenate([mix64(h[pair] * _ODD + h[pair + 1]), mix64(h[lone] ^ _ODD)])
-            single = np.arange(len(at)) >= len(pair)
+            full = np.flatnonzero(words > 0)
+            gap = np.flatnonzero((doc[full[1:]] == doc[full[:-1]]) & (full[1:] - full[:-1] > 1))
+            wide, last = full[gap], full[gap + 1]
+            at = np.concatenate([pair, lone, wide])
+            size = np.concatenate([np.full(len(pair), 2), np.ones(len(lone), np.int64), last + 1 - wide])
+            two = np.concatenate([h[pair + 1], np.zeros(len(lone), np.uint64), h[last]])
+            rolled = np.concatenate([mix64(h[pair] * _ODD + h[pair + 1]), mix64(h[lone] ^ _ODD), _spanned(h, wide, last + 1)])
+            kind = np.repeat(np.array([PAIR, SINGLE, WIDE], np.int8), [len(pair), len(lone), len(wide)])
             rows = pa.array(doc[at])
             one = h[at]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(rows), b.column("key").take(rows), pa.array(place[at].astype(np.int32)), pa.array(rolled.view(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(single)],
-                ["doc_id", "key", "place", "window", "one", "two", "single"],
+                [b.column("doc_id").take(rows), b.column("key").take(rows), pa.array(place[at].astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(rolled.view(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(kind)],
+                ["doc_id", "key", "place", "size", "window", "one", "two", "kind"],
             )
 
-    return frugal(docs).select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, place int, window long, one long, two long, single boolean")
+    return frugal(docs).select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, place int, size int, window long, one long, two long, kind byte")
 
 
-def chunks_of(place: list[int], count: list[int], window: list[int], one: list[int], two: list[int], single: list[bool], divisor: int) -> list[tuple[int, int, bytes]]:
+def chunks_of(place: list[int], count: list[int], window: list[int], one: list[int], two: list[int], kind: list[int], divisor: int) -> list[tuple[int, int, bytes]]:
     """(start, end, digest) of the chunks of a document that may repeat, from its repeated windows in order of place."""
-    pairs = {p: (c, w, a, b) for p, c, w, a, b, s in zip(place, count, window, one, two, single, strict=True) if not s}
-    lone = {p: a for p, a, s in zip(place, one, single, strict=True) if s}
+    pairs = {p: (c, w, a, b) for p, c, w, a, b, k in zip(place, count, window, one, two, kind, strict=True) if k == PAIR}
+    lone = {p: a for p, a, k in zip(place, one, kind, strict=True) if k == SINGLE}
 
     def linked(p: int) -> bool:
         """No boundary between lines p and p + 1."""
@@ -103,32 +123,54 @@ def chunks_of(place: list[int], count: list[int], window: list[int], one: list[i
     return sorted(found)
 
 
+def windows_of(windows: list[dict]) -> list[tuple[int, int, int, bytes, bool]]:
+    """(start, cut, end, digest, first) of the repeated windows of a document that may go by themselves.
+
+    ``cut`` is the first line to remove: where a window overlaps its own first place, that stays whole.
+    """
+    own = [w for w in windows if w["kind"] == WIDE or w["kind"] == PAIR and w["one"] & w["two"] & 1]
+    kept = {(w["kind"], w["window"]): w["place"] + w["size"] for w in own if w["first"]}
+    # the digest is what the places were grouped by, so that unequal bytes in a group are noticed
+    return [(w["place"], max(w["place"], kept.get((w["kind"], w["window"]), 0)), w["place"] + w["size"], b"%d" % w["kind"] + w["window"].to_bytes(8, "little", signed=True), w["first"]) for w in own]
+
+
 def repeated_chunks(docs: DataFrame, divisor: int, long_line: int) -> DataFrame:
-    """(doc_id, key, spans): per document the chunks that repeat, as (start, end, digest, first)."""
+    """(doc_id, key, spans): per document the chunks and windows that repeat, as (start, cut, end, digest, first, lone); lone is true for windows."""
     places = windows(docs, long_line)
-    counts = places.groupBy(F.col("window").alias("of"), F.col("single").alias("of_single")).count().filter("count > 1")
+    counts = places.groupBy(F.col("window").alias("of"), F.col("kind").alias("of_kind")).count().filter("count > 1")
+    same = (F.col("window") == F.col("of")) & (F.col("kind") == F.col("of_kind"))
     # a very common pair makes a hot key on the large side only; Spark may split it
-    shared = places.join(counts, (F.col("window") == F.col("of")) & (F.col("single") == F.col("of_single")))
-    shared = shared.select("doc_id", "key", F.struct("place", "single", "count", "window", "one", "two").alias("w"))
+    shared = staged(places.join(counts, same).drop("of", "of_kind"), "line-windows")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "place")
+    firsts = shared.groupBy(F.col("window").alias("of"), F.col("kind").alias("of_kind")).agg(F.min(place).alias("least"))
+    flagged = shared.join(firsts, same).select("doc_id", "key", F.struct("place", "kind", "size", "count", "window", "one", "two", (place == F.col("least")).alias("first")).alias("w"))
     # equal rows of one document count as one
-    per_doc = shared.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("w")).alias("w"))
+    per_doc = flagged.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("w")).alias("w"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, out = [], []
             for i, w in enumerate(b.column("w").to_pylist()):
-                for c in chunks_of(*([x[f] for x in w] for f in ("place", "count", "window", "one", "two", "single")), divisor):
-                    rows.append(i)
-                    out.append(c)
-            start, end, dig = zip(*out, strict=True) if out else ((), (), ())
+                found = chunks_of(*([x[f] for x in w] for f in ("place", "count", "window", "one", "two", "kind")), divisor)
+                spans = [(start, start, end, digest, None) for start, end, digest in found] + windows_of(w)
+                rows += [i] * len(spans)
+                out += spans
+            start, cut, end, dig, first = zip(*out, strict=True) if out else ((), (), (), (), ())
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("key").take(at), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(dig, pa.binary())], ["doc_id", "key", "start", "end", "digest"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id").take(at), b.column("key").take(at), pa.array(start, pa.int32()), pa.array(cut, pa.int32()), pa.array(end, pa.int32()), pa.array(dig, pa.binary()), pa.array(first, pa.bool_())],
+                ["doc_id", "key", "start", "cut", "end", "digest", "first"],
+            )
 
-    found = staged(per_doc.mapInArrow(run, "doc_id long, key long, start int, end int, digest binary"), "line-chunks")
+    found = staged(per_doc.mapInArrow(run, "doc_id long, key long, start int, cut int, end int, digest binary, first boolean"), "line-chunks")
+    discard(shared)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "start")
-    groups = found.groupBy(F.col("digest").alias("of")).agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
-    spans = found.join(groups, F.col("digest") == F.col("of")).select("doc_id", "key", F.struct("start", "end", "digest", (place == F.col("first")).alias("first")).alias("span"))
-    return spans.groupBy("doc_id", "key").agg(F.collect_list("span").alias("spans"))
+    chunks = found.filter("first is null").drop("first")
+    groups = chunks.groupBy(F.col("digest").alias("of")).agg(F.count("*").alias("n"), F.min(place).alias("least")).filter("n > 1")
+    chunks = chunks.join(groups, F.col("digest") == F.col("of")).withColumn("first", place == F.col("least"))
+    fields = ("start", "cut", "end", "digest", "first")
+    spans = chunks.select("doc_id", "key", *fields, F.lit(False).alias("lone")).unionByName(found.filter("first is not null").select("doc_id", "key", *fields, F.lit(True).alias("lone")))
+    return spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct(*fields, "lone")).alias("spans"))
 
 
 def remove_repeated(docs: DataFrame, divisor: int = DIVISOR, long_line: int = LONG_LINE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,7 +179,10 @@ def remove_repeated(docs: DataFrame, divisor: int = DIVISOR, long_line: int = LO
     A chunk is removed if it has two lines or more that are not blank, or one
     line of ``long_line`` words, and its bytes occur at an earlier place; the
     place that stays is the one of the least id (null last), then the least
-    line.  Null texts stay null with no lines; an empty text has one line.  A
+    line.  The same holds for every two lines with only blank ones between, so
+    no run of lines that ``docs`` had earlier is left.  Where repeats overlap, a
+    line goes with the earliest of them, and each line that goes stays at an
+    earlier place.  Null texts stay null with no lines; an empty text has one line.  A
     text that loses all lines becomes empty.  Rows equal in id and text count
     as one document and are cut alike.  Single short lines always stay.
     """
@@ -160,15 +205,15 @@ def remove_repeated(docs: DataFrame, divisor: int = DIVISOR, long_line: int = LO
                 for text, found in zip(b.column(f"c{text_at}").to_pylist(), b.column("spans").to_pylist(), strict=True):
                     gone, seen = set(), []
                     lines = text.split("\n") if text is not None and found else []
-                    for s in found or ():
-                        if s["digest"] in clash:
+                    for s in sorted(found or (), key=lambda s: s["lone"]):
+                        if s["digest"] in clash or s["lone"] and not s["first"] and gone.issuperset(range(s["cut"], s["end"])):
                             continue
                         body = "\n".join(lines[s["start"] : s["end"]]).encode()
                         if known.setdefault(s["digest"], b"") != body or not body:
                             known[s["digest"]] = body
                             seen.append({"digest": s["digest"], "bytes": body})
                         if not s["first"]:
-                            gone.update(range(s["start"], s["end"]))
+                            gone.update(range(s["cut"], s["end"]))
                     texts.append("\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text)
                     n_lines.append(0 if text is None else text.count("\n") + 1)
                     removed.append(len(gone))
@@ -180,12 +225,15 @@ def remove_repeated(docs: DataFrame, divisor: int = DIVISOR, long_line: int = LO
         return run
 
     clash: frozenset[bytes] = frozenset()
-    done = staged(cut.mapInArrow(cutter(clash), schema), "line-cut")
-    pieces = done.filter("chunk is not null").select(F.explode("chunk").alias("c")).select("c.digest", "c.bytes")
-    ends = pieces.groupBy("digest").agg(F.min("bytes").alias("lo"), F.max("bytes").alias("hi")).filter("lo <> hi")
-    clash = frozenset(bytes(r[0]) for r in ends.select("digest").collect())
-    if clash:  # two different chunks under one digest: neither is touched
+    while True:
         done = staged(cut.mapInArrow(cutter(clash), schema), "line-cut")
+        pieces = done.filter("chunk is not null").select(F.explode("chunk").alias("c")).select("c.digest", "c.bytes")
+        ends = pieces.groupBy("digest").agg(F.min("bytes").alias("lo"), F.max("bytes").alias("hi")).filter("lo <> hi")
+        unlike = frozenset(bytes(r[0]) for r in ends.select("digest").collect())
+        if not unlike:
+            break
+        clash |= unlike  # different bytes under one digest: none of them is touched
+        discard(done)
     mine = ("n_lines", "removed_lines")
     return done.select(*[F.col(f).alias(n) for f, n in zip(fields, names, strict=True) if n not in mine], *mine)
 

@@ -70,3 +70,50 @@ def test_odd_rows(spark, odd, none, crowded):
     assert ld.clean_lines(crowded).columns == crowded.columns and ld.clean_lines(crowded).count() == odd.count()
     assert ld.remove_repeated(crowded).count() == odd.count()
     assert ld.clean_lines(odd).schema.simpleString() == odd.schema.simpleString()
+
+
+def left_by_hand(rows):
+    """What stays if both lines of every pair that stands at an earlier place go."""
+    first, out = {}, {}
+    for i, t in rows:
+        lines, gone = t.split("\n"), set()
+        for p, pair in enumerate(zip(lines, lines[1:], strict=False)):
+            at = first.setdefault(pair, (i, p))
+            if at != (i, p):
+                gone |= {x for x in (p, p + 1) if at[0] != i or x > at[1] + 1}
+        out[i] = "\n".join(x for p, x in enumerate(lines) if p not in gone)
+    return out
+
+
+def test_nested_passages_with_falling_counts(spark):
+    p = [f"passage line {i}" for i in range(1, 6)]
+    sizes = [5] * 4 + [4] * 2 + [3] * 2 + [2] * 2  # counts of pairs 10, 8, 6, 4
+    rows = [(i, "\n".join([f"own {i} a", *p[:n], f"own {i} b"])) for i, n in enumerate(sizes)]
+    got = run(spark, rows)
+    assert got[0] == (rows[0][1], 0)
+    assert all(got[i] == (f"own {i} a\nown {i} b", n) for i, n in enumerate(sizes) if i)
+    turned = [(9 - i, t) for i, t in rows]  # the shortest first: each line stays once
+    left = "\n".join(t for t, _ in run(spark, turned).values()).split("\n")
+    assert all(left.count(x) == 1 for x in p)
+
+
+def test_near_copies_edited_at_different_lines(spark):
+    rng = random.Random(11)
+    rows = []
+    for g in range(4):
+        body = [f"group {g} line {i}" for i in range(35)]
+        for c in range(12):
+            own = list(body)
+            for x in rng.sample(range(35), rng.randint(0, 4)):
+                own[x] = f"edit {g} {c} {x}"
+            rows.append((100 * g + c, "\n".join(own)))
+    got = run(spark, rows)
+    assert {i: t for i, (t, _) in got.items()} == left_by_hand(rows)
+    assert {x for t, _ in got.values() for x in t.split("\n") if x} == {x for _, t in rows for x in t.split("\n")}
+
+
+def test_lines_with_blank_ones_between_and_overlapping_repeats(spark):
+    rows = [(1, "a a\n\n\nb b\nc1"), (2, "o2\na a\n\n\nb b"), (3, "a a\n\nb b"), (4, "z z\nz z\nz z"), (5, "c1\n\nd"), (6, "u\nc1\n\n")]
+    got = run(spark, rows)
+    assert got[1][1] == 0 and got[2] == ("o2", 4) and got[3] == (rows[2][1], 0)
+    assert got[4] == ("z z\nz z", 1) and got[5][1] == 0 and got[6][1] == 0
