@@ -6,12 +6,13 @@ chunk ends between two lines if no other place has this pair, if the pair is
 rarer than the one before or after it, or at one hash in ``DIVISOR``.  As
 boundaries depend on neighbouring lines only, text put in before a passage does
 not move those inside it, and a passage between lines of its own gets a chunk of
-its own.  Chunks of several lines (or one long line) that occur again are removed after byte
+its own.  Chunks of several lines that occur again are removed after byte
 comparison; the first occurrence stays.
 
 Where counts fall along a passage, its chunks are single lines or lie elsewhere
 in each copy.  So every repeated window (two neighbouring lines that are not
-blank, with the blank ones between them) is posted as well, inside chunks too, and removed wherever the same bytes stand at an earlier place.
+blank, with the blank ones between them, or one long line) is posted as well,
+inside chunks too, and removed wherever the same bytes stand at an earlier place.
 """
 
 from __future__ import annotations
@@ -94,7 +95,7 @@ def windows(docs: DataFrame, long_line: int) -> DataFrame:
 def chunks_of(place: list[int], count: list[int], window: list[int], one: list[int], two: list[int], kind: list[int], divisor: int) -> list[tuple[int, int, bytes]]:
     """(start, end, digest) of the chunks of a document that may repeat, from its repeated windows in order of place."""
     pairs = {p: (c, w, a, b) for p, c, w, a, b, k in zip(place, count, window, one, two, kind, strict=True) if k == PAIR}
-    lone = {p: a for p, a, k in zip(place, one, kind, strict=True) if k == SINGLE}
+    lone = {p for p, k in zip(place, kind, strict=True) if k == SINGLE}
 
     def linked(p: int) -> bool:
         """No boundary between lines p and p + 1."""
@@ -118,9 +119,7 @@ def chunks_of(place: list[int], count: list[int], window: list[int], one: list[i
         inside = sum(x & 1 for x in hashes)
         if inside > 1 or p in lone:
             found.append((p, end + 1, xxhash.xxh3_128_digest(np.array(hashes, np.int64).tobytes())))
-    covered = {i for s, e, _ in found for i in range(s, e)}
-    found += [(p, p + 1, xxhash.xxh3_128_digest(np.array([h], np.int64).tobytes())) for p, h in lone.items() if p not in covered]
-    return sorted(found)
+    return found
 
 
 def windows_of(windows: list[dict]) -> list[tuple[int, int, int, bytes, bool]]:
@@ -128,7 +127,7 @@ def windows_of(windows: list[dict]) -> list[tuple[int, int, int, bytes, bool]]:
 
     ``cut`` is the first line to remove: where a window overlaps its own first place, that stays whole.
     """
-    own = [w for w in windows if w["kind"] == WIDE or w["kind"] == PAIR and w["one"] & w["two"] & 1]
+    own = [w for w in windows if w["kind"] != PAIR or w["one"] & w["two"] & 1]
     kept = {(w["kind"], w["window"]): w["place"] + w["size"] for w in own if w["first"]}
     # the digest is what the places were grouped by, so that unequal bytes in a group are noticed
     return [(w["place"], max(w["place"], kept.get((w["kind"], w["window"]), 0)), w["place"] + w["size"], b"%d" % w["kind"] + w["window"].to_bytes(8, "little", signed=True), w["first"]) for w in own]

@@ -112,6 +112,17 @@ def test_near_copies_edited_at_different_lines(spark):
     assert {x for t, _ in got.values() for x in t.split("\n") if x} == {x for _, t in rows for x in t.split("\n")}
 
 
+def test_a_long_line_goes_from_copied_documents_and_within_one(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"alone\n{long}\nend")]
+    for g in range(3):
+        rows += [(10 * g + c, f"head {g}\n{long}\ntail {g}") for c in (10, 11)]
+    rows.append((99, "\n".join(["x", *[f"{long} again"] * 6, "y"])))
+    got = run(spark, rows)
+    assert got[1][1] == 0 and all(got[10 * g + 10] == (f"head {g}\ntail {g}", 1) and got[10 * g + 11] == ("", 3) for g in range(3))
+    assert got[99] == (f"x\n{long} again\ny", 5)
+
+
 def test_lines_with_blank_ones_between_and_overlapping_repeats(spark):
     rows = [(1, "a a\n\n\nb b\nc1"), (2, "o2\na a\n\n\nb b"), (3, "a a\n\nb b"), (4, "z z\nz z\nz z"), (5, "c1\n\nd"), (6, "u\nc1\n\n")]
     got = run(spark, rows)
