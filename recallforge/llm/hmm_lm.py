@@ -3,7 +3,8 @@
 A word is emitted in two steps: a latent state emits a word class, the class
 emits the word by its smoothed count.  The most frequent words are classes of
 their own, the others share classes by their last letters, so the states have
-something to tell languages and registers apart by.  Expected counts of each
+something to tell languages and registers apart by.  States start from kinds of
+text, found by spherical k-means over pieces of all training documents.  Expected counts of each
 Baum-Welch pass are summed over all training documents; the scaled forward
 recursion then gives the exact likelihood of each text.
 """
@@ -28,8 +29,9 @@ OWN = 1024
 ENDINGS = 1024
 HEAD = 1 << 19
 PASSES = 2
-WARM_DOCS = 600
-WARM_ROUNDS = 12
+KIND_ROUNDS = 5
+PIECE = 250
+ANCHORS = 64
 CHUNK = 1_000_000
 SEGMENT = 2_000
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -299,69 +301,94 @@ def _classes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), "<i2").astype(np.int32), np.cumsum([0, *(len(r) // 2 for r in raw)])
 
 
-def baum_welch_pass(prepared: DataFrame, words: Words, model: Model) -> tuple[Model, float]:
-    """One pass over all training rows: expected counts by partition, summed, and normalised."""
-    shared = prepared.sparkSession.sparkContext.broadcast((words.classes, model))  # classes x states
-    states = len(model.start)
+def _summed(prepared: DataFrame, add, height: int, width: int) -> np.ndarray:
+    """The ``height`` x ``width`` sums that ``add(classes, bounds, into)`` makes of the class sequences of all training rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, m = shared.value
-        into = Counts.none(len(m.start), classes)
+        into = np.zeros((height, width))
         for b in batches:
-            cls, bounds = _classes(b.column("classes"))
-            bounds = _cut(bounds, SEGMENT)
-            first = 0
-            while first < len(bounds) - 1:  # in runs of about CHUNK words
-                last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + CHUNK)))
-                last = min(last, len(bounds) - 1)
-                expect(cls[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first], m, into)
-                first = last
-        rows = np.vstack([into.emit, into.move, into.start[None, :], np.full((1, len(m.start)), into.log_likelihood)])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows), dtype=np.int32)), *(pa.array(rows[:, s]) for s in range(len(m.start)))], ["at", *(f"s{s}" for s in range(len(m.start)))])
+            add(*_classes(b.column("classes")), into)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(height, dtype=np.int32)), *(pa.array(into[:, s]) for s in range(width))], ["at", *(f"s{s}" for s in range(width))])
 
     rows = prepared.filter("train and classes is not null").select("classes")
-    parts = rows.mapInArrow(run, "at int, " + ", ".join(f"s{s} double" for s in range(states)))
-    total = parts.groupBy("at").agg(*[F.sum(f"s{s}").alias(f"s{s}") for s in range(states)]).toPandas()
-    rows = np.zeros((words.classes + states + 2, states))
-    rows[total["at"].to_numpy(np.int64)] = total[[f"s{s}" for s in range(states)]].to_numpy()
-    k = words.classes
+    parts = rows.mapInArrow(run, "at int, " + ", ".join(f"s{s} double" for s in range(width)))
+    total = parts.groupBy("at").agg(*[F.sum(f"s{s}").alias(f"s{s}") for s in range(width)]).toPandas()
+    out = np.zeros((height, width))
+    out[total["at"].to_numpy(np.int64)] = total[[f"s{s}" for s in range(width)]].to_numpy()
+    return out
+
+
+def baum_welch_pass(prepared: DataFrame, words: Words, model: Model) -> tuple[Model, float]:
+    """One pass over all training rows: expected counts by partition, summed, and normalised."""
+    shared = prepared.sparkSession.sparkContext.broadcast(model)  # classes x states
+    states, k = len(model.start), words.classes
+
+    def add(cls: np.ndarray, bounds: np.ndarray, into: np.ndarray) -> None:
+        found = Counts(into[k + states], into[k : k + states], into[:k])
+        bounds = _cut(bounds, SEGMENT)
+        first = 0
+        while first < len(bounds) - 1:  # in runs of about CHUNK words
+            last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + CHUNK)))
+            last = min(last, len(bounds) - 1)
+            expect(cls[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first], shared.value, found)
+            first = last
+        into[-1] += found.log_likelihood
+
+    rows = _summed(prepared, add, k + states + 2, states)
     return Model.from_counts(rows[k + states], rows[k : k + states], rows[:k]), float(rows[-1, 0])
 
 
-def warm_start(docs: DataFrame, words: Words, states: int, n_docs: int = WARM_DOCS, rounds: int = WARM_ROUNDS, seed: int = 3) -> Model:
-    """A starting point from at most ``n_docs`` documents of up to 20,000 characters; every later pass reads all documents."""
-    share = min(1.0, 2 * n_docs / max(1, words.docs))  # tasks send little more than is used
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    short = docs.filter(F.length("text").between(1, 20_000)).select("text").filter(draw < int(share * (1 << 30))).orderBy(draw, "text").limit(n_docs)
-    texts = pa.array([r[0] for r in short.collect()], pa.string())
+def _pieces(cls: np.ndarray, bounds: np.ndarray, classes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Class counts of pieces of at most ``PIECE`` words, and the same at length 1, in blocks of pieces."""
+    bounds = _cut(bounds, PIECE)
+    bounds = bounds[np.append(True, np.diff(bounds) > 0)]
+    for at in range(0, len(bounds) - 1, 256):
+        part = bounds[at : at + 257]
+        n = len(part) - 1
+        own = np.repeat(np.arange(n), np.diff(part))
+        seen = np.bincount(own * classes + cls[part[0] : part[-1]], minlength=n * classes).reshape(n, classes).astype(np.float32)
+        yield seen, seen / np.sqrt(np.einsum("ij,ij->i", seen, seen))[:, None]
+
+
+def warm_start(prepared: DataFrame, words: Words, states: int, rounds: int = KIND_ROUNDS, seed: int = 3) -> Model:
+    """A starting point from kinds of text: spherical k-means over pieces of all training rows.
+
+    The first centres are profiles of pieces that hold a frequent word, each as
+    unlike those before it as can be.
+    """
+    context = prepared.sparkSession.sparkContext
     rng = np.random.default_rng(seed)
-    cls, bounds, *_ = sequences(texts, words)
-    # documents start in one state each, so that states first learn kinds of documents
-    counts = Counts.none(states, words.classes)
-    if len(texts):
-        own = np.repeat(np.arange(len(texts)), np.diff(bounds))
-        seen = np.zeros((len(texts), words.classes), np.float32)
-        np.add.at(seen, (own, cls), 1)
-        seen /= np.sqrt((seen**2).sum(axis=1, keepdims=True))
-        centre = [int(rng.integers(len(texts)))]
-        near = seen @ seen[centre[0]]
-        while len(centre) < states:
-            centre.append(int(np.argmin(near)))
-            near = np.maximum(near, seen @ seen[centre[-1]])
-        mean = seen[centre]
-        for _ in range(5):
-            of = np.argmax(seen @ mean.T, axis=1)
-            mean = np.array([seen[of == s].sum(axis=0) if (of == s).any() else seen[centre[s]] for s in range(states)])
-            mean /= np.maximum(np.sqrt((mean**2).sum(axis=1, keepdims=True)), 1e-9)
-        np.add.at(counts.emit, (cls, of[own]), 1.0)
-        counts.emit += counts.emit.sum(axis=1, keepdims=True) * 0.02 / states
-    counts.move += np.eye(states) * 50 + rng.random((states, states))
-    model = Model.from_counts(counts.start, counts.move, counts.emit)
-    for _ in range(rounds):
-        counts = Counts.none(states, words.classes)
-        expect(cls, bounds, model, counts)
-        model = Model.from_counts(counts.start, counts.move, counts.emit)
-    return model
+    k = words.classes
+
+    def profiles(cls: np.ndarray, bounds: np.ndarray, into: np.ndarray) -> None:
+        for seen, unit in _pieces(cls, bounds, k):
+            into += unit.T @ (seen[:, 1 : 1 + ANCHORS] > 0).astype(np.float32)
+
+    found = _summed(prepared, profiles, k, ANCHORS).T if words.docs else np.zeros((0, k))
+    found = found[found.any(axis=1)]
+    found /= np.sqrt((found**2).sum(axis=1, keepdims=True))
+    mean = rng.random((states, k))
+    near = np.zeros(len(found))
+    for s in range(min(states, len(found))):
+        mean[s] = found[int(np.argmin(near)) if s else 0]
+        near = np.maximum(near, found @ mean[s])
+    mean /= np.sqrt((mean**2).sum(axis=1, keepdims=True))
+    emit = np.zeros((k, states))
+    for _ in range(rounds if words.docs else 0):
+        shared = context.broadcast(mean.astype(np.float32))  # states x classes
+
+        def add(cls: np.ndarray, bounds: np.ndarray, into: np.ndarray, shared=shared) -> None:
+            for seen, unit in _pieces(cls, bounds, k):
+                of = np.eye(states, dtype=np.float32)[np.argmax(unit @ shared.value.T, axis=1)]
+                into[:, :states] += unit.T @ of
+                into[:, states:] += seen.T @ of
+
+        sums = _summed(prepared, add, k, 2 * states)
+        emit, size = sums[:, states:], np.sqrt((sums[:, :states] ** 2).sum(axis=0))
+        mean[size > 0] = (sums[:, :states].T)[size > 0] / size[size > 0, None]
+    # unequal shares, so that states differ even where all pieces are of one kind
+    emit = emit + emit.sum(axis=1, keepdims=True) * 0.04 / states * rng.random((k, states))
+    return Model.from_counts(np.zeros(states), np.eye(states) * 50 + rng.random((states, states)), emit)
 
 
 @dataclass
@@ -377,8 +404,8 @@ def _counted(docs: DataFrame, head: int) -> tuple[DataFrame, Words]:
     return vocab, gather(vocab, docs.count(), head)
 
 
-def _trained(docs: DataFrame, prepared: DataFrame, vocab: DataFrame, words: Words, states: int, passes: int) -> LanguageModel:
-    model = warm_start(docs, words, states)
+def _trained(prepared: DataFrame, vocab: DataFrame, words: Words, states: int, passes: int) -> LanguageModel:
+    model = warm_start(prepared, words, states)
     likelihoods = []
     for _ in range(passes if words.docs else 0):
         model, value = baum_welch_pass(prepared, words, model)
@@ -390,7 +417,7 @@ def fit(docs: DataFrame, states: int = STATES, passes: int = PASSES, head: int =
     """Train on all rows of ``docs``; a null text counts as empty."""
     docs = docs.select(F.lit(None).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     vocab, words = _counted(docs, head)
-    return _trained(docs, prepare(docs, words), vocab, words, states, passes)
+    return _trained(prepare(docs, words), vocab, words, states, passes)
 
 
 def score(docs: DataFrame, lm: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -440,5 +467,5 @@ def train_and_score(docs: DataFrame, parts: int = 7, held: int = 2, states: int
     own = docs.filter(trains).select(F.coalesce("text", F.lit("")).alias("text"))
     vocab, words = _counted(own, head)
     prepared = prepare(docs, words, train=trains)
-    found = _scores(prepared, _trained(own, prepared, vocab, words, states, passes))
+    found = _scores(prepared, _trained(prepared, vocab, words, states, passes))
     return found.withColumn("held_out", F.coalesce(folds("doc_id", parts) == held, F.lit(False))).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

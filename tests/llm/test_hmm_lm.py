@@ -117,3 +117,13 @@ def test_nothing_to_learn_from(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     r = lm.train_and_score(spark.createDataFrame([(held, "a b")], DOCS)).first()
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and abs(r.base_score) < 1e-9
+
+
+def test_long_documents_alone_tell_states_apart(spark, words):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(words[:400] if i % 2 else words[400:800]) for _ in range(6000))) for i in range(2)]
+    assert all(len(t) > 20_000 for _, t in rows)
+    fitted = lm.fit(spark.createDataFrame(rows, DOCS).select("text"), states=2, passes=1)
+    emit = fitted.model.emit[1 : 1 + lm.OWN]
+    kind = emit[:, 0] > emit[:, 1]
+    assert np.abs(emit[:, 0] - emit[:, 1]).sum() > 1 and 300 < kind.sum() < 900
