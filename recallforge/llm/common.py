@@ -5,9 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,11 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``.  Only where that is unset (a
-    single machine, as in tests) a temporary folder takes its place.
+    It is the session's ``spark.checkpoint.dir``.  Where that is unset, a local
+    session (as in tests) gets a temporary folder; on a cluster, whose machines
+    don't share one, this raises.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="recallforge-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -78,18 +83,51 @@ def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 BATCH_ROWS = 512
+BATCH_BYTES = 4 << 20
 
 
-def frugal(df: DataFrame) -> DataFrame:
-    """``df``, with Arrow batches of at most ``BATCH_ROWS`` rows from now on, unless the session names a size.
+def portions(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows and about ``size`` bytes of strings, but of one row at least.
 
-    Whole texts pass through Python, and workers share an executor's memory.
+    Spark bounds its Arrow batches (64 MB unless the session says otherwise);
+    what an operator makes of a batch is larger than the batch.
     """
-    spark = df.sparkSession
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(BATCH_ROWS))
-    return df
+    for b in batches:
+        if not b.num_rows:
+            continue
+        total = np.zeros(b.num_rows, np.int64)
+        for c in b.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type):
+                total += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        total = np.cumsum(total)
+        first = 0
+        while first < b.num_rows:
+            before = int(total[first - 1]) if first else 0
+            last = min(first + rows, max(first + 1, int(np.searchsorted(total, before + size, side="right"))))
+            yield b.slice(first, last - first)
+            first = last
+
+
+#: A key with more rows than this share of all is hot; so at most 1 / HOT_SHARE keys are.
+HOT_SHARE = 0.001
+
+
+def join_counted(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``facts``, one row a key of it with the key's number of rows in ``n``.
+
+    The facts of hot keys, fewer than 1 / ``HOT_SHARE`` rows by their definition,
+    go to the rows; all other keys are dealt out, and none of these is large.
+    Neither side's columns may share names but ``keys``, and keys are not null.
+    """
+    hot = F.col(n) > max(1.0, total * HOT_SHARE)
+    to = [F.col(k).alias(f"_{k}") for k in keys]
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k) == F.col(f"_{k}")
+    some = facts.filter(hot).select(*to, *[c for c in facts.columns if c not in keys])
+    by_hot = rows.join(F.broadcast(some), same).drop(*[f"_{k}" for k in keys])
+    cold = rows.join(F.broadcast(some.select(*[f"_{k}" for k in keys])), same, "left_anti")
+    return by_hot.unionByName(cold.join(facts.filter(~hot), keys))
 
 
 def text_key(column: str = "text") -> F.Column:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, staged, text_key
+from .common import portions, staged, text_key
 
 BROADCAST_ROWS = 1_000_000
 SAMPLE = 30
@@ -50,7 +50,7 @@ def _map_text(docs: DataFrame, make, schema: str) -> DataFrame:
             types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
             yield pa.RecordBatch.from_arrays([pa.array(c, types[f.split()[1]]) for c, f in zip(columns, schema.split(", "), strict=True)], names)
 
-    return frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def clashes(docs: DataFrame, found: DataFrame) -> frozenset[str]:
@@ -95,7 +95,7 @@ def _with_next(docs: DataFrame) -> DataFrame:
     both.  The last place gets the first document of all.
     """
     spark = docs.sparkSession
-    rows = frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), F.col("text").cast("string").alias("text"))
     places = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     # about SAMPLE ids a place, chosen by hash; only where places begin depends on them
     share = min(1.0, SAMPLE * places / max(1, rows.count()))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, staged, text_buffer, word_bounds, word_hashes
+from .common import portions, staged, text_buffer, word_bounds, word_hashes
 from .lang_id import folds
 
 STATES = 8
@@ -64,22 +64,21 @@ def vocabulary(docs: DataFrame) -> DataFrame:
             held.clear()
             return word, e[at], np.bincount(back, weights=n, minlength=len(word)).astype(np.int64)
 
-        for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                h, ending, _ = words_of(b.column("text").slice(at, 2048))
-                word, first, n = np.unique(h, return_index=True, return_counts=True)
-                held.append((word, ending[first], n.astype(np.int64)))
-                size += len(word)
-                if size > 4_000_000:
-                    part = merged()
-                    held, size = [part], len(part[0])
-                    if size > 2_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in part], ["word", "ending", "n"])
-                        held, size = [], 0
+        for b in portions(batches, 2048):
+            h, ending, _ = words_of(b.column("text"))
+            word, first, n = np.unique(h, return_index=True, return_counts=True)
+            held.append((word, ending[first], n.astype(np.int64)))
+            size += len(word)
+            if size > 4_000_000:
+                part = merged()
+                held, size = [part], len(part[0])
+                if size > 2_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in part], ["word", "ending", "n"])
+                    held, size = [], 0
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in merged()], ["word", "ending", "n"])
 
-    parts = frugal(docs).select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word long, ending int, n long")
+    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word long, ending int, n long")
     return parts.groupBy("word", "ending").agg(F.sum("n").alias("n"))
 
 
@@ -111,15 +110,16 @@ class Words:
 
 
 def gather(vocab: DataFrame, docs: int, head: int = HEAD) -> Words:
-    """The vocabulary's totals over all words, and its most frequent words, all of one count or none."""
-    sizes = {r[0]: r[1] for r in vocab.groupBy("n").count().collect()}  # one row for each distinct count
-    room, least = head, None
-    for n in sorted(sizes, reverse=True):
-        room -= sizes[n]
+    """The vocabulary's totals over all words, and its most frequent words, all of about one count or none."""
+    level = F.floor(F.log2("n") * 16).cast("int")  # at most 1,024 of them, however many counts there are
+    sizes = {r[0]: r[1:] for r in vocab.groupBy(level.alias("level")).agg(F.count("*"), F.sum("n")).collect()}
+    room, least = head, 2**31 - 1
+    for at in sorted(sizes, reverse=True):
+        room -= sizes[at][0]
         if room < 0:
             break
-        least = n
-    top = vocab.filter(F.col("n") >= (least if least is not None else 2**62)).select("word", "ending", "n").toPandas()
+        least = at
+    top = vocab.filter(level >= least).select("word", "ending", "n").toPandas()
     word, count = top["word"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
     order = np.lexsort((word, -count))
     own = np.full(len(word), -1, np.int64)
@@ -130,8 +130,8 @@ def gather(vocab: DataFrame, docs: int, head: int = HEAD) -> Words:
     mass -= np.bincount(top["ending"].to_numpy(np.int64)[order[:OWN]], weights=count[order[:OWN]], minlength=ENDINGS)
     types -= np.bincount(top["ending"].to_numpy(np.int64)[order[:OWN]], minlength=ENDINGS)
     by = np.argsort(word)
-    tokens = sum(n * k for n, k in sizes.items()) + docs
-    return Words(word[by], count[by], own[by], np.log10(mass + types + 1), docs, int(tokens), sum(sizes.values()) + (docs > 0))
+    tokens, distinct = (sum(x[i] for x in sizes.values()) for i in (1, 0))
+    return Words(word[by], count[by], own[by], np.log10(mass + types + 1), docs, int(tokens) + docs, int(distinct) + (docs > 0))
 
 
 @dataclass
@@ -160,20 +160,91 @@ class Counts:
         return cls(np.zeros(states), np.zeros((states, states)), np.zeros((classes, states)))
 
 
-def _by_length(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _by_length(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sequences from the longest down, their starts, and how many reach each step."""
-    n = np.diff(bounds)
+    n = ends - starts
     order = np.argsort(-n, kind="stable")
     n = n[order]
     order, n = order[n > 0], n[n > 0]
     alive = np.searchsorted(-n, -np.arange(1, (n[0] if len(n) else 0) + 1), side="right")
-    return order, bounds[:-1][order], alive
+    return order, starts[order], alive
+
+
+def _transfers(classes: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """For each sequence the matrix that takes the states before its first word to those after its last, scaled, and the logarithm of the scale."""
+    order, starts, alive = _by_length(starts, ends)
+    states = len(model.start)
+    a, log = np.repeat(np.eye(states)[None], len(order), axis=0), np.zeros(len(order))
+    for t, k in enumerate(alive.tolist()):
+        step = (a[:k] * model.emit[classes[starts[:k] + t]][:, None, :]).reshape(-1, states) @ model.move
+        step = step.reshape(k, states, states)
+        scale = step.sum(axis=(1, 2))
+        a[:k] = step / scale[:, None, None]
+        log[:k] += np.log(scale)
+    back = np.argsort(order)
+    return a[back], log[back]
+
+
+@dataclass
+class Segments:
+    """Sequences cut into segments of bounded length, with what the rest of its sequence tells each of them.
 
+    ``entry`` holds the shares of the states before a segment's first word given
+    all words before it, ``after`` the likelihood of all words behind it by the
+    state of the next one (zeros at an end), each exact up to a factor.  So
+    segments give the counts of their whole sequences, in any order.
+    """
 
-def forward(classes: np.ndarray, bounds: np.ndarray, model: Model) -> np.ndarray:
-    """Natural log likelihood of each class sequence by the scaled forward recursion."""
-    order, starts, alive = _by_length(bounds)
+    bounds: np.ndarray
+    first: np.ndarray
+    entry: np.ndarray
+    after: np.ndarray
+    likelihood: dict[int, float]  # natural logarithms, of the sequences that were cut
+
+
+def segments(classes: np.ndarray, bounds: np.ndarray, model: Model, most: int) -> Segments:
+    cut = _cut(bounds, most)
+    first = np.isin(cut[:-1], bounds[:-1])
+    entry = np.repeat(model.start[None], len(first), axis=0)
+    after = np.zeros_like(entry)
+    likelihood: dict[int, float] = {}
+    docs = np.flatnonzero(np.diff(bounds) > most)
+    lows, highs = np.searchsorted(cut, bounds[docs], side="right") - 1, np.searchsorted(cut, bounds[docs + 1])
+    parts = np.concatenate([np.arange(lo, hi) for lo, hi in zip(lows.tolist(), highs.tolist(), strict=True)]) if len(docs) else np.empty(0, np.int64)
+    moves, logs = _transfers(classes, cut[parts], cut[parts + 1], model)
+    at = 0
+    for doc, lo, hi in zip(docs.tolist(), lows.tolist(), highs.tolist(), strict=True):
+        own, total, now = moves[at : at + hi - lo], float(logs[at : at + hi - lo].sum()), model.start
+        at += hi - lo
+        for i in range(hi - lo):
+            entry[lo + i] = now
+            now = now @ own[i]
+            total += math.log(now.sum())
+            now = now / now.sum()
+        behind = np.ones(len(now))
+        for i in range(hi - lo - 1, 0, -1):
+            behind = own[i] @ behind
+            behind = behind / behind.sum()
+            after[lo + i - 1] = behind
+        likelihood[doc] = total
+    return Segments(cut, first, entry, after, likelihood)
+
+
+def forward(classes: np.ndarray, bounds: np.ndarray, model: Model, most: int | None = None) -> np.ndarray:
+    """Natural log likelihood of each class sequence by the scaled forward recursion.
+
+    Sequences longer than ``most`` go segment by segment, all segments at once;
+    the value is the same.
+    """
+    most = SEGMENT if most is None else most
     out = np.zeros(len(bounds) - 1)
+    n = np.diff(bounds)
+    if (n > most).any():
+        for doc, value in segments(classes, bounds, model, most).likelihood.items():
+            out[doc] = value
+    order, starts, alive = _by_length(bounds[:-1], bounds[1:])
+    short = n[order] <= most
+    order, starts, alive = order[short], starts[short], alive[:most] - int((~short).sum())
     if not len(order):
         return out
     alpha = model.start * model.emit[classes[starts]]
@@ -181,6 +252,8 @@ def forward(classes: np.ndarray, bounds: np.ndarray, model: Model) -> np.ndarray
     alpha /= scale[:, None]
     total = np.log(scale)
     for t, k in enumerate(alive[1:].tolist(), 1):
+        if not k:
+            break
         alpha = (alpha[:k] @ model.move) * model.emit[classes[starts[:k] + t]]
         scale = alpha.sum(axis=1)
         alpha /= scale[:, None]
@@ -189,24 +262,36 @@ def forward(classes: np.ndarray, bounds: np.ndarray, model: Model) -> np.ndarray
     return out
 
 
-def expect(classes: np.ndarray, bounds: np.ndarray, model: Model, into: Counts) -> None:
-    """Add the expected counts of the sequences (forward and backward recursion) to ``into``."""
-    order, starts, alive = _by_length(bounds)
+def expect(classes: np.ndarray, bounds: np.ndarray, model: Model, into: Counts, entry: np.ndarray | None = None, after: np.ndarray | None = None, first: np.ndarray | None = None) -> None:
+    """Add the expected counts of the sequences (forward and backward recursion) to ``into``.
+
+    ``entry``, ``after`` and ``first`` are those of :class:`Segments`; without
+    them, each sequence stands by itself.
+    """
+    order, starts, alive = _by_length(bounds[:-1], bounds[1:])
     if not len(order):
         return
     states = len(model.start)
     alphas = np.empty((len(classes), states), np.float32)
     scales = np.empty(len(classes), np.float32)
-    alpha = None
+    alpha = np.repeat(model.start[None], len(order), axis=0) if entry is None else entry[order]
     for t, k in enumerate(alive.tolist()):
         at = starts[:k] + t
-        alpha = (model.start if t == 0 else alpha[:k] @ model.move) * model.emit[classes[at]]
+        alpha = (alpha if t == 0 else alpha[:k] @ model.move) * model.emit[classes[at]]
         scale = alpha.sum(axis=1)
         alpha /= scale[:, None]
         alphas[at], scales[at] = alpha, scale
         into.log_likelihood += float(np.log(scale).sum())
     gamma = alphas  # becomes the posterior in place, from the end
     beta = np.ones((len(order), states))
+    if after is not None and (more := np.flatnonzero(after[order].any(axis=1))).size:
+        last = bounds[1:][order[more]] - 1
+        next_ = after[order[more]]
+        ahead = next_ @ model.move.T
+        weight = (alphas[last] * ahead).sum(axis=1)
+        into.move += ((alphas[last] / weight[:, None]).T @ next_) * model.move  # the step over the cut
+        beta[more] = ahead / weight[:, None]
+        gamma[last] = alphas[last] * beta[more]
     for t in range(len(alive) - 1, 0, -1):
         k = alive[t]
         at = starts[:k] + t
@@ -215,7 +300,8 @@ def expect(classes: np.ndarray, bounds: np.ndarray, model: Model, into: Counts)
         into.move += (before.T @ step) * model.move
         beta[:k] = step @ model.move.T
         gamma[at - 1] = before * beta[:k]
-    into.start += gamma[starts].sum(axis=0, dtype=np.float64)
+    begun = starts if first is None else starts[first[order]]
+    into.start += gamma[begun].sum(axis=0, dtype=np.float64)
     for s in range(states):
         into.emit[:, s] += np.bincount(classes, weights=gamma[:, s], minlength=len(into.emit))
 
@@ -230,18 +316,8 @@ def sequences(texts: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray, np
     return out, bounds + np.arange(len(bounds)), h, count, known
 
 
-def _slices(column: pa.Array) -> Iterator[pa.Array]:
-    """Runs of texts of about ``CHUNK`` words at most, or single longer texts."""
-    _, offsets = text_buffer(column)
-    first = 0
-    for i in range(1, len(offsets)):
-        if i == len(offsets) - 1 or offsets[i + 1] - offsets[first] > 7 * CHUNK:
-            yield first, i
-            first = i
-
-
 def _cut(bounds: np.ndarray, most: int) -> np.ndarray:
-    """Bounds with long sequences cut into segments for training."""
+    """Bounds with long sequences cut into runs of ``most`` words."""
     if (np.diff(bounds) <= most).all():
         return bounds
     more = [np.arange(a, b, most) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
@@ -260,37 +336,35 @@ def prepare(docs: DataFrame, words: Words, id_col: str = "doc_id", text_col: str
     """
     shared = docs.sparkSession.sparkContext.broadcast(words)  # bounded by HEAD words
     flag = F.lit(True) if train is None else F.coalesce(train, F.lit(False))
-    rows = frugal(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), flag.alias("train"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), flag.alias("train"))
     names = [f.split()[0] for f in PREPARED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         serial = TaskContext.get().partitionId() << 36
-        for b in batches:
-            for lo, hi in _slices(b.column("text")):
-                part = b.slice(lo, hi - lo)
-                cls, bounds, h, count, known = sequences(part.column("text"), w)
-                n = np.diff(bounds) - 1
-                doc = np.repeat(np.arange(len(n)), n)
-                word_cls = cls[np.arange(len(h)) + doc]
-                logs = np.log10(count + 1)
-                inside = np.bincount(doc, weights=np.where(word_cls > OWN, logs - w.log_class[np.maximum(word_cls - 1 - OWN, 0)], 0.0), minlength=len(n))
-                counts = np.bincount(doc, weights=logs, minlength=len(n)) + math.log10(w.docs + 1)
-                found = np.bincount(doc, weights=known, minlength=len(n)).astype(np.int64) + (w.docs > 0)
-                row = serial + np.arange(len(n))
-                serial += len(n)
-                none = pa.nulls(len(n), pa.int64())
-                raw = pa.array([c.tobytes() for c in np.split(cls.astype("<i2"), bounds[1:-1])] if len(n) else [], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(row), part.column("doc_id"), part.column("train"), pa.array(n + 1), pa.array(found), pa.array(counts), pa.array(inside), raw, none, none], names)
-                if w.types <= len(w.head) + 1:
-                    continue
-                rare = np.flatnonzero(~known)
-                order = rare[np.lexsort((h[rare], doc[rare]))]
-                if len(order):
-                    at = np.flatnonzero(np.append(True, (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])))
-                    times = np.diff(np.append(at, len(order)))
-                    none = [pa.nulls(len(at), t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())]
-                    yield pa.RecordBatch.from_arrays([pa.array(row[doc[order[at]]]), *none, pa.array(h[order[at]]), pa.array(times)], names)
+        for part in portions(batches):
+            cls, bounds, h, count, known = sequences(part.column("text"), w)
+            n = np.diff(bounds) - 1
+            doc = np.repeat(np.arange(len(n)), n)
+            word_cls = cls[np.arange(len(h)) + doc]
+            logs = np.log10(count + 1)
+            inside = np.bincount(doc, weights=np.where(word_cls > OWN, logs - w.log_class[np.maximum(word_cls - 1 - OWN, 0)], 0.0), minlength=len(n))
+            counts = np.bincount(doc, weights=logs, minlength=len(n)) + math.log10(w.docs + 1)
+            found = np.bincount(doc, weights=known, minlength=len(n)).astype(np.int64) + (w.docs > 0)
+            row = serial + np.arange(len(n))
+            serial += len(n)
+            none = pa.nulls(len(n), pa.int64())
+            raw = pa.array([c.tobytes() for c in np.split(cls.astype("<i2"), bounds[1:-1])] if len(n) else [], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(row), part.column("doc_id"), part.column("train"), pa.array(n + 1), pa.array(found), pa.array(counts), pa.array(inside), raw, none, none], names)
+            if w.types <= len(w.head) + 1:
+                continue
+            rare = np.flatnonzero(~known)
+            order = rare[np.lexsort((h[rare], doc[rare]))]
+            if len(order):
+                at = np.flatnonzero(np.append(True, (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])))
+                times = np.diff(np.append(at, len(order)))
+                none = [pa.nulls(len(at), t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(row[doc[order[at]]]), *none, pa.array(h[order[at]]), pa.array(times)], names)
 
     return staged(rows.mapInArrow(run, PREPARED), "lm-prepared")
 
@@ -306,7 +380,7 @@ def _summed(prepared: DataFrame, add, height: int, width: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         into = np.zeros((height, width))
-        for b in batches:
+        for b in portions(batches, 1 << 20, 2 * CHUNK):
             add(*_classes(b.column("classes")), into)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(height, dtype=np.int32)), *(pa.array(into[:, s]) for s in range(width))], ["at", *(f"s{s}" for s in range(width))])
 
@@ -325,13 +399,12 @@ def baum_welch_pass(prepared: DataFrame, words: Words, model: Model) -> tuple[Mo
 
     def add(cls: np.ndarray, bounds: np.ndarray, into: np.ndarray) -> None:
         found = Counts(into[k + states], into[k : k + states], into[:k])
-        bounds = _cut(bounds, SEGMENT)
-        first = 0
-        while first < len(bounds) - 1:  # in runs of about CHUNK words
-            last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + CHUNK)))
-            last = min(last, len(bounds) - 1)
-            expect(cls[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first], shared.value, found)
-            first = last
+        cut = segments(cls, bounds, shared.value, SEGMENT)
+        bounds, at = cut.bounds, 0
+        while at < len(bounds) - 1:  # in runs of about CHUNK words
+            to = min(len(bounds) - 1, max(at + 1, int(np.searchsorted(bounds, bounds[at] + CHUNK))))
+            expect(cls[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at], shared.value, found, cut.entry[at:to], cut.after[at:to], cut.first[at:to])
+            at = to
         into[-1] += found.log_likelihood
 
     rows = _summed(prepared, add, k + states + 2, states)
@@ -437,7 +510,7 @@ def _scores(prepared: DataFrame, lm: LanguageModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in portions(batches, 1 << 20, 2 * CHUNK):
             cls, bounds = _classes(b.column("classes"))
             hidden = forward(cls, bounds, m) / math.log(10)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(hidden, pa.float64())], [*b.schema.names[:-1], "hidden"])

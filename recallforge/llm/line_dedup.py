@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, frugal, mix64, numbered, staged, text_buffer, text_key, word_counts
+from .common import discard, mix64, numbered, staged, text_buffer, text_key, word_counts
 
 DIVISOR = 16
 LONG_LINE = 50
@@ -89,7 +89,7 @@ def windows(docs: DataFrame, long_line: int) -> DataFrame:
                 ["doc_id", "key", "place", "size", "window", "one", "two", "kind"],
             )
 
-    return frugal(docs).select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, place int, size int, window long, one long, two long, kind byte")
+    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, place int, size int, window long, one long, two long, kind byte")
 
 
 def chunks_of(place: list[int], count: list[int], window: list[int], one: list[int], two: list[int], kind: list[int], divisor: int) -> list[tuple[int, int, bytes]]:

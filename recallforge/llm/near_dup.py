@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, frugal, mix64, numbered, staged, text_buffer, word_bounds, word_hashes
+from .common import discard, mix64, numbered, portions, staged, text_buffer, text_key, word_bounds, word_hashes
 
 COORDINATES = 48
 MATCHES = 25
@@ -85,21 +85,19 @@ def sign(docs: DataFrame, words: int, coordinates: int, id_col: str = "doc_id",
     """(doc_id, n_shingles, class, sig): class is a 128-bit digest of the set; both are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                b = whole.slice(at, ROWS)
-                sets = shingle_sets(b.column("text"), words)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("doc_id"),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                        pa.array([signature(s, coordinates).tobytes() if len(s) else None for s in sets], pa.binary()),
-                    ],
-                    ["doc_id", "n_shingles", "class", "sig"],
-                )
-
-    rows = frugal(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        for b in portions(batches, ROWS):
+            sets = shingle_sets(b.column("text"), words)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("doc_id"),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                    pa.array([signature(s, coordinates).tobytes() if len(s) else None for s in sets], pa.binary()),
+                ],
+                ["doc_id", "n_shingles", "class", "sig"],
+            )
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_shingles long, class binary, sig binary")
 
 
@@ -164,19 +162,17 @@ def _confirm(pairs: DataFrame, sources: DataFrame, words: int, percent: int) ->
     both = left.join(right, F.col("b") == F.col("of"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                c = whole.slice(at, 256)
-                hit = []
-                held: tuple[str, np.ndarray] | None = None
-                for s, second in zip(shingle_sets(c.column("text_a"), words), c.column("text_b"), strict=True):
-                    second = second.as_py()
-                    if held is None or held[0] != second:
-                        held = (second, shingle_sets(pa.array([second], pa.string()), words)[0])
-                    common = _common(s, held[1])
-                    hit.append(100 * common >= percent * (len(s) + len(held[1]) - common))
-                hit = pa.array(hit)
-                yield pa.RecordBatch.from_arrays([c.column("a").filter(hit), c.column("b").filter(hit)], ["a", "b"])
+        for c in portions(batches, 256):
+            hit = []
+            held: tuple[str, np.ndarray] | None = None
+            for s, second in zip(shingle_sets(c.column("text_a"), words), c.column("text_b"), strict=True):
+                second = second.as_py()
+                if held is None or held[0] != second:
+                    held = (second, shingle_sets(pa.array([second], pa.string()), words)[0])
+                common = _common(s, held[1])
+                hit.append(100 * common >= percent * (len(s) + len(held[1]) - common))
+            hit = pa.array(hit)
+            yield pa.RecordBatch.from_arrays([c.column("a").filter(hit), c.column("b").filter(hit)], ["a", "b"])
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
@@ -192,13 +188,11 @@ def _payload(sources: DataFrame, live: DataFrame, words: int) -> DataFrame:
     """(node, n, small, fine): the set as 32-bit hashes if it is small, and a longer signature of bytes if it is not very small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                b = whole.slice(at, ROWS)
-                sets = shingle_sets(b.column("text"), words)
-                small = [np.unique(s >> np.uint64(32)).astype("<u4").tobytes() if len(s) <= SET_LIMIT else None for s in sets]
-                fine = [(signature(s, FINE) & np.uint32(255)).astype(np.uint8).tobytes() if len(s) > SET_LIMIT // 2 else None for s in sets]
-                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([len(s) for s in sets], pa.int32()), pa.array(small, pa.binary()), pa.array(fine, pa.binary())], ["node", "n", "small", "fine"])
+        for b in portions(batches, ROWS):
+            sets = shingle_sets(b.column("text"), words)
+            small = [np.unique(s >> np.uint64(32)).astype("<u4").tobytes() if len(s) <= SET_LIMIT else None for s in sets]
+            fine = [(signature(s, FINE) & np.uint32(255)).astype(np.uint8).tobytes() if len(s) > SET_LIMIT // 2 else None for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([len(s) for s in sets], pa.int32()), pa.array(small, pa.binary()), pa.array(fine, pa.binary())], ["node", "n", "small", "fine"])
 
     return sources.join(_few(live), "node", "left_semi").select("node", "text").distinct().mapInArrow(run, "node long, n int, small binary, fine binary")
 

@@ -22,17 +22,30 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, staged
+from .common import portions, staged
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _encoders: dict = {}
 
 
+def merges_by_id(vocab: dict[str, int], merges: list, added: list[str]) -> bool:
+    """Whether every token is a byte, an added one or made by one merge, and the merges make ids in rising order."""
+    made = []
+    for m in merges:
+        left, right = m if isinstance(m, list) else m.split(" ")
+        made.append(vocab.get(left + right, -1))
+    rising = all(a < b for a, b in zip([-1, *made], made, strict=False))
+    return rising and set(made) | {i for t, i in vocab.items() if len(t) == 1 or t in added} == set(vocab.values())
+
+
 class Encoder:
     """Token ids of a byte-level BPE vocabulary in the JSON format of ``tokenizers``.
 
     Plain texts go through the same merges in ``tiktoken``, which is four times
-    as fast; a text that spells an added token goes through ``tokenizers``.
+    as fast; a text that spells an added token goes through ``tokenizers``, and
+    so do all texts where the merges aren't in the order of the ids they make
+    (``tiktoken`` merges by least id) or the file asks for more than byte-level
+    merging.
     """
 
     PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -47,10 +60,12 @@ class Encoder:
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         pre = spec.get("pre_tokenizer") or {}
         self.fast = None
-        if spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer"):
+        model = spec["model"]
+        plain_model = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        if plain_model and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and merges_by_id(model["vocab"], model["merges"], self.added):
             plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
             spelled = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-            ranks = {bytes(spelled[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.added}
+            ranks = {bytes(spelled[c] for c in token): i for token, i in model["vocab"].items() if token not in self.added}
             self.fast = tiktoken.Encoding("from-json", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
@@ -119,7 +134,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     repeat an id are packed one by one; null ids stay null; an empty table
     gives no rows.  Other columns are ignored.
     """
-    rows = frugal(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
@@ -143,7 +158,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-        for b in batches:
+        for b in portions(batches):
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 ids = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4")
                 n = len(ids)

@@ -44,7 +44,7 @@ def op2_ann_one_bit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
-    return mix.select("doc_id", "source", "size", "source_size", "target", "taken")
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def op4_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

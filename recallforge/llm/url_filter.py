@@ -41,15 +41,18 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     null url, or one without ``://``, has an empty host and path and fits no
     rule; pages without a rule get ``default``.  Rules with a null in host,
     path or verdict are ignored.  Every distinct (host, path) is judged once,
-    so repeated addresses cost one expansion.
+    so repeated addresses cost one expansion, and hosts and paths are cut only
+    where some rule's could end, so that an address of any length gives no more
+    expressions than rules have kinds of lengths.
     """
     rules = rules.select("verdict", F.translate("host", _UPPER, _LOWER).alias("rule_host"), F.col("path").alias("rule_path")).dropna().filter("rule_host <> ''").distinct()
-    lengths = sorted(r[0] for r in rules.select(F.length("rule_path")).distinct().collect())
+    shapes = rules.select(F.size(F.split("rule_host", r"\.")).alias("labels"), F.length("rule_path").alias("chars")).distinct().collect()  # kinds of lengths
+    lengths, depths = sorted({r["chars"] for r in shapes}), sorted({r["labels"] for r in shapes})
     pages = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     if not lengths:
         return pages.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    n_labels = F.length("host") - F.length(F.translate("host", ".", "")) + 1
+    suffixes = F.array_compact(F.array(*[F.when(n_labels >= n, F.substring_index("host", ".", -n)) for n in depths]))
     cuts = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path"))
     prefixes = F.transform(cuts, lambda n: F.substring(F.col("path"), F.lit(1), n))
     asked = pages.select("host", "path").filter("host <> ''").distinct()

@@ -1,4 +1,7 @@
 import json
+import random
+
+import pytest
 
 from recallforge.llm import chat, queries
 
@@ -74,3 +77,66 @@ def test_one_conversation_with_many_calls(spark):
     rows = [(1, i, "assistant", calls(call(f"c{i}", needs=[f"c{i - 1}"] if i % 5 else []))) for i in range(200)] + [(1, 1000 + i, "tool", result(f"c{i}")) for i in range(200)]
     got = run(spark, rows)
     assert all(r.linked for r in got) and all(r.level == r.turn % 5 for r in got if r.kind == "call")
+
+
+def levels_by_hand(needs):
+    """Longest chains below, None on or behind a cycle."""
+    level, moved = {i: 0 for i, n in needs.items() if not n}, True
+    while moved:
+        moved = False
+        for i, n in needs.items():
+            if i not in level and all(x in level for x in n):
+                level[i], moved = 1 + max(level[x] for x in n), True
+    return {i: level.get(i) for i in needs}
+
+
+@pytest.mark.parametrize("local", [chat.LOCAL_BYTES, 0])
+def test_levels_equal_a_loop(spark, local):
+    rng = random.Random(5)
+    rows, want = [], {}
+    for conv in range(6):
+        n = 40
+        needs = {f"c{i}": sorted({f"c{rng.randrange(n if rng.random() < 0.02 else max(1, i))}" for _ in range(rng.choice([0, 1, 1, 1, 2]))} - ({f"c{i}"} if i == 0 else set())) for i in range(n)}
+        needs["c0"] = []
+        rows += [(conv, i, "assistant", calls(call(k, needs=v))) for i, (k, v) in enumerate(needs.items())]
+        want |= {(conv, k): v for k, v in levels_by_hand(needs).items()}
+    got = chat.link_tool_calls(spark.createDataFrame(rows, TURNS), queries.TOOLS, local).collect()
+    assert {(r.conv_id, r.call_id): r.level for r in got} == want
+    assert all(("depends_on: cycle" in r.errors) == (r.level is None) for r in got)
+
+
+@pytest.mark.parametrize("local", [chat.LOCAL_BYTES, 0])
+def test_a_long_chain(spark, local):
+    n = 5000
+    rows = [(7, i, "assistant", calls(call(f"c{i}", needs=[f"c{i - 1}"] if i else []))) for i in range(n)]
+    got = chat.link_tool_calls(spark.createDataFrame(rows, TURNS).repartition(4), queries.TOOLS, local).collect()
+    assert len(got) == n and all(r.level == r.turn for r in got)
+
+
+def test_deep_values_and_lone_surrogates(spark):
+    deep = "[" * 1500 + "]" * 1500
+    half = "\\ud800"
+    rows = [
+        (1, 0, "tool", '{"tool_call_id":"a","content":' + deep + "}"),
+        (1, 1, "tool", '{"tool_call_id":"a' + half + '","content":"x' + half + 'y","' + half + '":1}'),
+        (1, 2, "assistant", '{"tool_calls":[{"id":"' + half + '","name":"n' + half + '","arguments":{"' + half + '":' + deep + '},"depends_on":["' + half + '"]}]}'),
+        (1, 3, "assistant", '{"tool_calls":[{"id":"b","name":"search","arguments":{"' + half + '":1}}]}'),
+        (1, 4, "user", '{"tool_calls":' + "[" * 100_000),
+    ]
+    got = {r.turn: r for r in run(spark, rows)}
+    assert got[0].json == '{"content":' + deep + ',"role":"tool","tool_call_id":"a"}'
+    assert got[1].call_id == "a" + half[:] and "x" + half + "y" in got[1].json
+    assert got[2].call_id == half and "depends_on: cycle" in got[2].errors and got[4].kind == "message"
+    assert f"$.{half}: unknown" in got[3].errors and "$.query: missing" in got[3].errors
+
+
+def test_more_schema_keywords():
+    v = chat.validate
+    assert v(1, {"const": 1.0}) == [] and v(True, {"const": 1}) == ["$: not the constant"] and v("ab", {"pattern": "^a"}) == [] and v("b", {"pattern": "^a"})
+    assert v(3, {"anyOf": [{"type": "string"}, {"minimum": 4}]}) == ["$: fits none"] and v(5, {"oneOf": [{"minimum": 4}, {"maximum": 6}]}) and v(7, {"oneOf": [{"minimum": 4}, {"maximum": 6}]}) == []
+    assert v(2, {"exclusiveMinimum": 2}) and v(2, {"exclusiveMaximum": 2}) and v(3, {"exclusiveMinimum": 2, "exclusiveMaximum": 4}) == [] and v(0.3, {"multipleOf": 0.1}) == [] and v(7, {"multipleOf": 2})
+    assert v([1, 1.0], {"uniqueItems": True}) and v([1, 2], {"contains": {"const": 2}}) == [] and v([1], {"contains": {"const": 2}})
+    assert v({"x1": "s"}, {"patternProperties": {"^x": {"type": "integer"}}, "additionalProperties": False}) == ["$.x1: not integer"]
+    assert v({}, {"minProperties": 1}) and v(1, {"not": {"type": "integer"}}) and v(1, {"allOf": [{"minimum": 2}, {"maximum": 0}]}) == ["$: too small", "$: too large"] and v(1, False)
+    with pytest.raises(ValueError, match="ref"):
+        chat.check_schema({"properties": {"a": {"anyOf": [{"$ref": "#"}]}}})

@@ -127,3 +127,33 @@ def test_long_documents_alone_tell_states_apart(spark, words):
     emit = fitted.model.emit[1 : 1 + lm.OWN]
     kind = emit[:, 0] > emit[:, 1]
     assert np.abs(emit[:, 0] - emit[:, 1]).sum() > 1 and 300 < kind.sum() < 900
+
+
+def test_segments_give_the_counts_of_whole_sequences():
+    rng = np.random.default_rng(4)
+    m = lm.Model.from_counts(rng.random(4), rng.random((4, 4)) ** 3, rng.random((9, 4)) ** 3)
+    n = [0, 3, 57, 1, 200, 10, 0, 21, 20, 2]
+    bounds = np.cumsum([0, *n])
+    flat = rng.integers(0, 9, bounds[-1]).astype(np.int32)
+    whole, parts = lm.Counts.none(4, 9), lm.Counts.none(4, 9)
+    lm.expect(flat, bounds, m, whole)
+    for most in (1, 7, 10):
+        parts = lm.Counts.none(4, 9)
+        cut = lm.segments(flat, bounds, m, most)
+        at = len(cut.bounds) // 2  # in two runs, as segments may be in any order
+        for lo, hi in ((at, len(cut.bounds) - 1), (0, at)):
+            lm.expect(flat[cut.bounds[lo] : cut.bounds[hi]], cut.bounds[lo : hi + 1] - cut.bounds[lo], m, parts, cut.entry[lo:hi], cut.after[lo:hi], cut.first[lo:hi])
+        assert np.allclose(whole.start, parts.start, atol=1e-4) and np.allclose(whole.move, parts.move, atol=1e-3) and np.allclose(whole.emit, parts.emit, atol=1e-3)
+        assert abs(whole.log_likelihood - parts.log_likelihood) < 1e-3
+        assert np.allclose(lm.forward(flat, bounds, m, most), lm.forward(flat, bounds, m, 10**9), atol=1e-9)
+
+
+def test_a_long_text_is_one_sequence(spark, words, monkeypatch):
+    monkeypatch.setattr(lm, "SEGMENT", 50)
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(words[:300]) for _ in range(400 if i % 5 == 0 else 30))) for i in range(60)]
+    df = spark.createDataFrame(rows, DOCS)
+    short = lm.fit(df)
+    monkeypatch.setattr(lm, "SEGMENT", 10**6)
+    whole = lm.fit(df)
+    assert np.allclose(short.model.move, whole.model.move, atol=1e-4) and np.allclose(short.model.start, whole.model.start, atol=1e-4)

@@ -76,7 +76,8 @@ def test_odd_rows(odd, none, crowded):
     assert len(found) == odd.count() and all(r.taken == 0 for r in found if r["size"] == 0)
     assert mixing.mix_sources(none).count() == 0 and mixing.apply_mix(none).count() == 0
     mixed = mixing.apply_mix(crowded)
-    assert mixed.columns == crowded.columns and mixed.count() == sum(r.copies for r in found)
+    copies = mixing.mix_sources(crowded, key=mixing._row_key(crowded.schema.fields)).agg(F.sum("copies")).first()[0]
+    assert mixed.columns == crowded.columns and mixed.count() == copies
     assert mixing.apply_mix(odd).schema.simpleString() == odd.schema.simpleString()
 
 
@@ -84,3 +85,52 @@ def test_words_are_cut_at_ascii_space_only(spark):
     rows = [(1, "a\x0bb\x0cc d\te\r\nf", "s"), (2, "one\u00a0two", "s"), (3, "\x1f", "s")]
     got = {r.doc_id: r["size"] for r in mixing.word_sizes(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == {1: 6, 2: 1, 3: 1}
+
+
+def test_rows_that_differ_keep_what_they_hold(spark):
+    rows = [(1, "a b c", "s", f"l{i}", {"k": i}) for i in range(40)] + [(None, "x y", "s", None, None)] * 40
+    df = spark.createDataFrame(rows, DOCS + ", lang string, more map<string,int>")
+    one = sorted(map(str, mixing.apply_mix(df, cycle=(1,), share=0.75).collect()))
+    assert one == sorted(map(str, mixing.apply_mix(df.repartition(5), cycle=(1,), share=0.75).collect()))
+    assert len(set(one)) > 25 and set(one) <= {str(r) for r in df.collect()}
+    whole = [str(r) for r in mixing.apply_mix(df, cycle=(1,), share=2.0).collect()]
+    assert sorted(whole) == sorted(str(r) for r in df.collect() for _ in (0, 1))
+
+
+def test_very_many_equal_rows_are_numbered(spark, monkeypatch):
+    df = spark.createDataFrame([(None, "a b", "s")] * 5000 + [(1, "c", "s")], DOCS)
+    for most in (4096, 64):
+        monkeypatch.setattr(mixing, "SAME_ROWS", most)
+        found = mixing.mix_sources(df, cycle=(1,), share=0.5).collect()
+        assert len(found) == 5001 and abs(sum(r.taken for r in found) - found[0].target) <= 2
+        assert mixing.apply_mix(df, cycle=(1,), share=0.5).count() == sum(mixing.mix_sources(df, cycle=(1,), share=0.5, key=mixing._row_key(df.schema.fields)).select("copies").toPandas()["copies"])
+
+
+def by_hand(found, seed=11):
+    """Pivotal rounding in one list a source: the words that copies take, by a plain loop of trades."""
+    rng, taken = random.Random(seed), {}
+    for s in {r.source for r in found}:
+        own = [r for r in found if r.source == s and r["size"]]
+        p = {i: r.target / r.source_size % 1 for i, r in enumerate(own)}
+        whole = {i: int(r.target / r.source_size) for i, r in enumerate(own)}
+        open_ = [i for i in p if 0 < p[i] < 1]
+        while len(open_) > 1:
+            a, b = open_[-2:]
+            x, y = own[a]["size"], own[b]["size"]
+            up, down = min((1 - p[a]) * x, p[b] * y), min(p[a] * x, (1 - p[b]) * y)
+            step = up if rng.random() * (up + down) < down else -down
+            p[a], p[b] = p[a] + step / x, p[b] - step / y
+            for i in (a, b):
+                p[i] = round(p[i]) if abs(p[i] - round(p[i])) < 1e-9 else p[i]
+            open_ = [i for i in open_ if 0 < p[i] < 1]
+        taken[s] = sum((whole[i] + (p[i] > 0.5)) * r["size"] for i, r in enumerate(own))
+    return taken
+
+
+def test_as_near_to_the_targets_as_a_plain_loop(spark, sf):
+    found = mixing.mix_sources(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    target, taken = {r.source: r.target for r in found}, {}
+    for r in found:
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    plain = by_hand(found)
+    assert all(abs(taken[s] - target[s]) <= max(abs(plain[s] - target[s]), 0.02 * target[s] + 2) for s in target)
