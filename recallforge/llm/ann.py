@@ -17,14 +17,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, portions, staged
 
 QUERY_BITS = 8
 BOUND = 2.6
 BLOCK = 2048
+WAVE = 8
 SLICE = 1024
 
 
@@ -86,13 +88,11 @@ class Queries:
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(id, x): vectors that are not null or zero and hold finite numbers only, with an id, of the most frequent length."""
+    """(id, x): vectors that are not null or zero and hold finite numbers only, with an id."""
     x = F.col(vec_col).cast("array<double>")
     fit = F.size(x) > 0
     fit &= F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), x.alias("x")).filter(F.col("id").isNotNull() & F.col("x").isNotNull()).filter(fit)
-    width = rows.groupBy(F.size("x").alias("n")).count().orderBy(F.col("count").desc(), "n").first()
-    return rows.filter(F.size("x") == (width["n"] if width else 0))
+    return vectors.select(F.col(id_col).cast("long").alias("id"), x.alias("x")).filter(F.col("id").isNotNull() & F.col("x").isNotNull()).filter(fit)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -100,21 +100,29 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64)
 
 
+def _same_width(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches whose vectors in ``x`` have one length each."""
+    for b in portions(batches):
+        width = pc.list_value_length(b.column("x")).to_numpy()
+        for w in np.unique(width):
+            yield b if (width == w).all() else b.filter(pa.array(width == w))
+
+
 def build_index(rows: DataFrame, seed: int = 5) -> DataFrame:
-    """(id, x, code, own, norm) for every row of (id, x)."""
+    """(id, x, width, code, own, norm) for every row of (id, x)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = None
-        for b in batches:
-            if not b.num_rows:
-                continue
+        turns: dict[int, np.ndarray] = {}
+        for b in _same_width(batches):
             x = _matrix(b.column("x"))
-            if turn is None:
-                turn = rotation(_width(x.shape[1]), seed)
-            codes, own, norm = encode(x, turn)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("x"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(own), pa.array(norm)], ["id", "x", "code", "own", "norm"])
+            wide = _width(x.shape[1])
+            if wide not in turns:
+                turns[wide] = rotation(wide, seed)
+            codes, own, norm = encode(x, turns[wide])
+            width = pa.array(np.full(len(x), x.shape[1], np.int32))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("x"), width, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(own), pa.array(norm)], ["id", "x", "width", "code", "own", "norm"])
 
-    return staged(rows.mapInArrow(run, "id long, x array<double>, code binary, own double, norm double"), "ann-index")
+    return staged(rows.mapInArrow(run, "id long, x array<double>, width int, code binary, own double, norm double"), "ann-index")
 
 
 def _best(q: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,32 +176,43 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, seed: int = 5, i
 
     Ties go to the smaller id, a query's own id is no candidate, and fewer
     candidates give fewer rows.  Vectors that are null, zero, hold null or
-    non-finite components, have no id or another length than most take no part.
-    Queries that repeat an id count once (their least vector).  Queries are
-    processed in blocks of bounded size, each against every row of the index;
-    no rows give an empty result.  Other columns are ignored.
+    non-finite components or have no id take no part; vectors meet those of
+    their own length only.  Queries that repeat an id count once (their least
+    vector); rows of the table that repeat an id are candidates each.  No rows
+    give an empty result.  Other columns are ignored.
+
+    Queries are processed in blocks of bounded size, each against every row of
+    the index; ``WAVE`` blocks make one job, so that jobs are large and the
+    driver holds no more than a wave.
     """
     spark = vectors.sparkSession
     index = build_index(usable(vectors, id_col, vec_col), seed)
-    asked = usable(queries, id_col, vec_col).groupBy("id").agg(F.min("x").alias("x"))
+    asked = usable(queries, id_col, vec_col).groupBy("id").agg(F.min("x").alias("x")).withColumn("width", F.size("x"))
     asked = staged(asked, "ann-queries")
-    blocks = math.ceil(asked.count() / BLOCK)
-    found = None
-    for i in range(blocks):
-        one = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).orderBy("id").toPandas()  # about BLOCK rows
-        width = len(one["x"].iloc[0]) if len(one) else 0
-        turn = rotation(_width(width), seed) if width else None
-        for at in range(0, len(one), BLOCK):
-            part = one.iloc[at : at + BLOCK]
-            shared = spark.sparkContext.broadcast(Queries(part["id"].to_numpy(np.int64), np.array(part["x"].tolist(), np.float64), turn))
+    plan = []  # (width, number of blocks, block)
+    for width, n in sorted(map(tuple, asked.groupBy("width").count().collect())):
+        plan += [(width, math.ceil(n / BLOCK), i) for i in range(math.ceil(n / BLOCK))]
+    found, turns = None, {}
+    for at in range(0, len(plan), WAVE):
+        wave = None
+        for width, blocks, i in plan[at : at + WAVE]:
+            one = asked.filter((F.col("width") == width) & (F.pmod(F.xxhash64("id"), F.lit(blocks)) == i)).orderBy("id").toPandas()  # about BLOCK rows
+            if not len(one):
+                continue
+            if width not in turns:
+                turns = {width: rotation(_width(width), seed)}
+            shared = spark.sparkContext.broadcast(Queries(one["id"].to_numpy(np.int64), np.array(one["x"].tolist(), np.float64), turns[width]))
 
             def run(batches, shared=shared):
                 yield from _scan(shared.value, k)(batches)
 
-            hits = index.filter(F.size("x") == width).mapInArrow(run, "query_id long, vec_id long, score double")
-            hits = hits if blocks == 1 and len(one) <= BLOCK else staged(hits, "ann-hits")
-            found = hits if found is None else found.unionByName(hits)
+            hits = index.filter(F.col("width") == width).mapInArrow(run, "query_id long, vec_id long, score double")
+            wave = hits if wave is None else wave.unionByName(hits)
+        if wave is not None:
+            wave = wave if len(plan) <= WAVE else staged(wave, "ann-hits")
+            found = wave if found is None else found.unionByName(wave)
     if found is None:
+        discard(index, asked)
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

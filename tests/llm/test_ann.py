@@ -34,10 +34,12 @@ def test_recall_and_scores_against_brute_force(spark):
 
 
 def test_ties_few_candidates_and_odd_vectors(spark):
-    rows = [(0, [1.0, 0.0]), (50, [0.0, 1.0]), (3, [2.0, 0.0]), (2, [1.0, 0.0]), (7, None), (8, [0.0, 0.0]), (9, [float("nan"), 1.0]), (10, [None, 1.0]), (11, [1.0]), (None, [1.0, 0.0]), (12, [float("inf"), 0.0]), (13, [])]
+    rows = [(0, [1.0, 0.0]), (50, [0.0, 1.0]), (3, [2.0, 0.0]), (2, [1.0, 0.0]), (7, None), (8, [0.0, 0.0]), (9, [float("nan"), 1.0]), (10, [None, 1.0]), (11, [1.0]), (None, [1.0, 0.0]), (12, [float("inf"), 0.0]), (13, []), (100, [3.0]), (150, [1.0, 2.0, 3.0]), (3, [2.0, 0.0])]
     df = spark.createDataFrame(rows, VEC)
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(df, df.filter("vec_id % 50 = 0"), 5).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 2, 1.0), (0, 2, 3, 1.0), (0, 3, 50, 0.0), (50, 1, 0, 0.0), (50, 2, 2, 0.0), (50, 3, 3, 0.0)]
+    assert got == [(0, 1, 2, 1.0), (0, 2, 3, 1.0), (0, 3, 3, 1.0), (0, 4, 50, 0.0), (50, 1, 0, 0.0), (50, 2, 2, 0.0), (50, 3, 3, 0.0), (50, 4, 3, 0.0), (100, 1, 11, 1.0)]
+    extra = spark.createDataFrame([(0, [1.0, 0.0], "a", 1, 2), (1, [1.0, 1.0], "b", 3, 4)], VEC + ", id string, x int, score int")
+    assert [r.vec_id for r in ann.nearest(extra, extra.filter("vec_id = 0"), 5).collect()] == [1]
 
 
 def test_many_equal_vectors_and_none(spark):
@@ -67,3 +69,5 @@ def test_blocks_of_queries_change_nothing(spark, monkeypatch):
     whole = sorted(map(tuple, ann.nearest(df, q, 3).collect()))
     monkeypatch.setattr(ann, "BLOCK", 16)
     assert sorted(map(tuple, ann.nearest(df, q, 3).collect())) == whole
+    monkeypatch.setattr(ann, "WAVE", 2)
+    assert sorted(map(tuple, ann.nearest(df, q, 3).collect())) == whole

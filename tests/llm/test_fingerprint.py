@@ -38,12 +38,29 @@ def test_canonical_form():
     assert fp.canonical(t) == " ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold()).split())
 
 
-def test_a_clash_is_told_apart(spark, monkeypatch):
-    df = spark.createDataFrame([(1, "one"), (2, "two"), (3, "one")], DOCS)
-    found = spark.createDataFrame([(1, fp.digest("one")), (2, fp.digest("one")), (3, fp.digest("one"))], "doc_id bigint, fingerprint string")
-    assert fp.clashes(df, found) == frozenset()  # digests are made again from the texts
-    d = fp.digest("one")
-    assert fp.digest("one", frozenset([d])) == d + hashlib.sha256(b"one").hexdigest()
+def test_a_clash_is_told_apart(spark):
+    texts = [f"text {i % 300}" for i in range(400)] + ["TEXT 7"]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    by: dict = {}
+    for r in fp.fingerprints(df, bits=8).collect():  # 256 digests for 300 texts
+        by.setdefault(r.fingerprint, set()).add(fp.canonical(texts[r.doc_id]))
+    assert len(by) == 300 and all(len(x) == 1 for x in by.values()) and any(len(x) > 2 for x in by)
+    rows = sorted(fp.edited_fingerprints(df, bits=8).collect(), key=lambda r: r.doc_id)
+    wide = sorted(fp.edited_fingerprints(df).collect(), key=lambda r: r.doc_id)
+    assert [r[:3] + (r.near_edited, r.near_next) for r in rows] == [r[:3] + (r.near_edited, r.near_next) for r in wide]
+    assert len({r.fingerprint for r in rows}) == 300 == len({r.fingerprint for r in wide})
+
+
+def test_many_rows_of_one_id(spark, monkeypatch):
+    rows = [(None, None)] * 3000 + [(None, f"null {i}") for i in range(500)] + [(5, "same text")] * 1000 + [(5, f"other {i}") for i in range(300)] + [(9, "end")]
+    df = spark.createDataFrame(rows, DOCS).repartition(6)
+    monkeypatch.setattr(fp, "SAME_ROWS", 100)
+    got = fp.edited_fingerprints(df).collect()
+    keyed = {(r.doc_id, r.text): r.key for r in df.select("doc_id", "text", fp.text_key().alias("key")).distinct().collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, keyed[r]))
+    texts = [t or "" for _, t in order]
+    want = sorted(str((i, len(a), hashlib.sha256((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()).hexdigest(), float(a == b))) for (i, _), a, b in zip(order, texts, [*texts[1:], texts[0]], strict=True))
+    assert sorted(str((r.doc_id, r.n_chars, r.edited_sha256, r.near_next)) for r in got) == want
 
 
 def test_groups_and_odd_rows(odd, none, crowded):
