@@ -112,22 +112,23 @@ def portions(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size: in
 HOT_SHARE = 0.001
 
 
-def join_counted(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
-    """Inner join of ``rows`` with ``facts``, one row a key of it with the key's number of rows in ``n``.
-
-    The facts of hot keys, fewer than 1 / ``HOT_SHARE`` rows by their definition,
-    go to the rows; all other keys are dealt out, and none of these is large.
-    Neither side's columns may share names but ``keys``, and keys are not null.
+def join_counted(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, total: int, spread: F.Column) -> DataFrame:
+    """Inner join of ``rows`` with ``facts``, one row a key of it with the key's number of rows in ``n``; ``total`` sums these.
+
+    Rows of a key with more than ``HOT_SHARE`` of all are dealt to several
+    tasks by ``spread``, with a copy of the key's facts in each.  There are fewer
+    than 1 / ``HOT_SHARE`` such keys, which every task may know, and less than
+    twice as many copies.  Neither side's columns may share names but ``keys``,
+    and keys are not null.
     """
-    hot = F.col(n) > max(1.0, total * HOT_SHARE)
-    to = [F.col(k).alias(f"_{k}") for k in keys]
+    limit = max(1.0, total * HOT_SHARE)
+    parts = F.ceil(F.col(n) / limit).cast("int")
     same = F.lit(True)
     for k in keys:
         same &= F.col(k) == F.col(f"_{k}")
-    some = facts.filter(hot).select(*to, *[c for c in facts.columns if c not in keys])
-    by_hot = rows.join(F.broadcast(some), same).drop(*[f"_{k}" for k in keys])
-    cold = rows.join(F.broadcast(some.select(*[f"_{k}" for k in keys])), same, "left_anti")
-    return by_hot.unionByName(cold.join(facts.filter(~hot), keys))
+    hot = facts.filter(F.col(n) > limit).select(*[F.col(k).alias(f"_{k}") for k in keys], parts.alias("_parts"))
+    dealt = rows.join(F.broadcast(hot), same, "left").withColumn("_part", F.coalesce(F.pmod(spread, F.col("_parts")).cast("int"), F.lit(0))).drop("_parts", *[f"_{k}" for k in keys])
+    return dealt.join(facts.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))), [*keys, "_part"]).drop("_part")
 
 
 def text_key(column: str = "text") -> F.Column:

@@ -67,7 +67,7 @@ def clashes(docs: DataFrame, found: DataFrame, bits: int = BITS) -> frozenset[st
     partial aggregates, however large a group of copies is.
     """
     counts = staged(found.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1"), "shared-digests")
-    ids = join_counted(found.select("doc_id", "fingerprint"), counts, ["fingerprint"], "n", found.count())
+    ids = join_counted(found.select("doc_id", "fingerprint"), counts, ["fingerprint"], "n", found.count(), F.xxhash64("doc_id"))
     ids = staged(ids.select(F.col("doc_id").alias("shared_id")).distinct(), "shared-ids")
     few = ids.count() <= BROADCAST_ROWS  # 16 MB at most; beyond it, a shuffled join
     again = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("shared_id")), "left_semi")

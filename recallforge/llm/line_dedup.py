@@ -1,18 +1,17 @@
 """Removal of repeated runs of lines by content-defined chunks.
 
-A rolling hash runs over the hashes of every two neighbouring lines.  Their
-counts over the whole corpus and the hash itself choose the boundaries: the
-chunk ends between two lines if no other place has this pair, if the pair is
-rarer than the one before or after it, or at one hash in ``DIVISOR``.  As
-boundaries depend on neighbouring lines only, text put in before a passage does
-not move those inside it, and a passage between lines of its own gets a chunk of
-its own.  Chunks of several lines that occur again are removed after byte
+A rolling hash runs over the hashes of every ``SPAN`` neighbouring lines; a
+chunk ends behind such lines at one hash in ``DIVISOR``.  So boundaries depend
+on neighbouring lines only, and text put in before a passage does not move those
+inside it.  Chunks of several lines that occur again are removed after byte
 comparison; the first occurrence stays.
 
-Where counts fall along a passage, its chunks are single lines or lie elsewhere
-in each copy.  So every repeated window (two neighbouring lines that are not
-blank, with the blank ones between them, or one long line) is posted as well,
-inside chunks too, and removed wherever the same bytes stand at an earlier place.
+Chunks at the edges of a passage also hold lines around it, and a short passage
+may lie in such chunks alone.  So what chunks leave is compared at the smallest
+grain too: every repeated window (two neighbouring lines that are not blank,
+with the blank ones between them, or one long line) is removed wherever the same
+bytes stand at an earlier place.  Chunks settle long copies with few comparisons,
+windows the rest.
 """
 
 from __future__ import annotations
@@ -25,13 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, mix64, numbered, staged, text_buffer, text_key, word_counts
+from .common import discard, join_counted, mix64, numbered, portions, staged, text_buffer, text_key, word_counts
 
-DIVISOR = 16
+DIVISOR = 8
+SPAN = 3
 LONG_LINE = 50
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _UNODD = np.uint64(pow(int(_ODD), -1, 1 << 64))
-PAIR, SINGLE, WIDE = 0, 1, 2
+CHUNK, PAIR, SINGLE, WIDE = 0, 1, 2, 3
 
 
 def _lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -56,123 +56,96 @@ def _spanned(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     if not len(start):
         return np.empty(0, np.uint64)
     power = np.cumprod(np.append(np.uint64(1), np.full(len(h) - 1, _ODD)))
-    back = np.cumprod(np.append(np.uint64(1), np.full(len(h) - 1, _UNODD)))
+    back = np.cumprod(np.append(np.uint64(1), np.full(len(h), _UNODD)))
     sums = np.append(np.uint64(0), np.cumsum(mix64(h) * power))
     return mix64((sums[end] - sums[start]) * back[start] ^ mix64((end - start).astype(np.uint64)))
 
 
-def windows(docs: DataFrame, long_line: int) -> DataFrame:
-    """(doc_id, key, place, size, window, one, two, kind): two neighbouring lines, one long line, or two lines with blank ones between.
+def chunk_bounds(h: np.ndarray, words: np.ndarray, doc: np.ndarray, divisor: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends (exclusive) of the chunks that have two lines or more that are not blank, without blank lines at their edges."""
+    if not len(h):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    last = np.append(doc[1:] != doc[:-1], True)
+    at = np.arange(SPAN - 1, len(h))
+    at = at[doc[at] == doc[at - SPAN + 1]]
+    last[at] |= _spanned(h, at - SPAN + 1, at + 1) % np.uint64(divisor) == 0
+    ends = np.flatnonzero(last) + 1
+    starts = np.append(0, ends[:-1])
+    full = np.flatnonzero(words > 0)
+    lo, hi = np.searchsorted(full, starts), np.searchsorted(full, ends)
+    some = hi - lo > 1
+    return full[lo[some]], full[hi[some] - 1] + 1
 
-    ``window`` is the rolling hash, ``one`` and ``two`` the hashes of the outer lines, ``size`` counts the lines.
+
+PLACES = "k1 long, k2 boolean, key long, place int, size int, digest long, kind byte"
+
+
+def places(docs: DataFrame, divisor: int, long_line: int, bits: int) -> DataFrame:
+    """Where chunks and windows of (k1, k2, key, text) stand: place is the first line, size counts the lines, ``digest`` is the rolling hash.
+
+    Windows are two neighbouring lines that are not blank, two such lines with
+    blank ones between, or one long line.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in portions(batches):
             h, words, doc, place = _lines(b.column("text"))
-            pair = np.flatnonzero((doc[1:] == doc[:-1]) & ((words[1:] > 0) | (words[:-1] > 0)))
+            starts, ends = chunk_bounds(h, words, doc, divisor)
             lone = np.flatnonzero(words >= long_line)
             full = np.flatnonzero(words > 0)
-            gap = np.flatnonzero((doc[full[1:]] == doc[full[:-1]]) & (full[1:] - full[:-1] > 1))
-            wide, last = full[gap], full[gap + 1]
-            at = np.concatenate([pair, lone, wide])
-            size = np.concatenate([np.full(len(pair), 2), np.ones(len(lone), np.int64), last + 1 - wide])
-            two = np.concatenate([h[pair + 1], np.zeros(len(lone), np.uint64), h[last]])
-            rolled = np.concatenate([mix64(h[pair] * _ODD + h[pair + 1]), mix64(h[lone] ^ _ODD), _spanned(h, wide, last + 1)])
-            kind = np.repeat(np.array([PAIR, SINGLE, WIDE], np.int8), [len(pair), len(lone), len(wide)])
+            here = doc[full[1:]] == doc[full[:-1]]
+            one, two = full[:-1][here], full[1:][here]
+            at = np.concatenate([starts, lone, one])
+            end = np.concatenate([ends, lone + 1, two + 1])
+            kind = np.concatenate([np.full(len(starts), CHUNK), np.full(len(lone), SINGLE), np.where(two - one > 1, WIDE, PAIR)]).astype(np.int8)
+            rolled = _spanned(h, at, end) >> np.uint64(64 - bits)
             rows = pa.array(doc[at])
-            one = h[at]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(rows), b.column("key").take(rows), pa.array(place[at].astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(rolled.view(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(kind)],
-                ["doc_id", "key", "place", "size", "window", "one", "two", "kind"],
+                [*(b.column(c).take(rows) for c in ("k1", "k2", "key")), pa.array(place[at].astype(np.int32)), pa.array((end - at).astype(np.int32)), pa.array(rolled.view(np.int64)), pa.array(kind)],
+                [f.split()[0] for f in PLACES.split(", ")],
             )
 
-    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, place int, size int, window long, one long, two long, kind byte")
-
-
-def chunks_of(place: list[int], count: list[int], window: list[int], one: list[int], two: list[int], kind: list[int], divisor: int) -> list[tuple[int, int, bytes]]:
-    """(start, end, digest) of the chunks of a document that may repeat, from its repeated windows in order of place."""
-    pairs = {p: (c, w, a, b) for p, c, w, a, b, k in zip(place, count, window, one, two, kind, strict=True) if k == PAIR}
-    lone = {p for p, k in zip(place, kind, strict=True) if k == SINGLE}
-
-    def linked(p: int) -> bool:
-        """No boundary between lines p and p + 1."""
-        if p not in pairs:
-            return False
-        c, w, _, _ = pairs[p]
-        near = [pairs[x] for x in (p - 1, p + 1) if x in pairs]
-        if any(c < x[0] for x in near):
-            return False
-        return not (w % divisor == 0 and len(near) == 2 and all(x[0] == c and x[1] % divisor for x in near))
-
-    found, done = [], set()
-    for p in sorted(pairs):
-        if p in done or not linked(p):
-            continue
-        end = p
-        while linked(end):
-            done.add(end)
-            end += 1
-        hashes = [pairs[i][2] for i in range(p, end)] + [pairs[end - 1][3]]
-        inside = sum(x & 1 for x in hashes)
-        if inside > 1 or p in lone:
-            found.append((p, end + 1, xxhash.xxh3_128_digest(np.array(hashes, np.int64).tobytes())))
-    return found
+    return docs.select("k1", "k2", "key", "text").mapInArrow(run, PLACES)
+
+
+def repeated_spans(docs: DataFrame, divisor: int, long_line: int, bits: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(k1, k2, key, spans): per document the chunks and windows that occur elsewhere too, as (kind, start, end, digest, first); and the tables to discard then."""
+    found = places(docs, divisor, long_line, bits)
+    same = ["digest", "kind"]
+    counts = staged(found.groupBy(*same).agg(F.count("*").alias("n")).filter("n > 1"), "line-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    deal = F.xxhash64("k1", "k2", "key", "place")
+    shared = staged(join_counted(found, counts, same, "n", total, deal).drop("n"), "line-places")
+    place = F.struct("k2", "k1", "key", "place")
+    firsts = staged(shared.groupBy(*same).agg(F.count("*").alias("n"), F.min(place).alias("least")), "line-firsts")
+    flagged = join_counted(shared, firsts, same, "n", total, deal)
+    span = F.struct("kind", F.col("place").alias("start"), (F.col("place") + F.col("size")).alias("end"), "digest", (place == F.col("least")).alias("first"))
+    # equal rows of one document count as one
+    return flagged.groupBy("k1", "k2", "key").agg(F.array_sort(F.collect_set(span)).alias("spans")), [counts, shared, firsts]
 
 
-def windows_of(windows: list[dict]) -> list[tuple[int, int, int, bytes, bool]]:
-    """(start, cut, end, digest, first) of the repeated windows of a document that may go by themselves.
+def cut_lines(text: str | None, spans: list[dict], unlike: frozenset[tuple[int, int]]) -> tuple[set[int], list[tuple[dict, bytes]]]:
+    """The lines of a text that go, and the bytes of each span that took part.
 
-    ``cut`` is the first line to remove: where a window overlaps its own first place, that stays whole.
+    Spans come chunks first.  A window whose lines are gone already has nothing
+    to add; one that overlaps its own first place leaves that whole.
     """
-    own = [w for w in windows if w["kind"] != PAIR or w["one"] & w["two"] & 1]
-    kept = {(w["kind"], w["window"]): w["place"] + w["size"] for w in own if w["first"]}
-    # the digest is what the places were grouped by, so that unequal bytes in a group are noticed
-    return [(w["place"], max(w["place"], kept.get((w["kind"], w["window"]), 0)), w["place"] + w["size"], b"%d" % w["kind"] + w["window"].to_bytes(8, "little", signed=True), w["first"]) for w in own]
-
-
-def repeated_chunks(docs: DataFrame, divisor: int, long_line: int) -> DataFrame:
-    """(doc_id, key, spans): per document the chunks and windows that repeat, as (start, cut, end, digest, first, lone); lone is true for windows."""
-    places = windows(docs, long_line)
-    counts = places.groupBy(F.col("window").alias("of"), F.col("kind").alias("of_kind")).count().filter("count > 1")
-    same = (F.col("window") == F.col("of")) & (F.col("kind") == F.col("of_kind"))
-    # a very common pair makes a hot key on the large side only; Spark may split it
-    shared = staged(places.join(counts, same).drop("of", "of_kind"), "line-windows")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "place")
-    firsts = shared.groupBy(F.col("window").alias("of"), F.col("kind").alias("of_kind")).agg(F.min(place).alias("least"))
-    flagged = shared.join(firsts, same).select("doc_id", "key", F.struct("place", "kind", "size", "count", "window", "one", "two", (place == F.col("least")).alias("first")).alias("w"))
-    # equal rows of one document count as one
-    per_doc = flagged.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("w")).alias("w"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, out = [], []
-            for i, w in enumerate(b.column("w").to_pylist()):
-                found = chunks_of(*([x[f] for x in w] for f in ("place", "count", "window", "one", "two", "kind")), divisor)
-                spans = [(start, start, end, digest, None) for start, end, digest in found] + windows_of(w)
-                rows += [i] * len(spans)
-                out += spans
-            start, cut, end, dig, first = zip(*out, strict=True) if out else ((), (), (), (), ())
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(at), b.column("key").take(at), pa.array(start, pa.int32()), pa.array(cut, pa.int32()), pa.array(end, pa.int32()), pa.array(dig, pa.binary()), pa.array(first, pa.bool_())],
-                ["doc_id", "key", "start", "cut", "end", "digest", "first"],
-            )
-
-    found = staged(per_doc.mapInArrow(run, "doc_id long, key long, start int, cut int, end int, digest binary, first boolean"), "line-chunks")
-    discard(shared)
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "start")
-    chunks = found.filter("first is null").drop("first")
-    groups = chunks.groupBy(F.col("digest").alias("of")).agg(F.count("*").alias("n"), F.min(place).alias("least")).filter("n > 1")
-    chunks = chunks.join(groups, F.col("digest") == F.col("of")).withColumn("first", place == F.col("least"))
-    fields = ("start", "cut", "end", "digest", "first")
-    spans = chunks.select("doc_id", "key", *fields, F.lit(False).alias("lone")).unionByName(found.filter("first is not null").select("doc_id", "key", *fields, F.lit(True).alias("lone")))
-    return spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct(*fields, "lone")).alias("spans"))
+    lines = text.split("\n")
+    kept = {(s["kind"], s["digest"]): s["end"] for s in spans if s["first"]}
+    gone: set[int] = set()
+    seen = []
+    for s in spans:
+        of = (s["kind"], s["digest"])
+        cut = max(s["start"], kept.get(of, 0))
+        if of in unlike or s["kind"] != CHUNK and not s["first"] and gone.issuperset(range(cut, s["end"])):
+            continue
+        seen.append((s, "\n".join(lines[s["start"] : s["end"]]).encode()))
+        if not s["first"]:
+            gone.update(range(cut, s["end"]))
+    return gone, seen
 
 
-def remove_repeated(docs: DataFrame, divisor: int = DIVISOR, long_line: int = LONG_LINE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated(docs: DataFrame, divisor: int = DIVISOR, long_line: int = LONG_LINE, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
     """The rows and columns of ``docs`` with repeated chunks of lines cut from the text, and ``n_lines`` and ``removed_lines`` behind (in place of columns of these names).
 
     A chunk is removed if it has two lines or more that are not blank, or one
@@ -183,56 +156,54 @@ def remove_repeated(docs: DataFrame, divisor: int = DIVISOR, long_line: int = LO
     line goes with the earliest of them, and each line that goes stays at an
     earlier place.  Null texts stay null with no lines; an empty text has one line.  A
     text that loses all lines becomes empty.  Rows equal in id and text count
-    as one document and are cut alike.  Single short lines always stay.
+    as one document and are cut alike.  Single short lines always stay.  Should
+    different bytes share a digest (of ``bits`` bits), all of these stay.
     """
     names, kinds = docs.columns, [f.dataType for f in docs.schema.fields]
     held = docs.toDF(*[f"c{i}" for i in range(len(names))])
     id_at, text_at = (names.index(c) for c in (id_col, text_col))
-    rows = held.withColumns({"doc_id": F.col(f"c{id_at}").cast("long"), "key": text_key(f"c{text_at}")})
-    spans = repeated_chunks(rows.select("doc_id", "key", F.col(f"c{text_at}").cast("string").alias("text")), divisor, long_line)
-    spans = spans.select(F.col("doc_id").alias("of_id"), F.col("key").alias("of_key"), "spans")
-    cut = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key")), "left").drop("doc_id", "key", "of_id", "of_key")
+    own_id = F.col(f"c{id_at}").cast("long")
+    rows = held.withColumns({"k1": F.coalesce(own_id, F.lit(0)), "k2": own_id.isNull(), "key": text_key(f"c{text_at}")})
+    spans, used = repeated_spans(rows.select("k1", "k2", "key", F.col(f"c{text_at}").cast("string").alias("text")), divisor, long_line, bits)
+    cut = rows.join(spans, ["k1", "k2", "key"], "left").drop("k1", "k2", "key")
     fields = [f"c{i}" for i in range(len(names))]
-    schema = ", ".join(f"{c} {k.simpleString()}" for c, k in zip(fields, kinds, strict=True)) + ", n_lines long, removed_lines long, chunk array<struct<digest:binary,bytes:binary>>"
-    chunk_type = pa.list_(pa.struct([("digest", pa.binary()), ("bytes", pa.binary())]))
+    schema = ", ".join(f"{c} {k.simpleString()}" for c, k in zip(fields, kinds, strict=True)) + ", n_lines long, removed_lines long, chunk array<struct<kind:int,digest:bigint,bytes:binary>>"
+    chunk_type = pa.list_(pa.struct([("kind", pa.int32()), ("digest", pa.int64()), ("bytes", pa.binary())]))
 
-    def cutter(clash: frozenset[bytes]):
+    def cutter(clash: frozenset[tuple[int, int]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in portions(batches):
                 texts, n_lines, removed, chunks = [], [], [], []
-                known: dict[bytes, bytes] = {}  # a batch passes equal copies of a chunk on once
+                known: dict[tuple[int, int], bytes] = {}  # a batch passes equal copies of a chunk on once
                 for text, found in zip(b.column(f"c{text_at}").to_pylist(), b.column("spans").to_pylist(), strict=True):
-                    gone, seen = set(), []
-                    lines = text.split("\n") if text is not None and found else []
-                    for s in sorted(found or (), key=lambda s: s["lone"]):
-                        if s["digest"] in clash or s["lone"] and not s["first"] and gone.issuperset(range(s["cut"], s["end"])):
-                            continue
-                        body = "\n".join(lines[s["start"] : s["end"]]).encode()
-                        if known.setdefault(s["digest"], b"") != body or not body:
-                            known[s["digest"]] = body
-                            seen.append({"digest": s["digest"], "bytes": body})
-                        if not s["first"]:
-                            gone.update(range(s["cut"], s["end"]))
-                    texts.append("\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text)
+                    gone, seen = cut_lines(text, found, clash) if text is not None and found else (set(), [])
+                    new = []
+                    for s, body in seen:
+                        of = (s["kind"], s["digest"])
+                        if known.get(of) != body:
+                            known[of] = body
+                            new.append({"kind": of[0], "digest": of[1], "bytes": body})
+                    texts.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone) if gone else text)
                     n_lines.append(0 if text is None else text.count("\n") + 1)
                     removed.append(len(gone))
-                    chunks.append(seen or None)
+                    chunks.append(new or None)
                 columns = [b.column(c) for c in fields]
                 columns[text_at] = pa.array(texts, b.schema.field(f"c{text_at}").type)
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(removed, pa.int64()), pa.array(chunks, chunk_type)], [*fields, "n_lines", "removed_lines", "chunk"])
 
         return run
 
-    clash: frozenset[bytes] = frozenset()
+    clash: frozenset[tuple[int, int]] = frozenset()
     while True:
         done = staged(cut.mapInArrow(cutter(clash), schema), "line-cut")
-        pieces = done.filter("chunk is not null").select(F.explode("chunk").alias("c")).select("c.digest", "c.bytes")
-        ends = pieces.groupBy("digest").agg(F.min("bytes").alias("lo"), F.max("bytes").alias("hi")).filter("lo <> hi")
-        unlike = frozenset(bytes(r[0]) for r in ends.select("digest").collect())
+        pieces = done.filter("chunk is not null").select(F.explode("chunk").alias("c")).select("c.kind", "c.digest", "c.bytes")
+        ends = pieces.groupBy("kind", "digest").agg(F.min("bytes").alias("lo"), F.max("bytes").alias("hi")).filter("lo <> hi")
+        unlike = frozenset(map(tuple, ends.select("kind", "digest").collect()))
         if not unlike:
             break
         clash |= unlike  # different bytes under one digest: none of them is touched
         discard(done)
+    discard(*used)
     mine = ("n_lines", "removed_lines")
     return done.select(*[F.col(f).alias(n) for f, n in zip(fields, names, strict=True) if n not in mine], *mine)
 

@@ -13,7 +13,10 @@ classes to one centre each.  Of what then lies apart, pairs in short lists are
 counted and go on if they meet three times; long lists are compared in blocks:
 the list's largest component against the rest and the rest among themselves,
 each pair in the first long list that it shares, by collisions over the whole
-signature and then by sets or longer signatures that travel with the posting.  So the rows that move grow with the postings, not with the pairs.
+signature and then by sets or longer signatures that travel with the posting.
+A list too long for that is first split by further coordinates: two classes at
+the threshold that share one coordinate agree in one more of any ``COORDINATES -
+MATCHES + 1`` others, so a class is posted under that many pairs of coordinates.
 Links are confirmed on the full shingle sets.
 """
 
@@ -36,6 +39,7 @@ STAR_MATCHES = 32
 TOGETHER = 3
 SMALL = 6
 BLOCK = 256
+SPLIT = 8192
 SET_LIMIT = 256
 FINE = 256
 BROADCAST_ROWS = 2_000_000
@@ -157,8 +161,8 @@ def _confirm(pairs: DataFrame, sources: DataFrame, words: int, percent: int) ->
     the texts of the second documents move.
     """
     seconds = staged(pairs.select(F.col("b").alias("node")).distinct(), "near-seconds")
-    left = sources.join(_few(pairs), F.col("node") == F.col("a")).select("a", "b", F.col("text").alias("text_a")).distinct()
-    right = sources.join(_few(seconds), "node", "left_semi").select(F.col("node").alias("of"), F.col("text").alias("text_b")).distinct()
+    left = sources.join(_few(pairs), F.col("node") == F.col("a")).select("a", "b", F.col("text").alias("text_a"))
+    right = sources.join(_few(seconds), "node", "left_semi").select(F.col("node").alias("of"), F.col("text").alias("text_b"))
     both = left.join(right, F.col("b") == F.col("of"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,11 +198,16 @@ def _payload(sources: DataFrame, live: DataFrame, words: int) -> DataFrame:
             fine = [(signature(s, FINE) & np.uint32(255)).astype(np.uint8).tobytes() if len(s) > SET_LIMIT // 2 else None for s in sets]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([len(s) for s in sets], pa.int32()), pa.array(small, pa.binary()), pa.array(fine, pa.binary())], ["node", "n", "small", "fine"])
 
-    return sources.join(_few(live), "node", "left_semi").select("node", "text").distinct().mapInArrow(run, "node long, n int, small binary, fine binary")
+    return sources.join(_few(live), "node", "left_semi").select("node", "text").mapInArrow(run, "node long, n int, small binary, fine binary")
 
 
-def _compare(rows: list[dict], percent: int, matches: int, coordinate: int) -> list[tuple[int, int]]:
-    """Pairs of a block that lie apart, share this list first, and are near by all that travels with them."""
+def _others(coordinate: int, coordinates: int, matches: int) -> np.ndarray:
+    """The coordinates that lists of ``coordinate`` are split by."""
+    return np.delete(np.arange(coordinates), coordinate)[: coordinates - matches + 1]
+
+
+def _compare(rows: list[dict], percent: int, matches: int, coordinate: int, sub: int) -> list[tuple[int, int]]:
+    """Pairs of a block that lie apart, share this list (and, in a split list, its second coordinate ``sub``) first, and are near by all that travels with them."""
     comp = np.array([r["component"] for r in rows])
     side = np.array([r["side"] for r in rows])
     n = np.array([r["n"] for r in rows])
@@ -209,6 +218,7 @@ def _compare(rows: list[dict], percent: int, matches: int, coordinate: int) -> l
     nodes = [r["node"] for r in rows]
     least = percent / 100 - 4.5 * (percent / 100 * (1 - percent / 100) / FINE) ** 0.5
     found, joined = [], set()
+    others = _others(coordinate, sigs.shape[1], matches)
     for i in range(len(rows)):
         j = np.arange(i + 1, len(rows))
         # two sides meet, or the two halves of one block pair; never rows of one component
@@ -218,6 +228,8 @@ def _compare(rows: list[dict], percent: int, matches: int, coordinate: int) -> l
             continue
         same = sigs[j] == sigs[i]
         near = (same.sum(axis=1) >= matches) & (np.argmax(same & posted[j] & posted[i], axis=1) == coordinate)
+        if sub >= 0:
+            near &= others[np.argmax(same[:, others], axis=1)] == sub
         for k in j[near].tolist():
             if small[i] is not None and small[k] is not None:
                 common = _common(small[i], small[k]) + 1  # one for a collision of 32-bit hashes
@@ -230,14 +242,34 @@ def _compare(rows: list[dict], percent: int, matches: int, coordinate: int) -> l
     return [(min(p), max(p)) for p in found]
 
 
+def _mixed(at: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the lists with several components, (keys, main, n_main, n_other): the largest component, its size and that of the rest."""
+    sizes = at.groupBy(*keys, "component").count()
+    lists = sizes.groupBy(*keys).agg(F.max(F.struct("count", "component")).alias("main"), F.sum("count").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
+    return lists.select(*keys, F.col("main.component").alias("main"), F.col("main.count").alias("n_main"), (F.col("n") - F.col("main.count")).alias("n_other"))
+
+
 def _apart(posts: DataFrame, comps: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Postings (key, node, component) and, of the lists with several components, (key, main, n_main, n_other)."""
     at = posts.withColumn("component", F.col("node"))
     if comps is not None:
         at = posts.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = at.groupBy("key", "component").count()
-    lists = sizes.groupBy("key").agg(F.max(F.struct("count", "component")).alias("main"), F.sum("count").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
-    return at, lists.select("key", F.col("main.component").alias("main"), F.col("main.count").alias("n_main"), (F.col("n") - F.col("main.count")).alias("n_other"))
+    return at, _mixed(at, ["key"])
+
+
+def _split(at: DataFrame, nodes: DataFrame, matches: int) -> DataFrame:
+    """(key, sub, node, component): postings of too long lists, one for each second coordinate and its value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in portions(batches, ROWS):
+            sigs = np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u4").reshape(b.num_rows, -1)
+            own = b.column("key").to_numpy() >> 32
+            others = np.array([_others(c, sigs.shape[1], matches) for c in range(sigs.shape[1])])[own]
+            subs = np.take_along_axis(sigs, others, axis=1).astype(np.int64) + (others.astype(np.int64) << 32)
+            rows = pa.array(np.repeat(np.arange(b.num_rows), subs.shape[1]))
+            yield pa.RecordBatch.from_arrays([b.column("key").take(rows), pa.array(subs.ravel()), b.column("node").take(rows), b.column("component").take(rows)], ["key", "sub", "node", "component"])
+
+    return at.join(nodes.select("node", "sig"), "node").select("key", "node", "component", "sig").mapInArrow(run, "key long, sub long, node long, component long")
 
 
 def _star_pairs(at: DataFrame, lists: DataFrame, turn: int) -> DataFrame:
@@ -267,24 +299,31 @@ def _counted_pairs(at: DataFrame, lists: DataFrame, together: int) -> DataFrame:
     return pairs.groupBy("p.a", "p.b").count().filter(F.col("count") >= together).select("a", "b")
 
 
-def _blocks(at: DataFrame, lists: DataFrame, nodes: DataFrame, payload: DataFrame, coordinates: int) -> DataFrame:
-    """Postings dealt to blocks of bounded size: (key, block, side, node, component, n, sig, mask, small, fine)."""
+def _blocks(at: DataFrame, lists: DataFrame, nodes: DataFrame, payload: DataFrame, matches: int) -> DataFrame:
+    """Postings dealt to blocks of bounded size: (key, sub, block, side, node, component, n, sig, mask, small, fine)."""
     # one bit for each coordinate that a class is posted under
     masks = at.groupBy(F.col("node").alias("of")).agg(F.expr("bit_or(shiftleft(1L, cast(shiftright(key, 32) as int)))").alias("mask"))
-    rows = at.join(lists, "key").withColumn("other", F.col("component") != F.col("main"))
+    size = F.col("n_main") + F.col("n_other")
+    keys = ["key", "sub"]
+    rows = at.join(lists.filter(size <= SPLIT), "key").withColumn("sub", F.lit(-1).cast("long"))
+    long = lists.filter(size > SPLIT)
+    if not long.isEmpty():
+        parts = staged(_split(at.join(long.select("key"), "key"), nodes, matches), "near-split")
+        rows = rows.unionByName(parts.join(_mixed(parts, keys), keys))
+    rows = rows.withColumn("other", F.col("component") != F.col("main"))
     n_m, n_o = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n_main", "n_other"))
     place = F.pmod(F.xxhash64("node"), F.when(F.col("other"), n_o).otherwise(n_m)).cast("int")
     rows = rows.withColumns({"m": n_m, "o": n_o, "i": place})
     upto = lambda c: F.sequence(F.lit(0), c - 1)
     block = lambda x, y, kind: F.concat_ws("/", kind, x.cast("string"), y.cast("string"))
-    small = F.col("n_main") + F.col("n_other") <= 2 * BLOCK
+    small = size <= 2 * BLOCK
     i = F.col("i")
     with_rest = F.transform(upto(F.col("o")), lambda j: F.struct(block(F.least(i, j), F.greatest(i, j), F.lit("o")).alias("block"), F.when(i == j, 2).when(i < j, 0).otherwise(1).alias("side")))
     with_main = F.transform(upto(F.col("m")), lambda j: F.struct(block(i, j, F.lit("m")).alias("block"), F.lit(0).alias("side")))
     of_main = F.transform(upto(F.col("o")), lambda j: F.struct(block(j, i, F.lit("m")).alias("block"), F.lit(1).alias("side")))
     whole = F.array(F.struct(F.lit("").alias("block"), F.lit(2).alias("side")))
     dealt = rows.withColumn("to", F.explode(F.when(small, whole).when(F.col("other"), F.concat(with_rest, with_main)).otherwise(of_main)))
-    dealt = dealt.select("key", "to.block", "to.side", "node", "component")
+    dealt = dealt.select(*keys, "to.block", "to.side", "node", "component")
     facts = nodes.select(F.col("node").alias("of"), "sig").join(payload.withColumnRenamed("node", "of"), "of").join(masks, "of")
     return dealt.join(facts, F.col("node") == F.col("of")).drop("of")
 
@@ -298,12 +337,12 @@ def _compare_blocks(blocks: DataFrame, percent: int, matches: int) -> DataFrame:
 
         def settle() -> None:
             if len(held) > 1 and any(r["component"] != held[0]["component"] for r in held):
-                out.extend(_compare(held, percent, matches, held[0]["key"] >> 32))
+                out.extend(_compare(held, percent, matches, held[0]["key"] >> 32, held[0]["sub"] >> 32))
             held.clear()
 
         for b in batches:
             for row in b.to_pylist():
-                if held and (held[0]["key"], held[0]["block"]) != (row["key"], row["block"]):
+                if held and any(held[0][k] != row[k] for k in ("key", "sub", "block")):
                     settle()
                 held.append(row)
             if len(out) > 10_000:
@@ -313,7 +352,7 @@ def _compare_blocks(blocks: DataFrame, percent: int, matches: int) -> DataFrame:
         columns = list(zip(*out, strict=True)) if out else [(), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
-    return blocks.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(run, "a long, b long").distinct()
+    return blocks.repartition("key", "sub", "block").sortWithinPartitions("key", "sub", "block").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame, label: str = "components") -> DataFrame:
@@ -336,6 +375,16 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
             return labels
 
 
+def _sources(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(node, text) without repeated rows; texts move only for ids that several rows have."""
+    often = staged(known.groupBy(F.col("doc_id").alias("node")).agg(F.count("*").alias("n")).filter("n > 1").select("node"), "near-often")
+    if often.isEmpty():
+        discard(often)
+        return rows
+    some = staged(rows.join(often, "node", "left_semi").withColumn("key", text_key()).dropDuplicates(["node", "key"]).drop("key"), "near-distinct")
+    return rows.join(often, "node", "left_anti").unionByName(some)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, coordinates: int = COORDINATES, matches: int = MATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``.
 
@@ -356,7 +405,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, co
     nodes = known.select(F.col("doc_id").alias("node"), "class", "n_shingles", "sig").join(classes, ["node", "class"], "left_semi").groupBy("node", "class").agg(least.alias("one"))
     nodes = staged(nodes.select("node", "one.n_shingles", "one.sig"), "near-nodes")
     posts = staged(prefix_postings(nodes, matches), "near-posts")
-    sources = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
+    sources = _sources(docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text")), known)
     percent = round(100 * similarity)
     links, comps = None, None
     for turn in range(STAR_ROUNDS + 1):
@@ -374,7 +423,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, co
             at = staged(at.join(long.select("key"), "key"), "near-long")
             live = staged(at.select("node").distinct(), "near-live")
             payload = staged(_payload(sources, live, words), "near-payload")
-            met = _compare_blocks(_blocks(at, long, nodes, payload, coordinates), percent, matches)
+            met = _compare_blocks(_blocks(at, long, nodes, payload, matches), percent, matches)
             pairs = staged(met.union(_agreeing(counted, nodes, percent, matches)).distinct(), "near-pairs")
             discard(lists, counted, at, live, payload, posts)
         if pairs.isEmpty():
@@ -396,8 +445,32 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, co
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose document is kept, with the same columns; null ids stay, as nothing links them."""
+    """The rows of ``docs`` whose document is kept, with the same columns; one row of each group of near duplicates stays.
+
+    Rows without an id, and rows whose id others have too, are told apart by
+    their texts: equal texts under one id (or without one) are one document, of
+    which one row stays.  Of several texts under one id one goes by that id, the
+    others, and those without one, are documents of their own behind all ids.
+    Rows without a shingle have no duplicates and all stay.
+    """
     held, names = numbered(docs)
     own_id, own_text = (f"c{names.index(c)}" for c in (id_col, text_col))
-    gone = near_duplicates(held, id_col=own_id, text_col=own_text, **options).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("gone")).distinct()
-    return held.join(gone, F.col(own_id) == F.col("gone"), "left_anti").toDF(*names)
+    id_ = F.col(own_id).cast("long")
+    ids = held.select(id_.alias("of")).groupBy("of").agg(F.count("*").alias("n")).filter("n > 1 or of is null").select("of")
+    ids = staged(ids, "near-ids")
+    if ids.isEmpty():
+        gone = near_duplicates(held, id_col=own_id, text_col=own_text, **options).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("gone")).distinct()
+        return held.join(gone, F.col(own_id) == F.col("gone"), "left_anti").toDF(*names)
+    # ids of their own, above all that are given out, for (id, text)
+    made = F.lit(2**62) + F.xxhash64(F.coalesce(id_, F.lit(0)), id_.isNull(), text_key(own_text)).bitwiseAND(2**62 - 1)
+    least = held.join(ids, id_.eqNullSafe(F.col("of")), "left_semi").groupBy(id_.alias("of")).agg(F.min(text_key(own_text)).alias("least"))
+    node = F.when(F.col("least").isNull() | id_.isNotNull() & (text_key(own_text) == F.col("least")), id_).otherwise(made)
+    marked = held.join(staged(least, "near-least"), id_.eqNullSafe(F.col("of")), "left").withColumn("node_id", node).drop("of", "least")
+    found = staged(near_duplicates(marked, id_col="node_id", text_col=own_text, **options), "near-found")
+    gone = found.filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    left = marked.join(gone, F.col("node_id") == F.col("gone"), "left_anti")
+    several = found.filter("n_shingles > 0").groupBy(F.col("doc_id").alias("again")).agg(F.count("*").alias("n")).filter("n > 1").select("again")
+    several = staged(several, "near-several")
+    once = left.join(several, F.col("node_id") == F.col("again"), "left_anti")
+    one = left.join(several, F.col("node_id") == F.col("again"), "left_semi").dropDuplicates(["node_id"])
+    return once.unionByName(one).select(*held.columns).toDF(*names)

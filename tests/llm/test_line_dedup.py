@@ -72,19 +72,88 @@ def test_odd_rows(spark, odd, none, crowded):
     assert ld.clean_lines(odd).schema.simpleString() == odd.schema.simpleString()
 
 
-def left_by_hand(rows):
-    """What stays if both lines of every pair that stands at an earlier place go."""
+def left_by_hand(rows, long_line=50):
+    """What stays if both lines of every pair (blank ones between or not) and every long line that stand at an earlier place go."""
     first, out = {}, {}
     for i, t in rows:
         lines, gone = t.split("\n"), set()
-        for p, pair in enumerate(zip(lines, lines[1:], strict=False)):
-            at = first.setdefault(pair, (i, p))
-            if at != (i, p):
-                gone |= {x for x in (p, p + 1) if at[0] != i or x > at[1] + 1}
+        full = [p for p, x in enumerate(lines) if x.split()]
+        for p, q in [*zip(full, full[1:], strict=False), *((p, p) for p in full if len(lines[p].split()) >= long_line)]:
+            at = first.setdefault(tuple(lines[p : q + 1]), (i, p, q))
+            if at != (i, p, q):
+                gone |= {x for x in range(p, q + 1) if at[0] != i or x > at[2]}
         out[i] = "\n".join(x for p, x in enumerate(lines) if p not in gone)
     return out
 
 
+def chunks_by_hand(lines, hashes, divisor):
+    """(start, end) of the chunks of one document by a loop over its lines."""
+    import numpy as np
+
+    bounds, found = [0], []
+    for i in range(len(lines)):
+        inside = i >= ld.SPAN - 1 and int(ld._spanned(np.array(hashes[i - ld.SPAN + 1 : i + 1], np.uint64), np.array([0]), np.array([ld.SPAN]))[0]) % divisor == 0
+        if inside or i == len(lines) - 1:
+            bounds.append(i + 1)
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        full = [x for x in range(a, b) if lines[x].split()]
+        if len(full) > 1:
+            found.append((full[0], full[-1] + 1))
+    return found
+
+
+def test_chunks_equal_a_loop_and_do_not_shift():
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    texts = ["\n".join(rng.choice(["", " ", f"line {rng.random()}", "same"]) for _ in range(rng.randint(1, 90))) for _ in range(40)]
+    h, words, doc, place = ld._lines(pa.array(texts))
+    starts, ends = ld.chunk_bounds(h, words, doc, 4)
+    got = [(int(doc[a]), int(place[a]), int(place[b - 1]) + 1) for a, b in zip(starts, ends, strict=True)]
+    want = [(i, a, b) for i, t in enumerate(texts) for a, b in chunks_by_hand(t.split("\n"), h[doc == i].tolist(), 4)]
+    assert got == want and len(want) > 100
+    body = [f"line {i} {rng.random()}" for i in range(60)]
+    h, words, doc, place = ld._lines(pa.array(["\n".join(body), "\n".join(["new", "lines", *body])]))
+    starts, ends = ld.chunk_bounds(h, words, doc, 4)
+    one, two = ({(int(place[a]) - 2 * d, int(place[b - 1]) + 1 - 2 * d) for a, b in zip(starts, ends, strict=True) if doc[a] == d} for d in (0, 1))
+    assert len(one & two) >= len(one) - 2 > 5
+
+
+def test_equal_to_a_loop(spark, words):
+    rng = random.Random(21)
+    long = [" ".join(rng.choice(words) for _ in range(55)) for _ in range(3)]
+    shared = [[rng.choice(["", "  ", rng.choice(long), " ".join(rng.choice(words) for _ in range(4))]) for _ in range(rng.randint(2, 20))] for _ in range(8)]
+    rows = []
+    for i in range(120):
+        lines = []
+        for _ in range(rng.randint(1, 4)):
+            lines += [f"own {i} {rng.random()}"] * rng.randint(0, 2) + (rng.choice(shared)[rng.randint(0, 3) :] if rng.random() < 0.7 else ["", rng.choice(long)])
+        rows.append((i, "\n".join(lines)))
+    got = run(spark, rows)
+    assert {i: t for i, (t, _) in got.items()} == left_by_hand(rows)
+    assert sum(n for _, n in got.values()) > 300
+
+
+def test_no_fragment_of_a_passage_is_left(spark):
+    p = [f"p{i} of the passage" for i in range(1, 6)]
+    rows = [(i, "\n".join([f"own {i}", *p, f"end {i}"])) for i in range(3)] + [(3, "\n".join(["own 3", *p[1:3], "end 3"]))]
+    got = run(spark, rows)
+    assert got[0] == (rows[0][1], 0) and all(got[i] == (f"own {i}\nend {i}", 5 if i < 3 else 2) for i in (1, 2, 3))
+
+
+def test_a_clash_of_digests_touches_nothing_it_should_not(spark):
+    rng = random.Random(3)
+    passage = ["x y z", "u v w"]
+    rows = [(i, "\n".join([f"a {rng.random()}", f"b {rng.random()}", *passage, f"c {rng.random()}"])) for i in range(30)]
+    df = spark.createDataFrame(rows, DOCS)
+    assert all(r.text == rows[r.doc_id][1] and r.removed_lines == 0 for r in ld.remove_repeated(df, bits=3).collect())  # eight digests
+    some = {r.doc_id: r.text for r in ld.remove_repeated(df, bits=12).collect()}
+    assert all(set(rows[i][1].split("\n")) - set(t.split("\n")) <= set(passage) for i, t in some.items())
+    hot = [(i, "\n".join(["x y z", "u v w"])) for i in range(3000)] + [(9999, "x y z\nu v w\nown")]
+    got = {r.doc_id: r.text for r in ld.remove_repeated(spark.createDataFrame(hot, DOCS).repartition(5)).collect()}
+    assert got[0] == hot[0][1] and got[9999] == "own" and set(got.values()) == {"", hot[0][1], "own"} and sum(t == hot[0][1] for t in got.values()) == 1
+
+
 def test_nested_passages_with_falling_counts(spark):
     p = [f"passage line {i}" for i in range(1, 6)]
     sizes = [5] * 4 + [4] * 2 + [3] * 2 + [2] * 2  # counts of pairs 10, 8, 6, 4

@@ -76,6 +76,12 @@ def test_components_with_small_blocks(spark, corpus, monkeypatch):
     check(spark, corpus)
 
 
+def test_components_with_split_lists(spark, corpus, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 8)
+    monkeypatch.setattr(nd, "SPLIT", 12)
+    check(spark, corpus)
+
+
 def test_five_words(spark, corpus):
     check(spark, corpus, n=5)
 
@@ -100,7 +106,8 @@ def test_odd_rows(spark, odd, none, crowded):
     assert nd.near_duplicates(none).count() == 0 and nd.keep_one(none).count() == 0
     kept = nd.keep_one(crowded)
     assert kept.columns == crowded.columns
-    assert sorted(x.doc_id for x in kept.collect() if x.doc_id is not None) == [1, 1, 4, 5, 6, 7, 8, 9, 10]
+    assert sorted(x.doc_id for x in kept.collect() if x.doc_id is not None) == [1, 4, 5, 6, 7, 8, 9, 10]
+    assert [x.text for x in kept.collect() if x.doc_id is None] == [None]
 
 
 def test_rows_of_one_id_with_different_texts_are_one_document(spark, words):
@@ -115,3 +122,13 @@ def test_components_of_long_paths(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101)], "a bigint, b bigint").withColumn("a", F.col("a"))
     got = {r.node: r.component for r in nd.components(links).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_one_row_of_each_group_stays(spark, words):
+    rng = random.Random(13)
+    a, b, c = (" ".join(rng.choice(words) for _ in range(60)) for _ in range(3))
+    rows = [(None, a, 1), (None, a, 2), (None, b, 3), (2, b + " end", 4), (3, c, 5), (3, c, 6), (3, "quite another text", 7), (None, "", 8), (None, "", 9), (4, "x", 10), (5, "x", 11)]
+    kept = sorted(r.n for r in nd.keep_one(spark.createDataFrame(rows, DOCS + ", n int")).collect())
+    assert len({1, 2} & set(kept)) == 1 and len({5, 6} & set(kept)) == 1 and 3 not in kept and 4 in kept and 11 not in kept
+    many = spark.createDataFrame([(None, a, 0)] * 500 + [(1, a, 1)], DOCS + ", n int")
+    assert [r.n for r in nd.keep_one(many).collect()] == [1]
