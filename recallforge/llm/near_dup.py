@@ -62,7 +62,8 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     bounds = np.searchsorted(starts, offsets)
     rolled = h * np.uint64(0x9E3779B97F4A7C15)
     for k in range(1, words):
-        rolled[: len(h) - k] = mix64(rolled[: len(h) - k] + h[k:]) * np.uint64(0x9E3779B97F4A7C15)
+        n = max(0, len(h) - k)
+        rolled[:n] = mix64(rolled[:n] + h[k:]) * np.uint64(0x9E3779B97F4A7C15)
     rolled = mix64(rolled)
     found = []
     for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):

@@ -100,6 +100,14 @@ def test_shingle_hashes_follow_the_words():
     assert sets[0] == sets[1] and len(sets[0]) == 2 and not sets[2] & sets[3] and not sets[4] and not sets[5] and len(sets[6]) == 1 and len(sets[7]) == 1
 
 
+def test_batches_of_few_words():
+    import pyarrow as pa
+
+    for n in range(7):
+        text = " ".join("abcdef"[:n])
+        assert [len(x) for x in nd.shingle_sets(pa.array([text]), 5)] == [max(min(n, 1), n - 4)]
+
+
 def test_odd_rows(spark, odd, none, crowded):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     check(spark, rows)
