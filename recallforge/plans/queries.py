@@ -660,7 +660,7 @@ def skill_entries(spark, read):
 @query()
 def skill_suggestions(spark, read):
     """Suggested triggers (tested in Python)."""
-    return part_cards(read).select("card_id", skills.suggested("content", "domain", "keys").alias("s")).select("card_id", F.array_join("s", "; ").alias("suggestions"))
+    return part_cards(read).select("card_id", skills.suggested(F.col("content"), F.col("domain"), F.col("keys")).alias("s")).select("card_id", F.array_join("s", "; ").alias("suggestions"))
 
 
 @query()

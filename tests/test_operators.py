@@ -192,7 +192,20 @@ def test_units(spark):
     got = {r.source: r.content for r in units.extract(files).collect()}
     assert set(got) == {"README.md#title", "README.md#setup-run", "m.py#docstring", "package.json#about", "package.json#script:t"}
     assert units.ignored("a/b.log", ["*.log"]) and not units.ignored("a/keep.log", ["*.log", "!keep.log"]) and units.ignored("build2/x", ["build2/"])
-    assert len(units.chunks("\n\n".join(["p" * 700] * 4))) == 2
+    one = spark.range(1).select(units.chunks(F.lit("\n\n".join(["p" * 700] * 4))).alias("c"), units.chunks(F.lit("short")).alias("s"), units.chunks(F.lit("\n\n".join(["p" * 700] * 3))).alias("t")).first()
+    assert [len(x) for x in one.c] == [1402, 1402] and one.s == ["short"] and [len(x) for x in one.t] == [1402, 700]
+    more = {
+        "a/Makefile": "all: x\n\ttouch\nclean:\n", "requirements.txt": "# c\na==1\nb\nc==2\n", "Dockerfile": "from python:3\n", ".env.example": "# n\nB=1\nA=2\n", "docker-compose.yml": "services:\n  web:\n  db:\n",
+        ".github/workflows/ci.yml": "name: ci\njobs:\n  test:\n    x: 1\n", ".github/dependabot.yml": "updates:\n  - package-ecosystem: pip\n    interval: weekly\n",
+        "pyproject.toml": '[project]\nname = "p"\nversion = "1"\n[project.scripts]\nrun = "p:main"\n[tool.x]\nname = "no"\n', "b.rst": "Title\n=====\nsome text\n", "c.py": "# c\n\'\'\'A module that says much.\'\'\'\n", "d.py": "x = 1\n\'\'\'not a docstring of it\'\'\'\n",
+    }
+    rows = {r.source: (r.key, r.content) for r in units.extract(spark.createDataFrame([(k, bytearray(v.encode())) for k, v in more.items()], "path string, content binary")).collect()}
+    assert rows == {
+        "a/Makefile#targets": ("a/Makefile targets", "[a/Makefile] make targets: all, clean"), "requirements.txt#deps": ("requirements.txt deps", "[requirements.txt] pinned deps: a==1; c==2"), "Dockerfile#base": ("Dockerfile base image", "[Dockerfile] base image: python:3"),
+        ".env.example#env": (".env.example variables", "[.env.example] documented env vars: A, B"), "docker-compose.yml#services": ("docker-compose.yml services", "[docker-compose.yml] services: db, web"),
+        ".github/workflows/ci.yml#workflow": ("CI workflow", "[.github/workflows/ci.yml] name: ci; jobs: test"), ".github/dependabot.yml#dependabot": (".github/dependabot.yml bot", "[.github/dependabot.yml] dependabot ecosystems: pip (interval weekly)"),
+        "pyproject.toml#about": ("pyproject about", "[pyproject.toml] name=p; version=1"), "pyproject.toml#script:run": ("console script run", "[pyproject.toml] `run` -> `p:main`"), "b.rst#title": ("Title", "[b.rst] Title\n# Title\nsome text"), "c.py#docstring": ("A module that says much.", "[c.py] module: A module that says much."),
+    }
     assert {r.framework for r in units.frameworks(files).collect()} == {"Jest"}
 
 
@@ -200,7 +213,8 @@ def test_skills(spark):
     cards = spark.createDataFrame([(1, "a", "do " * 12, ["when the problem involves x"]), (2, "a", "2 + 2 = 4", ["k"]), (3, "", "c", []), (4, "d", " ", ["k"])], "card_id int, name string, content string, keys array<string>")
     got = {(r.card_id, r.issue) for r in skills.validate(cards).collect()}
     assert {(1, "all triggers abstract"), (1, "too few trigger keys"), (2, "duplicate name"), (2, "numeric answers"), (3, "missing name"), (4, "empty content")} <= got
-    assert "when you need to refactor" in skills.suggestions("Refactor nested branches into guard clause returns", "coding", [])
+    said = spark.createDataFrame([("Refactor nested branches into guard clause returns", "coding", ["refactor problem, refactor issue"]), ("a b", None, None), (None, "coding", None)], "c string, d string, k array<string>")
+    assert [r.s for r in said.select(skills.suggested(F.col("c"), F.col("d"), F.col("k")).alias("s")).collect()] == [["when you need to refactor", "when the situation calls for refactor to patterns", "when the situation calls for guard clause early return", "dealing with refactor and nested"], [], []]
     assert skills.direction("convert 30 celsius to fahrenheit") == ("celsius", "fahrenheit") and skills.direction("convert celsius") is None
     loaded = readers.cards(spark, [json.dumps({"name": "n", "content": "c", "keys": "one\ntwo"}), json.dumps([{"name": "m", "content": "c", "keys": {"x": ["three"]}}])])
     assert {tuple(r["keys"]) for r in loaded.collect()} == {("one", "two"), ("three",)}
