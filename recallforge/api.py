@@ -40,9 +40,22 @@ class Rack:
     def _normalize(self):
         return text.normalizer(self.normalizer) if self.normalizer else text.normalize
 
+    def _fs(self):
+        jvm = self.spark._jvm.org.apache.hadoop.fs
+        return jvm, jvm.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _at(self, version: int, name: str) -> str:
+        return f"{self.path}/{f'v{version}/' if version else ''}{name}"
+
+    def _version(self) -> int:
+        """The version that holds: the greatest one with a mark, which is made when its files are whole; 0 without marks."""
+        jvm, fs = self._fs()
+        found = fs.globStatus(jvm.Path(f"{self.path}/current-*"))
+        return max((int(f.getPath().getName().removeprefix("current-")) for f in found or ()), default=0)
+
     def _read(self, name: str) -> DataFrame | None:
         try:
-            return self.spark.read.parquet(f"{self.path}/{name}")
+            return self.spark.read.parquet(self._at(self._version(), name))
         except AnalysisException as e:
             if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
@@ -73,19 +86,21 @@ class Rack:
         rows = rows.withColumn("entry_id", F.monotonically_increasing_id() + (base + 1))
         built = memory.build_entries(rows, self.seed, self._normalize(), reject_credentials)
         before = 0 if known is None else known.count()
-        built.select(*COLUMNS).write.mode("append").partitionBy("cartridge").parquet(f"{self.path}/entries")
+        built.select(*COLUMNS).write.mode("append").partitionBy("cartridge").parquet(self._at(self._version(), "entries"))
         return self._read("entries").count() - before
 
     def teach(self, content: str, key: str | None = None, **options) -> int:
         return self.add(self.spark.createDataFrame([(content, key)], "content string, key string"), **options)
 
     def delete(self, ids: list[int]) -> None:
-        self.spark.createDataFrame([(i,) for i in ids], "entry_id bigint").write.mode("append").parquet(f"{self.path}/deleted")
+        self.spark.createDataFrame([(i,) for i in ids], "entry_id bigint").write.mode("append").parquet(self._at(self._version(), "deleted"))
 
-    def search(self, texts: list[str] | DataFrame, top_k: int = 3, kind: str | int | None = None, cartridges: list[str] | None = None, fuzzy: float = FUZZY_THRESHOLD, semantic: float = SEMANTIC_THRESHOLD) -> DataFrame:
-        """Hits of all cartridges, merged, for texts or a table of queries (query_id, query)."""
+    def search(self, texts: list[str] | DataFrame, top_k: int = 3, kind: str | int | None = None, cartridges: list[str] | None = None, fuzzy: float = FUZZY_THRESHOLD, semantic: float = SEMANTIC_THRESHOLD, embed=None) -> DataFrame:
+        """Hits of all cartridges, merged, for texts or a table of queries (query_id, query); with ``embed`` also by sign vectors, where entries have them."""
         asked = texts if isinstance(texts, DataFrame) else self.spark.createDataFrame(list(enumerate(texts)), "query_id bigint, query string")
-        return rack.search(asked, self.entries(), top_k, cartridges, kind=kind, fuzzy=fuzzy, seed=self.seed, normalize=self._normalize())
+        entries = self.entries()
+        embed = embed if {"sk", "sc"} <= set(entries.columns) else None
+        return rack.search(asked, entries, top_k, cartridges, kind=kind, fuzzy=fuzzy, semantic=semantic, seed=self.seed, normalize=self._normalize(), embed=embed)
 
     def search_grouped(self, texts: list[str], top_k: int = 3, group_key: str = "skill") -> DataFrame:
         asked = self.spark.createDataFrame(list(enumerate(texts)), "query_id bigint, query string")
@@ -95,16 +110,21 @@ class Rack:
         return rack.rack_stats(self.entries(), self.max_entries)
 
     def compact(self) -> None:
-        """Rewrite without tombstones, shards and repeated contents; the old files go last."""
-        whole = rack.compact_shards(self.entries())
-        whole.select(*COLUMNS).write.mode("overwrite").partitionBy("cartridge").parquet(f"{self.path}/entries-new")
-        jvm = self.spark._jvm.org.apache.hadoop.fs
-        root = jvm.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        for name in ("entries", "deleted"):
+        """Rewrite without tombstones, shards and repeated contents, as a new version.
+
+        The mark of the version is made when its files are whole, so a failure
+        at any point leaves one whole version that holds; the old files go last.
+        """
+        old = self._version()
+        new = old + 1
+        jvm, fs = self._fs()
+        fs.delete(jvm.Path(f"{self.path}/v{new}"), True)  # of a run that failed
+        rack.compact_shards(self.entries()).select(*COLUMNS).write.partitionBy("cartridge").parquet(self._at(new, "entries"))
+        fs.create(jvm.Path(f"{self.path}/current-{new}"), True).close()
+        for name in ("entries", "deleted") if not old else (f"v{old}",):
             fs.delete(jvm.Path(f"{self.path}/{name}"), True)
-        fs.rename(jvm.Path(f"{self.path}/entries-new"), jvm.Path(f"{self.path}/entries"))
-        self.spark.catalog.refreshByPath(f"{self.path}/entries")
+        if old:
+            fs.delete(jvm.Path(f"{self.path}/current-{old}"), False)
 
     def export(self, path: str, form: str = "json") -> None:
         made = exports.json_lines(self.entries()) if form == "json" else exports.markdown(self.entries())

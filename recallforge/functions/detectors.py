@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 # Patterns, weights and levels that results depend on.
 PII = {
     "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
-    "phone": r"\+?\d[\d\s\-]{8,}\d",
+    "phone": r"\+?\p{Nd}[\p{Nd}\s\p{Z}\-]{8,}\p{Nd}",
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
     "ip": r"\b(?:\d{1,3}\.){3}\d{1,3}\b",
     "iban": r"\b[A-Z]{2}\d{2}[A-Z0-9]{4,30}\b",
@@ -52,6 +52,9 @@ NEEDED = {
     "new_instruction": ["instruction", "rule", "guideline", "directive"],
     "role_switch": ["mode", "access", "privilege", "level"],
 }
+#: White space and letters beyond ASCII that the rules' white space and case folding mean as well, and what they are read as.
+WHITE = "\x0b\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+FOLDED, FOLDED_TO = WHITE + "\u0130\u0131\u017f\u212a", " " * len(WHITE) + "iisk"
 RTL = "\u202a\u202b\u202c\u202d\u202e\u2066\u2067\u2068\u2069"
 ZERO_WIDTH = "\u200b\u200c\u200d\u2060\u2061\u2062\u2063\u2064\ufeff"
 HOMOGLYPHS = "\u0430\u0435\u043e\u0440\u0441\u0443\u0445\u0251\u03b5\u03bf"
@@ -67,6 +70,7 @@ CREDENTIALS = {
     "private_key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----",
     "password": r"(?i)\b(?:password|passwd|pwd)\s*[:=]\s*[^\s'\x22]{6,}",
     "connection_string": r"(?i)\b(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp)://[^\s:@/]+:[^\s@/]+@",
+    "named_secret": r"(?i)(?:api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|client[_-]?secret|secret|token)['\x22]?\s*[:=]\s*['\x22]?[A-Za-z0-9_./+=-]{16,}",
     "web_token": r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
 }
 
@@ -101,7 +105,7 @@ def pii_spans(s: pd.Series) -> pd.Series:
     """Findings with their places, which SQL functions don't give for every match."""
     import re
 
-    rules = [(k, re.compile(p)) for k, p in PII.items()]
+    rules = [(k, re.compile(p.replace(r"\p{Nd}", r"\d").replace(r"\p{Z}", ""))) for k, p in PII.items()]
     card = re.compile(CARD)
 
     def valid(raw: str) -> bool:
@@ -130,8 +134,9 @@ def injection_risk(c: Column) -> Column:
     none = F.lit(None).cast("struct<name:string,weight:double,level:int>")
     rule = lambda name, weight, level: F.struct(name.alias("name"), weight.alias("weight"), level.alias("level"))
     # the words that each rule cannot match without are looked for first, in the lower-cased text
-    low = F.lower(c)
-    found = [F.when(_any_of(low, NEEDED[n]) & c.rlike("(?i)" + p), rule(F.lit(n), F.lit(w), F.lit(lv))).otherwise(none) for n, p, w, lv in INJECTION]
+    plain = F.translate(c, FOLDED, FOLDED_TO)
+    low = F.lower(plain)
+    found = [F.when(_any_of(low, NEEDED[n]) & plain.rlike("(?i)" + p), rule(F.lit(n), F.lit(w), F.lit(lv))).otherwise(none) for n, p, w, lv in INJECTION]
     zero, homo = _count_of(c, ZERO_WIDTH), _count_of(c, HOMOGLYPHS)
     tags = F.length(c) - F.length(F.regexp_replace(c, "[\ue000-\ue07f]", ""))
     odd = [
@@ -187,7 +192,7 @@ def wrap_untrusted(c: Column, label: str = "untrusted") -> Column:
 def sanitize_untrusted(c: Column) -> Column:
     """SAFE and LOW pass; MEDIUM is wrapped; above it, matches of HIGH rules and up become ``[REMOVED]`` first."""
     risk = injection_risk(c)["risk"]
-    removed = reduce(lambda t, r: F.regexp_replace(t, "(?i)" + r[1], "[REMOVED]"), [r for r in INJECTION if r[3] >= 3], c)
+    removed = reduce(lambda t, r: F.regexp_replace(t, "(?iU)" + r[1], "[REMOVED]"), [r for r in INJECTION if r[3] >= 3], c)
     return F.when(risk.isin("SAFE", "LOW"), c).when(risk == "MEDIUM", wrap_untrusted(c)).otherwise(wrap_untrusted(removed))
 
 

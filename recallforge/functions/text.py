@@ -34,6 +34,8 @@ SALIENT = (
     r"agreed|deferred|todo|blocked|deadline|never|always|must)\b"
 )
 EDGE_MARKS = ".,;:!?()[]{}'\""
+#: White space of any kind, as a class for Java's patterns.
+BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 LANGUAGE_OF = {
     ".py": "python", ".js": "javascript", ".ts": "typescript", ".tsx": "typescript", ".jsx": "javascript", ".go": "go", ".rs": "rust", ".java": "java", ".rb": "ruby",
@@ -47,7 +49,7 @@ def _words(*names: str) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim white space of any kind at both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, rf"^{BLANK}+|{BLANK}+$", "")
 
 
 def normalize(c: Column) -> Column:
@@ -67,7 +69,7 @@ def sanitize_key(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Runs of characters other than white space."""
-    return F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(c, f"{BLANK}+"), lambda w: w != "")
 
 
 def drop_words(c: Column, words: list[str]) -> Column:
@@ -128,24 +130,39 @@ def content_words(c: Column) -> Column:
 
 def drop_deixis(c: Column, anchors: Column) -> Column:
     """Words without deixis; with fewer than two words of content left, the first three anchors follow."""
-    kept = F.filter(_bare_words(c), lambda w: ~F.array_contains(_words(*DEIXIS), w))
-    clean = F.trim(F.regexp_replace(F.array_join(kept, " "), r"\s+", " "))
-    full = F.size(F.filter(kept, lambda w: ~F.array_contains(_words(*STOP_SESSION), w))) >= 2
-    return F.when(full, clean).otherwise(F.trim(F.concat_ws(" ", clean, F.array_join(F.slice(anchors, 1, 3), " "))))
+
+    def joined(kept: Column) -> Column:
+        clean = F.trim(F.regexp_replace(F.array_join(kept, " "), r"\s+", " "))
+        full = F.size(F.filter(kept, lambda w: ~F.array_contains(_words(*STOP_SESSION), w))) >= 2
+        return F.when(full, clean).otherwise(F.trim(F.concat_ws(" ", clean, F.array_join(F.slice(anchors, 1, 3), " "))))
+
+    return _with(F.filter(_bare_words(c), lambda w: ~F.array_contains(_words(*DEIXIS), w)), joined)
+
+
+def _with(value: Column, use) -> Column:
+    """``use(value)`` with the value bound, so that it is worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _anchors(question_words: Column, answer_words: Column) -> Column:
+    return F.array_distinct(F.concat(F.slice(question_words, 1, 4), F.slice(answer_words, 1, 10)))
 
 
 def anchors_of(question: Column, answer: Column) -> Column:
-    q, a = content_words(question), content_words(answer)
-    return F.slice(F.array_distinct(F.concat(F.slice(q, 1, 4), F.slice(a, 1, 10))), 1, 12)
+    return F.slice(_anchors(content_words(question), content_words(answer)), 1, 12)
 
 
 def distilled_keys(question: Column, answer: Column) -> Column:
     """Up to three lookup keys of an exchange; a key that equals a single anchor is dropped."""
-    a = content_words(answer)
-    every = F.array_distinct(F.concat(F.slice(content_words(question), 1, 4), F.slice(a, 1, 10)))
-    anchors = F.slice(every, 1, 12)
-    keys = F.array(drop_deixis(question, anchors), F.array_join(F.slice(anchors, 1, 8), " "), F.when(F.size(a) >= 3, F.array_join(F.slice(a, 1, 6), " ")).otherwise(F.lit("")))
-    return F.array_distinct(F.filter(keys, lambda k: (F.trim(k) != "") & ~F.array_contains(every, k)))
+
+    def keys(words: Column) -> Column:
+        every, a = words["every"], words["a"]
+        anchors = F.slice(every, 1, 12)
+        made = F.array(drop_deixis(question, anchors), F.array_join(F.slice(anchors, 1, 8), " "), F.when(F.size(a) >= 3, F.array_join(F.slice(a, 1, 6), " ")).otherwise(F.lit("")))
+        return F.array_distinct(F.filter(made, lambda k: (F.trim(k) != "") & ~F.array_contains(every, k)))
+
+    both = F.struct(content_words(question).alias("q"), content_words(answer).alias("a"))
+    return _with(_with(both, lambda w: F.struct(_anchors(w["q"], w["a"]).alias("every"), w["a"].alias("a"))), keys)
 
 
 def salience(c: Column) -> Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..schema import MAX_ENTRIES, RECALL_POOL, SHARD_SEP
+from ..functions import text, vectors
+from ..schema import FUZZY_THRESHOLD, MAX_ENTRIES, RECALL_POOL, SEMANTIC_THRESHOLD, SHARD_SEP
 from . import memory
 
 #: Header types that are left out of a search unless named.
@@ -73,30 +73,35 @@ def compact_shards(entries: DataFrame) -> DataFrame:
     return merged.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
-def _per_cartridge(queries: DataFrame, entries: DataFrame, depth: int, **options) -> DataFrame:
-    """Hits of every cartridge by itself: queries are asked once for each."""
+def _per_cartridge(queries: DataFrame, entries: DataFrame, depth: int, kind: str | int | None = None, fuzzy: float = FUZZY_THRESHOLD, semantic: float = SEMANTIC_THRESHOLD, seed: str = vectors.SEED, normalize=text.normalize, embed=None) -> DataFrame:
+    """Hits of every cartridge by itself: queries are asked once for each.
+
+    ``embed`` turns query text into sign vectors for the semantic tier of
+    entries with ``sk`` and ``sc``; an entry may come once from each tier.
+    """
     names = entries.select("cartridge").distinct()
     asked = queries.crossJoin(names).select(F.struct("query_id", "cartridge").alias("query_id"), "query")
     # one pass: the pair of query and cartridge is the query, and only meets entries of its cartridge
-    from ..functions import vectors
-
-    normalize = options.get("normalize", text.normalize)
-    alive = memory.live(entries, options.get("kind"))
+    alive = memory.live(entries, kind)
     q = asked.select("query_id", "query", normalize(F.col("query")).alias("key_norm"), F.col("query_id.cartridge").alias("cartridge"))
-    met = alive.select("cartridge", "key_norm", "entry_id").join(F.broadcast(q.select("query_id", "cartridge", "key_norm")), ["cartridge", "key_norm"])
+    met = alive.select("cartridge", "key_norm", "entry_id").join(F.broadcast(q.filter("key_norm <> ''").select("query_id", "cartridge", "key_norm")), ["cartridge", "key_norm"])
     q = q.join(met.groupBy("query_id").agg(F.max("entry_id").alias("exact_id")), "query_id", "left").withColumn("room", F.lit(depth) - F.col("exact_id").isNotNull().cast("int"))
-    exact = q.filter("exact_id is not null").select("query_id", F.col("exact_id").alias("entry_id"), F.lit(1.0).alias("confidence"), F.lit("exact").alias("mode"))
-    block = q.filter("room > 0").select("query_id", "cartridge", "room", "exact_id", vectors.encoder(options.get("seed", vectors.SEED))(F.col("query")).alias("qv"))
-    block = block.select("query_id", "cartridge", "room", "exact_id", *vectors.spread(F.col("qv"), "q"))
-    pairs = alive.select("cartridge", "entry_id", *vectors.spread(F.col("k"), "k"), *vectors.spread(F.col("c"), "c")).join(F.broadcast(block), "cartridge")  # queries x cartridges, bounded by the caller's queries
-    pairs = pairs.filter(F.col("entry_id") != F.coalesce("exact_id", F.lit(-1)))
-    score = vectors.spread_similarity("q", "k", "c")
-    fuzzy = pairs.withColumn("confidence", score).filter(F.col("confidence") >= options.get("fuzzy", 0.60))
-    order = Window.partitionBy("query_id").orderBy(F.col("confidence").desc(), F.col("entry_id").desc())
-    fuzzy = fuzzy.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= depth).filter("place <= room")
-    both = exact.unionByName(fuzzy.select("query_id", "entry_id", "confidence", F.lit("fuzzy").alias("mode")))
-    rank = Window.partitionBy("query_id").orderBy(F.col("mode") != "exact", F.col("confidence").desc(), F.col("entry_id").desc())
-    hits = both.withColumn("place", F.row_number().over(rank)).select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.cartridge").alias("cartridge"), "place", "entry_id", "confidence", "mode")
+    found = q.filter("exact_id is not null").select("query_id", F.col("exact_id").alias("entry_id"), F.lit(1.0).alias("confidence"), F.lit("exact").alias("mode"))
+
+    def tier(vector: Column, k: str, c: str, least: float, mode: str) -> DataFrame:
+        block = q.filter("room > 0").select("query_id", "cartridge", "exact_id", vector.alias("qv")).filter("qv is not null")
+        block = block.select("query_id", "cartridge", "exact_id", *vectors.spread(F.col("qv"), "q"))
+        own, other = F.coalesce(k, c), F.coalesce(c, k)
+        rows = alive.filter(own.isNotNull()).select("cartridge", "entry_id", *vectors.spread(own, "k"), *vectors.spread(other, "c"))
+        pairs = rows.join(F.broadcast(block), "cartridge").filter(F.col("entry_id") != F.coalesce("exact_id", F.lit(-1)))  # queries x cartridges, bounded by the caller's queries
+        return pairs.select("query_id", "entry_id", vectors.spread_similarity("q", "k", "c").alias("confidence"), F.lit(mode).alias("mode")).filter(F.col("confidence") >= least)
+
+    found = found.unionByName(tier(vectors.encoder(seed)(F.col("query")), "k", "c", fuzzy, "fuzzy"))
+    if embed is not None:
+        found = found.unionByName(tier(embed(F.col("query")), "sk", "sc", semantic, "semantic"))
+    rank = Window.partitionBy("query_id").orderBy(F.col("mode") != "exact", F.col("confidence").desc(), F.col("entry_id").desc(), F.col("mode").desc())
+    hits = found.withColumn("place", F.row_number().over(rank)).filter(F.col("place") <= depth)
+    hits = hits.select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.cartridge").alias("cartridge"), "place", "entry_id", "confidence", "mode")
     rows = alive.select("cartridge", "entry_id", "content", "source", memory.kind_name(F.col("kind")).alias("kind"), "key_norm", "meta")
     return hits.join(rows, ["cartridge", "entry_id"])
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import detectors, scores, text, vectors
 from ..operators import agents, diff, graph, memory, rack, sessions, similarity, skills, units, vault
+from ..operators.common import at_rest
 from ..sources import exports
 from . import sql as S
 from .registry import query
@@ -31,7 +32,7 @@ def part_rows(read) -> DataFrame:
 
 
 def part_entries(read) -> DataFrame:
-    return memory.build_entries(part_rows(read), score_trust=False)
+    return at_rest(memory.build_entries(part_rows(read), score_trust=False), "parts")
 
 
 PART = "p AS (SELECT p_partkey AS entry_id, p_name || ' ' || p_type || ' ' || p_brand AS content, p_name AS key, CASE WHEN p_size > 40 THEN 2 WHEN p_size > 20 THEN 1 ELSE 3 END AS kind, p_brand FROM part)"
@@ -164,7 +165,7 @@ def rack_search(spark, read):
     rows = [read("region").select(F.lit("region").alias("cartridge"), F.col("r_regionkey").cast("bigint").alias("entry_id"), F.col("r_name").alias("content"))]
     rows.append(read("nation").select(F.lit("nation"), F.col("n_nationkey").cast("bigint"), "n_name"))
     rows.append(read("part").select(F.lit("part"), "p_partkey", "p_name"))
-    entries = memory.build_entries(rows[0].union(rows[1]).union(rows[2]), score_trust=False)
+    entries = at_rest(memory.build_entries(rows[0].union(rows[1]).union(rows[2]), score_trust=False), "rack")
     q = spark.createDataFrame([(1, "nation 7"), (2, "europa"), (3, "red widgets"), (4, "NATION_7")], "query_id bigint, query string")
     return rack.search(q, entries).select("query_id", "rank", "cartridge", "entry_id", "confidence", "mode")
 
@@ -315,7 +316,8 @@ def gather_exchanges(spark, read):
 @query()
 def recall(spark, read):
     """The best exchanges for questions (tested against a loop)."""
-    entries = memory.build_entries(sessions.turn_entries(sessions.distil(sessions.exchanges(turns_of(read)))), reject_credentials=False, score_trust=False)
+    distilled = at_rest(sessions.distil(sessions.exchanges(turns_of(read))), "distilled")
+    entries = at_rest(memory.build_entries(sessions.turn_entries(distilled), reject_credentials=False, score_trust=False), "turns")
     q = spark.createDataFrame([(1, "the error of the last thing"), (2, "ouble edoution"), (3, "of the and")], "query_id bigint, query string")
     return sessions.recall(q, entries)
 
@@ -425,7 +427,7 @@ def injection_risk(spark, read):
     return _risks(read).withColumn("r", detectors.injection_risk(F.col("text"))).select("origin", "id", "r.risk", "r.score", F.size("r.patterns").alias("n"))
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT doc_id, '{k}' AS family FROM documents WHERE regexp_matches(text, {S.quote(p)})" for k, p in detectors.CREDENTIALS.items()))
 def credential_scan(spark, read):
     """Families of secrets in documents; the rules are this engine's own."""
     return read("documents").select("doc_id", F.explode(detectors.credentials(F.col("text"))).alias("family"))
@@ -657,12 +659,6 @@ def skill_entries(spark, read):
     return skills.entries(part_cards(read)).groupBy("source", "key", "content").agg(F.count("*").alias("n"))
 
 
-@query()
-def skill_suggestions(spark, read):
-    """Suggested triggers (tested in Python)."""
-    return part_cards(read).select("card_id", skills.suggested(F.col("content"), F.col("domain"), F.col("keys")).alias("s")).select("card_id", F.array_join("s", "; ").alias("suggestions"))
-
-
 @query()
 def agent_bootstrap(spark, read):
     """Packets with a budget; the fold is tested against a loop."""

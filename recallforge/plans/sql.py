@@ -18,12 +18,16 @@ def normalize(c: str) -> str:
     return rf"trim(regexp_replace(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
+#: White space of any kind, as a class for DuckDB's patterns.
+BLANK = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+
+
 def strip(c: str) -> str:
-    return rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
+    return f"regexp_replace({c}, '^{BLANK}+|{BLANK}+$', '', 'g')"
 
 
 def tokens(c: str) -> str:
-    return rf"list_filter(regexp_split_to_array({c}, '\s+'), lambda w: w <> '')"
+    return f"list_filter(regexp_split_to_array({c}, '{BLANK}+'), lambda w: w <> '')"
 
 
 def bare(c: str) -> str:
@@ -66,7 +70,8 @@ def luhn(c: str) -> str:
 
 def injection(c: str) -> str:
     """A struct (risk level number, score, pattern count) of a text."""
-    rules = [f"CASE WHEN regexp_matches({c}, {quote('(?i)' + p)}) THEN {{'w': {w}::DOUBLE, 'l': {lv}}} END" for _, p, w, lv in detectors.INJECTION]
+    plain = f"translate({c}, {quote(detectors.FOLDED)}, {quote(detectors.FOLDED_TO)})"
+    rules = [f"CASE WHEN regexp_matches({plain}, {quote('(?i)' + p)}) THEN {{'w': {w}::DOUBLE, 'l': {lv}}} END" for _, p, w, lv in detectors.INJECTION]
     count = lambda chars: f"(length({c}) - length(translate({c}, {quote(chars)}, '')))"
     tags = rf"(length({c}) - length(regexp_replace({c}, '[\x{{e000}}-\x{{e07f}}]', '', 'g')))"
     odd = f"(({count(detectors.RTL)} > 0)::INT + ({count(detectors.ZERO_WIDTH)} > 3)::INT + ({count(detectors.HOMOGLYPHS)} > 2)::INT + ({tags} > 0)::INT)"

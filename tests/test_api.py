@@ -27,6 +27,25 @@ def test_life_of_a_rack(spark, store, tmp_path):
     assert store.diff(Rack(spark, str(tmp_path / "none"))).filter("status = 'removed'").count() == 3
 
 
+def test_a_failed_compaction_loses_nothing(store, monkeypatch):
+    from recallforge import api
+
+    def fail(*_):
+        raise RuntimeError
+
+    for _ in range(2):
+        with monkeypatch.context() as m:
+            m.setattr(api.rack, "compact_shards", fail)
+            with pytest.raises(RuntimeError):
+                store.compact()
+        assert store.entries().count() == 3
+    store.spark.range(1).write.parquet(f"{store.path}/v1/entries/half")  # what a lost driver leaves behind
+    assert store.entries().count() == 3
+    store.compact()
+    store.compact()
+    assert store.entries().count() == 3 and store._version() == 2 and store.teach("more", "k") == 1
+
+
 def test_memory_goes_into_the_system_message(store):
     said = [{"role": "user", "content": "auth middleware"}]
     assert "checks tokens" in remember(said, store)[0]["content"] and remember(said, store)[1:] == said
