@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, portions, staged
+from .common import discard, frugal, portions, staged
 
 #: Bytes of identifiers in the dependencies of a conversation that one task orders by itself.
 LOCAL_BYTES = 8 << 20
@@ -232,7 +232,7 @@ def parts(conversations: DataFrame, tools: dict[str, dict]) -> DataFrame:
 
     for name, schema in tools.items():
         check_schema(schema, name)
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    rows = frugal(conversations).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, PARTS)
 
 

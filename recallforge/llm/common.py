@@ -86,11 +86,23 @@ BATCH_ROWS = 512
 BATCH_BYTES = 4 << 20
 
 
+def frugal(df: DataFrame) -> DataFrame:
+    """``df``; where neither the session nor the cluster names a size of Arrow batches, they have ``BATCH_ROWS`` rows at most from now on.
+
+    Spark's own bound (64 MB) lets the buffers of two tasks and their Python
+    workers take half of a small executor.  A size that was set stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark = df.sparkSession
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def portions(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``rows`` rows and about ``size`` bytes of strings, but of one row at least.
 
-    Spark bounds its Arrow batches (64 MB unless the session says otherwise);
-    what an operator makes of a batch is larger than the batch.
+    Whatever the size of Arrow batches, what an operator makes of one at a time stays small.
     """
     for b in batches:
         if not b.num_rows:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_counted, portions, staged, text_key
+from .common import discard, frugal, join_counted, portions, staged, text_key
 
 BROADCAST_ROWS = 1_000_000
 BITS = 256
@@ -56,7 +56,7 @@ def _map_text(docs: DataFrame, make, schema: str) -> DataFrame:
             types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
             yield pa.RecordBatch.from_arrays([pa.array(c, types[f.split()[1]]) for c, f in zip(columns, schema.split(", "), strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def clashes(docs: DataFrame, found: DataFrame, bits: int = BITS) -> frozenset[str]:
@@ -106,7 +106,7 @@ def _with_next(docs: DataFrame) -> DataFrame:
     that many rows have, spread over places by their keys; rows that are equal
     in both are counted (``times``) before they move.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("id"), text_key().alias("key"), F.col("text").cast("string").alias("text"))
+    rows = frugal(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("id"), text_key().alias("key"), F.col("text").cast("string").alias("text"))
     facts = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"), F.min(F.struct("id", "key")).alias("first")).first()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     places = max(parts, math.ceil((facts["size"] or 0) / PLACE_BYTES))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import portions, staged, text_buffer, word_bounds, word_hashes
+from .common import frugal, portions, staged, text_buffer, word_bounds, word_hashes
 from .lang_id import folds
 
 STATES = 8
@@ -78,7 +78,7 @@ def vocabulary(docs: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in merged()], ["word", "ending", "n"])
 
-    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word long, ending int, n long")
+    parts = frugal(docs).select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word long, ending int, n long")
     return parts.groupBy("word", "ending").agg(F.sum("n").alias("n"))
 
 
@@ -336,7 +336,7 @@ def prepare(docs: DataFrame, words: Words, id_col: str = "doc_id", text_col: str
     """
     shared = docs.sparkSession.sparkContext.broadcast(words)  # bounded by HEAD words
     flag = F.lit(True) if train is None else F.coalesce(train, F.lit(False))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), flag.alias("train"))
+    rows = frugal(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), flag.alias("train"))
     names = [f.split()[0] for f in PREPARED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, portions, staged
+from .common import discard, frugal, portions, staged
 
 BUCKETS = 1 << 15
 #: Languages whose model goes to a task at once: 64 MB of doubles.
@@ -81,7 +81,7 @@ def gram_counts(docs: DataFrame, buckets: int) -> DataFrame:
         if parts:
             yield passed(*merged())
 
-    return docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return frugal(docs).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 class LanguageModel:
@@ -211,7 +211,7 @@ def predict(docs: DataFrame, model: LanguageModel | Shards, id_col: str = "doc_i
     holds all proportions and ``fit`` the log likelihood for each n-gram above
     uniform chance.  Ties go to the language that sorts first.
     """
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"), F.coalesce(F.col(text_col).rlike(_LETTER), F.lit(False)).alias("_letters"), *[F.col(k) for k in keep if k not in (id_col,)])
+    rows = frugal(docs).select(F.col(id_col), F.col(text_col).cast("string").alias("_text"), F.coalesce(F.col(text_col).rlike(_LETTER), F.lit(False)).alias("_letters"), *[F.col(k) for k in keep if k not in (id_col,)])
     kept = [c for c in rows.columns if c not in ("_text", "_letters")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in kept)
     if isinstance(model, Shards):

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_counted, mix64, numbered, portions, staged, text_buffer, text_key, word_counts
+from .common import discard, frugal, join_counted, mix64, numbered, portions, staged, text_buffer, text_key, word_counts
 
 DIVISOR = 8
 SPAN = 3
@@ -105,7 +105,7 @@ def places(docs: DataFrame, divisor: int, long_line: int, bits: int) -> DataFram
                 [f.split()[0] for f in PLACES.split(", ")],
             )
 
-    return docs.select("k1", "k2", "key", "text").mapInArrow(run, PLACES)
+    return frugal(docs).select("k1", "k2", "key", "text").mapInArrow(run, PLACES)
 
 
 def repeated_spans(docs: DataFrame, divisor: int, long_line: int, bits: int) -> tuple[DataFrame, list[DataFrame]]:

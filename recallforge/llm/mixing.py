@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, numbered, portions, staged, text_buffer, text_key, word_counts
+from .common import frugal, mix64, numbered, portions, staged, text_buffer, text_key, word_counts
 
 ROWS_PER_BUCKET = 2048
 FAN_IN = 64
@@ -36,7 +36,7 @@ SAME_ROWS = 4096
 def word_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", key: F.Column | None = None) -> DataFrame:
     """(doc_id, source, text_key, size): words of each text; 0 for null.  ``key`` replaces the text's hash as text_key."""
     key = text_key(text_col) if key is None else key
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), key.alias("text_key"), F.col(text_col).cast("string").alias("text"))
+    rows = frugal(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), key.alias("text_key"), F.col(text_col).cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(batches):

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, mix64, numbered, portions, staged, text_buffer, text_key, word_bounds, word_hashes
+from .common import discard, frugal, mix64, numbered, portions, staged, text_buffer, text_key, word_bounds, word_hashes
 
 COORDINATES = 48
 MATCHES = 25
@@ -102,7 +102,7 @@ def sign(docs: DataFrame, words: int, coordinates: int, id_col: str = "doc_id",
                 ["doc_id", "n_shingles", "class", "sig"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = frugal(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_shingles long, class binary, sig binary")
 
 
