@@ -121,8 +121,13 @@ def pii_spans(s: pd.Series) -> pd.Series:
     return s.map(find)
 
 
+def _among(chars: str) -> str:
+    """A class of characters; texts are searched for it before anything slower looks at them."""
+    return "[" + "".join(f"\\x{{{ord(x):x}}}" for x in chars) + "]"
+
+
 def _count_of(c: Column, chars: str) -> Column:
-    return F.length(c) - F.length(F.translate(c, chars, ""))
+    return F.when(c.rlike(_among(chars)), F.length(c) - F.length(F.translate(c, chars, ""))).otherwise(0)
 
 
 def _any_of(c: Column, words: list[str]) -> Column:
@@ -134,11 +139,15 @@ def injection_risk(c: Column) -> Column:
     none = F.lit(None).cast("struct<name:string,weight:double,level:int>")
     rule = lambda name, weight, level: F.struct(name.alias("name"), weight.alias("weight"), level.alias("level"))
     # the words that each rule cannot match without are looked for first, in the lower-cased text
-    plain = F.translate(c, FOLDED, FOLDED_TO)
-    low = F.lower(plain)
-    found = [F.when(_any_of(low, NEEDED[n]) & plain.rlike("(?i)" + p), rule(F.lit(n), F.lit(w), F.lit(lv))).otherwise(none) for n, p, w, lv in INJECTION]
+    plain = F.when(c.rlike(_among(FOLDED)), F.translate(c, FOLDED, FOLDED_TO)).otherwise(c)
+
+    def matched(said: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(_any_of(said["low"], NEEDED[n]) & said["plain"].rlike("(?i)" + p), rule(F.lit(n), F.lit(w), F.lit(lv))).otherwise(none) for n, p, w, lv in INJECTION]))
+
+    # both forms of the text are bound, so that each is made once for all rules
+    found = F.transform(F.transform(F.array(plain), lambda x: F.struct(x.alias("plain"), F.lower(x).alias("low"))), matched)[0]
     zero, homo = _count_of(c, ZERO_WIDTH), _count_of(c, HOMOGLYPHS)
-    tags = F.length(c) - F.length(F.regexp_replace(c, "[\ue000-\ue07f]", ""))
+    tags = F.when(c.rlike("[\ue000-\ue07f]"), F.length(c) - F.length(F.regexp_replace(c, "[\ue000-\ue07f]", ""))).otherwise(0)
     odd = [
         F.when(_count_of(c, RTL) > 0, F.lit("unicode_rtl_override")),
         F.when(zero > 3, F.concat(F.lit("unicode_zero_width("), zero.cast("string"), F.lit(")"))),
@@ -156,7 +165,7 @@ def injection_risk(c: Column) -> Column:
         F.transform(blocks, lambda x: F.lit("code_block_suspicious")),
         F.transform(details, lambda x: F.lit("hidden_details_injection")),
     )
-    every = F.concat(F.array_compact(F.array(*found)), odd_rules, F.transform(marks, lambda n: rule(n, F.lit(0.65), F.lit(3))))
+    every = F.concat(found, odd_rules, F.transform(marks, lambda n: rule(n, F.lit(0.65), F.lit(3))))
     names = F.array(*[F.lit(x) for x in LEVELS])
 
     def summed(rules: Column) -> Column:
