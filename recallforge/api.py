@@ -7,6 +7,7 @@ compacting rewrites.  Spark's commit protocol makes each of these whole or void.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from .functions import detectors, text, vectors
 from .operators import diff, memory, rack
-from .schema import FUZZY_THRESHOLD, MAX_ENTRIES, SEMANTIC_THRESHOLD, kind_number
+from .operators.common import at_rest
+from .schema import FUZZY_THRESHOLD, MAX_ENTRIES, SEMANTIC_THRESHOLD, SHARD_SEP, kind_number
 from .sources import exports
 
 COLUMNS = ["entry_id", "cartridge", "content", "key", "kind", "source", "meta", "trust", "key_norm", "k", "c"]
@@ -26,7 +28,9 @@ class Rack:
 
     ``routes`` lead kinds (names or numbers) to cartridges and ``default`` takes
     the rest; ``normalizer`` is a comma list of steps that replaces the usual
-    form of exact keys.
+    form of exact keys.  A cartridge that reaches ``max_entries`` is split as it
+    is written.  ``mounts`` are cartridges from elsewhere and ``hidden`` ones are
+    left out of what is read.
     """
 
     spark: SparkSession
@@ -36,6 +40,8 @@ class Rack:
     seed: str = vectors.SEED
     normalizer: str = ""
     max_entries: int = MAX_ENTRIES
+    mounts: dict[str, str] = field(default_factory=dict)
+    hidden: set[str] = field(default_factory=set)
 
     def _normalize(self):
         return text.normalizer(self.normalizer) if self.normalizer else text.normalize
@@ -61,8 +67,22 @@ class Rack:
                 raise
             return None
 
+    def _folder(self, name: str):
+        """Where a cartridge's files are."""
+        jvm, _ = self._fs()
+        part = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString("cartridge", name)
+        return jvm.Path(f"{self._at(self._version(), 'entries')}/{part}")
+
     def entries(self) -> DataFrame:
-        """All entries with their tombstones applied."""
+        """All entries of the cartridges that are mounted, with their tombstones applied."""
+        rows = self._own()
+        for name, path in self.mounts.items():
+            more = self.spark.read.parquet(path).withColumns({"cartridge": F.lit(name), "deleted": F.lit(False)})
+            rows = rows.unionByName(more, allowMissingColumns=True)
+        return rows.filter(~F.col("cartridge").isin(*self.hidden)) if self.hidden else rows
+
+    def _own(self) -> DataFrame:
+        """The rack's own entries, hidden or not."""
         rows = self._read("entries")
         if rows is None:
             empty = memory.build_entries(self.spark.createDataFrame([], "entry_id bigint, content string"))
@@ -85,9 +105,84 @@ class Rack:
             rows = rack.route(rows, self.routes, self.default)
         rows = rows.withColumn("entry_id", F.monotonically_increasing_id() + (base + 1))
         built = memory.build_entries(rows, self.seed, self._normalize(), reject_credentials)
-        before = 0 if known is None else known.count()
-        built.select(*COLUMNS).write.mode("append").partitionBy("cartridge").parquet(self._at(self._version(), "entries"))
-        return self._read("entries").count() - before
+        built = at_rest(built.select(*COLUMNS), "added")
+        self._split(built, known).write.mode("append").partitionBy("cartridge").parquet(self._at(self._version(), "entries"))
+        return built.count()
+
+    def _split(self, built: DataFrame, known: DataFrame | None) -> DataFrame:
+        """New entries with the shards that take them; full cartridges become shards by a change of name.
+
+        Where a run fails after that, entries are whole and in a shard, which
+        searches of the cartridge read as well.
+        """
+        rows = self.spark.createDataFrame([], "cartridge string, entry_id bigint") if known is None else known.select("cartridge", "entry_id")
+        held = rack.held(rows)
+        grown = built.groupBy("cartridge").agg(F.count("*").alias("more")).join(held, "cartridge", "left").fillna({"held": 0, "top": 1})
+        full = grown.filter(F.col("held") + F.col("more") >= self.max_entries).collect()  # a row for each folder to rename
+        if not full:
+            return built
+        shards = at_rest(rack.assign_shards(built, self.max_entries, held), "shards")
+        _, fs = self._fs()
+        for r in full:
+            if r["held"]:
+                fs.rename(self._folder(r["cartridge"]), self._folder(f"{r['cartridge']}{SHARD_SEP}{r['top'] + 1}"))
+        return built.join(shards.select("entry_id", "shard"), "entry_id").withColumn("cartridge", F.col("shard")).select(*COLUMNS)
+
+    def create(self, name: str, overwrite: bool = False) -> Rack:
+        """Mount a cartridge; one that exists keeps its entries unless it is to be overwritten."""
+        _, fs = self._fs()
+        if overwrite:
+            self.mounts.pop(name, None)
+            fs.delete(self._folder(name), True)
+        if name not in self.mounts:
+            fs.mkdirs(self._folder(name))
+        self.hidden.discard(name)
+        return self
+
+    def register(self, name: str, path: str) -> Rack:
+        """Mount a folder of entries, such as an archive, as a cartridge; raises where there is none."""
+        jvm, _ = self._fs()
+        at = jvm.Path(path)
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            raise FileNotFoundError(path)
+        self.mounts[name] = path
+        self.hidden.discard(name)
+        return self
+
+    def unload(self, name: str) -> bool:
+        """Leave a cartridge out of what is read; its files stay.  Whether it was there."""
+        if self.mounts.pop(name, None) is not None:
+            return True
+        _, fs = self._fs()
+        there = name not in self.hidden and fs.exists(self._folder(name))
+        if there:
+            self.hidden.add(name)
+        return there
+
+    def drop(self, name: str, files: bool = False) -> bool:
+        """Unload a cartridge, with ``files`` for good; those of a registered folder stay."""
+        own = name not in self.mounts
+        found = self.unload(name)
+        if files and own:
+            _, fs = self._fs()
+            found = fs.delete(self._folder(name), True) or found
+            self.hidden.discard(name)
+        return found
+
+    def swap(self, name: str = "session", label: str = "archive") -> str:
+        """Move a session with its shards to an archive of its own and start it anew; the archive's path, to be registered.
+
+        The archive is whole before the session is emptied, so a failure in between loses nothing.
+        """
+        path = f"{self.path}/archives/{name}-{label}-{datetime.now():%Y%m%d%H%M%S%f}"
+        rows = self._own().filter(rack.base_name(F.col("cartridge")) == name)
+        shards = [r["cartridge"] for r in rows.select("cartridge").distinct().collect()]
+        memory.live(rows).drop("deleted", "cartridge").write.parquet(path)
+        _, fs = self._fs()
+        for shard in shards:
+            fs.delete(self._folder(shard), True)
+        self.create(name)
+        return path
 
     def teach(self, content: str, key: str | None = None, **options) -> int:
         return self.add(self.spark.createDataFrame([(content, key)], "content string, key string"), **options)
@@ -119,7 +214,7 @@ class Rack:
         new = old + 1
         jvm, fs = self._fs()
         fs.delete(jvm.Path(f"{self.path}/v{new}"), True)  # of a run that failed
-        rack.compact_shards(self.entries()).select(*COLUMNS).write.partitionBy("cartridge").parquet(self._at(new, "entries"))
+        rack.compact_shards(self._own()).select(*COLUMNS).write.partitionBy("cartridge").parquet(self._at(new, "entries"))
         fs.create(jvm.Path(f"{self.path}/current-{new}"), True).close()
         for name in ("entries", "deleted") if not old else (f"v{old}",):
             fs.delete(jvm.Path(f"{self.path}/{name}"), True)

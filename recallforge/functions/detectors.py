@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 import pandas as pd
@@ -229,3 +230,12 @@ def valid_policy(value_bytes: Column, auth: Column, host: Column, url: Column) -
     """A secret's use policy: at most 64 KB, a known way of authentication, one exact host over HTTPS."""
     url_host = F.regexp_extract(url, r"^https://([^/?#:]+)", 1)
     return (value_bytes <= 64 * 1024) & auth.rlike(r"^(?:bearer|header:.+|query:.+)$") & ~F.contains(host, F.lit("*")) & (url_host != "") & (url_host == host)
+
+
+def warn_if_pii(rows: DataFrame, column: str = "content", context: str = "memory") -> list[str]:
+    """The kinds of personal data that a column's texts hold, with a warning if there are any; nothing is kept back."""
+    found = rows.select(F.explode(pii_findings(F.col(column))).alias("f")).select("f.type").distinct().orderBy("type")
+    kinds = [r["type"] for r in found.collect()]  # as many as there are rules
+    if kinds:
+        warnings.warn(f"content in {context} looks like PII: {kinds}", stacklevel=2)
+    return kinds

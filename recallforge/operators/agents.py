@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import diff
+from . import diff, memory
 
 # Sections and budgets of an agent's state.
 SINGLETONS = ["identity", "instruction", "preference"]
@@ -110,3 +110,30 @@ def snapshot(entries: DataFrame, exchanges: DataFrame, label: str, now: Column)
 def prune(checkpoints: DataFrame, keep: int = CHECKPOINTS) -> DataFrame:
     """The newest checkpoints, of equal times those with the larger id."""
     return checkpoints.orderBy(F.col("created_at").desc(), F.col("checkpoint_id").desc()).limit(keep)
+
+
+def checkpoint_entries(checkpoints: DataFrame) -> DataFrame:
+    """Checkpoints as turn entries (entry_id, content, key, kind, source, meta), so that they are found by search."""
+    meta = F.create_map(F.lit("checkpoint"), F.lit("true"), F.lit("id"), F.col("checkpoint_id"))
+    number = F.xxhash64("checkpoint_id").bitwiseAND(2**63 - 1)
+    return checkpoints.select(number.alias("entry_id"), F.to_json(F.struct("*")).alias("content"), F.concat(F.lit("checkpoint "), F.col("label")).alias("key"), F.lit(4).alias("kind"), F.lit("checkpoint").alias("source"), meta.alias("meta"))
+
+
+def recover(queries: DataFrame, entries: DataFrame, top_k: int = 5, least: float = 0.50, recent_pool: int = 20, **options) -> DataFrame:
+    """(query_id, recovered, checkpoint, confidence, recent): the best checkpoint for each question and the latest exchanges near it.
+
+    Checkpoints are turn entries with ``checkpoint`` in their meta; exchanges are
+    what the word "exchange" finds among the others, each once, the last
+    ``top_k`` by number.  A question without a checkpoint has nulls.
+    """
+    hits = memory.search(queries, entries, top_k=2 * top_k, kind="turn", fuzzy=least, **options)
+    first = Window.partitionBy("query_id").orderBy("rank")
+    best = hits.filter(F.col("meta")["checkpoint"].isNotNull() & (F.col("confidence") >= least)).withColumn("_n", F.row_number().over(first)).filter("_n = 1")
+    word = queries.sparkSession.createDataFrame([(0, "exchange")], "query_id bigint, query string")
+    near = memory.search(word, entries.filter(F.col("meta")["checkpoint"].isNull()), top_k=recent_pool, kind="turn", fuzzy=least, **options)
+    said = near.select(F.col("meta")["exchange"].try_cast("bigint").alias("exchange"), "content", "confidence", "rank").filter("exchange is not null")
+    once = said.groupBy("exchange").agg(F.min_by(F.struct("content", "confidence"), "rank").alias("c"))
+    last = once.select(F.struct("exchange", "c.content", "c.confidence").alias("x")).orderBy(F.col("x.exchange").desc()).limit(top_k)
+    recent = last.agg(F.sort_array(F.collect_list("x"), asc=False).alias("recent"))  # one row
+    found = queries.select("query_id").join(best.select("query_id", F.col("content").alias("checkpoint"), "confidence"), "query_id", "left").crossJoin(F.broadcast(recent))
+    return found.select("query_id", F.col("checkpoint").isNotNull().alias("recovered"), "checkpoint", "confidence", F.when(F.col("checkpoint").isNotNull(), F.col("recent")).alias("recent"))

@@ -153,11 +153,20 @@ def blast_radius(edges: DataFrame, starts: DataFrame, max_depth: int = 3) -> Dat
     return seen.filter("depth > 0").unionByName(below)
 
 
-def search_symbols(symbols: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """Symbols by how they match: exact name 1.0, name .8, docstring .5, path .3; then by name."""
+def file_info(symbols: DataFrame) -> DataFrame:
+    """(file_path, language, lines, n, symbols): every file with its symbols in order of their places."""
+    inside = F.sort_array(F.collect_list(F.struct("line_start", "id", "kind")))
+    grouped = symbols.groupBy("file_path").agg(F.min("language").alias("language"), F.max("line_end").alias("lines"), F.count("*").alias("n"), inside.alias("symbols"))
+    return grouped.withColumn("symbols", F.transform("symbols", lambda s: F.struct(s["id"].alias("id"), s["kind"].alias("kind"))))
+
+
+def search_symbols(symbols: DataFrame, query: str, limit: int = 20, kind: str | None = None) -> DataFrame:
+    """Symbols (of a kind, if given) by how they match: exact name 1.0, name .8, docstring .5, path .3; then by name."""
     q = query.lower()
     has = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(q))
     score = F.when(F.lower("name") == q, 1.0).when(has(F.col("name")), 0.8).when(has(F.col("docstring")), 0.5).when(has(F.col("file_path")), 0.3)
+    if kind is not None:
+        symbols = symbols.filter(F.col("kind") == kind)
     return symbols.withColumn("score", score).filter("score is not null").orderBy(F.col("score").desc(), "name", "id").limit(limit)
 
 

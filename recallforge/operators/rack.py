@@ -40,9 +40,18 @@ def route(rows: DataFrame, routes: dict[str, str], default: str | None = None) -
     return rows.withColumn("cartridge", F.when(way.isNotNull(), way).otherwise(F.raise_error(F.concat(F.lit("no cartridge for kind "), F.col("kind").cast("string")))))
 
 
-def assign_shards(entries: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:
+def held(entries: DataFrame) -> DataFrame:
+    """(cartridge, held, top): how many entries each unsharded cartridge holds, and its greatest shard number (1 without shards)."""
+    name = F.col("cartridge")
+    sizes = entries.groupBy("cartridge").agg(F.count("*").alias("n"))
+    number = F.regexp_extract(name, rf"{SHARD_SEP}(\d+)$", 1).try_cast("int")
+    return sizes.groupBy(base_name(name).alias("base")).agg(F.sum(F.when(number.isNull(), F.col("n")).otherwise(0)).alias("held"), F.coalesce(F.max(number), F.lit(1)).alias("top")).withColumnRenamed("base", "cartridge")
+
+
+def assign_shards(entries: DataFrame, max_entries: int = MAX_ENTRIES, held: DataFrame | None = None) -> DataFrame:
     """Entries with their shard's name: full blocks in order are ``name__2``, ``name__3``, ..., the rest stays ``name``.
 
+    Entries ``held`` already come first, and numbers go on after their greatest.
     Ranks come from counts of id ranges, so no cartridge has to fit into a task.
     """
     spark = entries.sparkSession
@@ -55,9 +64,13 @@ def assign_shards(entries: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFra
     offsets = sizes.select("cartridge", "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"), F.sum("_size").over(whole).alias("_total"))
     rank = Window.partitionBy("cartridge", "_part").orderBy("entry_id")
     placed = ranged.withColumn("_n", F.row_number().over(rank)).join(offsets, ["cartridge", "_part"])
-    block = F.floor((F.col("_before") + F.col("_n") - 1) / max_entries)
-    full = F.floor(F.col("_total") / max_entries)
-    name = F.when(block < full, F.concat(F.col("cartridge"), F.lit(SHARD_SEP), (block + 2).cast("string"))).otherwise(F.col("cartridge"))
+    if held is None:
+        placed = placed.withColumns({"_held": F.lit(0), "_top": F.lit(1)})
+    else:
+        placed = placed.join(held.select("cartridge", F.col("held").alias("_held"), F.col("top").alias("_top")), "cartridge", "left").fillna({"_held": 0, "_top": 1})
+    block = F.floor((F.col("_held") + F.col("_before") + F.col("_n") - 1) / max_entries)
+    full = F.floor((F.col("_held") + F.col("_total")) / max_entries)
+    name = F.when(block < full, F.concat(F.col("cartridge"), F.lit(SHARD_SEP), (block + 1 + F.col("_top")).cast("string"))).otherwise(F.col("cartridge"))
     return placed.select("cartridge", "entry_id", block.cast("int").alias("block"), name.alias("shard"))
 
 

@@ -1,11 +1,12 @@
-"""Vault: values encrypted with AES-256-GCM under a wrapped key, with queryable metadata and an audit chain."""
+"""Vault: values encrypted with AES-256-GCM under a data key, which a passphrase's key wraps, with queryable metadata."""
 
 from __future__ import annotations
 
 import hashlib
 import os
+import subprocess
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import detectors, text
@@ -24,6 +25,20 @@ def new_salt() -> bytes:
     return os.urandom(16)
 
 
+def wrap_key(spark: SparkSession, data_key: bytes, key: bytes) -> str:
+    """A vault's data key, encrypted under the key of a passphrase."""
+    wrapped = F.aes_encrypt(F.lit(data_key), F.lit(key), F.lit("GCM"), F.lit("DEFAULT"))
+    return spark.range(1).select(F.base64(wrapped)).first()[0]
+
+
+def unwrap_key(spark: SparkSession, wrapped: str, key: bytes) -> bytes:
+    """The data key; a wrong passphrase raises ValueError."""
+    data_key = spark.range(1).select(F.try_aes_decrypt(F.unbase64(F.lit(wrapped)), F.lit(key), F.lit("GCM"), F.lit("DEFAULT"))).first()[0]
+    if data_key is None:
+        raise ValueError("the vault's key can't be unwrapped with this passphrase")
+    return bytes(data_key)
+
+
 def _bound(vault: Column, name: Column) -> Column:
     """What a value is bound to: it can't be moved to another name."""
     return F.concat_ws("/", vault, name)
@@ -56,3 +71,35 @@ def resolve(refs: DataFrame, sealed: DataFrame) -> DataFrame:
 def metadata(sealed: DataFrame) -> DataFrame:
     """What may be listed: never values."""
     return sealed.drop("sealed")
+
+
+def put(sealed: DataFrame, new: DataFrame, key: bytes, now: Column) -> DataFrame:
+    """The vault after new secrets (vault, name, value, ...): they replace those of their names, whose time of creation they keep."""
+    fresh = seal(new, key).withColumns({"created": now, "updated": now})
+    if "created" not in sealed.columns:
+        sealed = sealed.withColumns({"created": now, "updated": now})
+    born = sealed.select("vault", "name", F.col("created").alias("_created"))
+    fresh = fresh.join(born, ["vault", "name"], "left").withColumn("created", F.coalesce("_created", "created")).drop("_created")
+    return sealed.join(new.select("vault", "name"), ["vault", "name"], "left_anti").unionByName(fresh, allowMissingColumns=True)
+
+
+def remove(sealed: DataFrame, names: DataFrame) -> DataFrame:
+    """The vault without the names (vault, name)."""
+    return sealed.join(names.select("vault", "name").distinct(), ["vault", "name"], "left_anti")
+
+
+def environment(sealed: DataFrame, key: bytes, mapping: dict[str, str], vault: str) -> dict[str, str]:
+    """Variables with the values of the secrets that ``mapping`` names for them, on the driver; a missing one raises KeyError."""
+    rows = unseal(sealed.filter((F.col("vault") == vault) & F.col("name").isin(*set(mapping.values()))), key).select("name", "value").collect()
+    values = {r["name"]: r["value"] for r in rows if r["value"] is not None}
+    return {variable: values[name] for variable, name in mapping.items()}
+
+
+def run(sealed: DataFrame, key: bytes, mapping: dict[str, str], vault: str, command: list[str], timeout: float = 60) -> tuple[int, str]:
+    """(exit code, output) of a command with secrets in its environment; their values are taken out of the output."""
+    env = environment(sealed, key, mapping, vault)
+    done = subprocess.run(command, env={**os.environ, **env}, capture_output=True, text=True, timeout=timeout, check=False)
+    output = done.stdout + done.stderr
+    for value in sorted(filter(None, env.values()), key=len, reverse=True):
+        output = output.replace(value, "[REDACTED]")
+    return done.returncode, output

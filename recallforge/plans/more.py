@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import detectors, text, vectors
-from ..operators import agents, memory, rack, skills, units
+from ..operators import agents, graph, memory, rack, skills, units
 from ..operators.common import at_rest
 from ..sources import exports
 from . import sql as S
-from .queries import PART, part_cards, part_entries
+from .queries import PART, RACK_ASKED, RACK_ENTRIES, call_graph, part_cards, part_entries
 from .registry import query
 
 _EDGES = ".,;:!?()[]{}'"
@@ -199,3 +199,51 @@ def blank_characters(spark, read):
     """White space of any kind ends words and is trimmed."""
     raw = F.concat(F.lit("\u00a0"), "p_name", F.lit("\u2003"), "p_type", F.lit("\u3000the\u00a0"))
     return read("part").select("p_partkey", text.strip(raw).alias("stripped"), F.array_join(text.tokens(raw), "|").alias("words"))
+
+
+@query(
+    """WITH s AS (SELECT * FROM (SELECT 'o' || o_custkey || '.py' AS file_path, CASE WHEN o_custkey % 2 = 0 THEN 'python' ELSE 'go' END AS language, o_orderkey AS line, 'o' || o_custkey || '.py::f' || o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'class' ELSE 'function' END AS kind FROM orders))
+SELECT file_path, language, max(line + 3)::INT AS lines, count(*) AS n, string_agg(kind || ' ' || id, '; ' ORDER BY line, id) AS symbols FROM s GROUP BY file_path, language"""
+)
+def file_info(spark, read):
+    """Files with their symbols in order (orders as symbols of their customer's file)."""
+    path = F.concat(F.lit("o"), F.col("o_custkey").cast("string"), F.lit(".py"))
+    symbols = read("orders").select(
+        path.alias("file_path"), F.when(F.col("o_custkey") % 2 == 0, "python").otherwise("go").alias("language"), F.col("o_orderkey").cast("int").alias("line_start"),
+        (F.col("o_orderkey") + 3).cast("int").alias("line_end"), F.concat(path, F.lit("::f"), F.col("o_orderkey").cast("string")).alias("id"), F.when(F.col("o_orderstatus") == "F", "class").otherwise("function").alias("kind"),
+    )
+    said = F.array_join(F.transform("symbols", lambda s: F.concat_ws(" ", s["kind"], s["id"])), "; ")
+    return graph.file_info(symbols).withColumn("symbols", said)
+
+
+@query("SELECT p_partkey::BIGINT AS entry_id, p_brand AS cartridge, CASE WHEN (h + n - 1) // 40 < (h + t) // 40 THEN p_brand || '__' || ((h + n - 1) // 40 + 4) ELSE p_brand END AS shard FROM (SELECT *, p_size_sum % 39 AS h FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n, count(*) OVER (PARTITION BY p_brand) AS t, sum(p_size) OVER (PARTITION BY p_brand) AS p_size_sum FROM part))")
+def shards_of_writes(spark, read):
+    """M4: what is written to cartridges that hold something already, with three shards each."""
+    rows = read("part").select(F.col("p_partkey").cast("bigint").alias("entry_id"), F.col("p_brand").alias("cartridge"))
+    held = read("part").groupBy(F.col("p_brand").alias("cartridge")).agg((F.sum("p_size") % 39).alias("held"), F.lit(3).alias("top"))
+    return rack.assign_shards(rows, 40, held).select("entry_id", "cartridge", "shard")
+
+
+@query("SELECT 'c' || (o_custkey % 7) AS cartridge, count(*) FILTER (WHERE o_orderkey % 9 < 4) AS held, coalesce(max(CASE WHEN o_orderkey % 9 >= 4 THEN o_orderkey % 9 END), 1)::INT AS top FROM orders GROUP BY 1")
+def held_by_cartridges(spark, read):
+    """M4: what open cartridges hold and the greatest numbers of their shards."""
+    number = F.col("o_orderkey") % 9
+    name = F.concat(F.lit("c"), (F.col("o_custkey") % 7).cast("string"))
+    rows = read("orders").select(F.when(number < 4, name).otherwise(F.concat(name, F.lit("__"), number.cast("string"))).alias("cartridge"), F.col("o_orderkey").alias("entry_id"))
+    return rack.held(rows)
+
+
+@query("SELECT vault, name, NOT bool_or(old) AS fresh, max_by(value, old::INT * -1) AS value FROM (SELECT n_regionkey::VARCHAR AS vault, n_name AS name, 'old ' || n_name AS value, true AS old FROM nation UNION ALL SELECT n_regionkey::VARCHAR, n_name || CASE WHEN n_nationkey % 4 = 0 THEN 'x' ELSE '' END, 'new ' || n_name, false FROM nation WHERE n_nationkey % 2 = 0) WHERE NOT ends_with(name, '3') GROUP BY 1, 2")
+def vault_put_remove(spark, read):
+    """Secrets put, put again (their creation stays) and removed, under a key that a passphrase's key wraps."""
+    from ..operators import vault
+
+    spare = vault.derive_key("passphrase", b"s" * 16)
+    key = vault.unwrap_key(spark, vault.wrap_key(spark, b"k" * 32, spare), spare)
+    n = read("nation").select(F.col("n_regionkey").cast("string").alias("vault"), F.col("n_name").alias("name"), F.concat(F.lit("old "), "n_name").alias("value"), "n_nationkey")
+    first = vault.put(spark.createDataFrame([], "vault string, name string, sealed string, sensitive_name boolean"), n.drop("n_nationkey"), key, F.lit("2024-01-01").cast("timestamp"))
+    name = F.concat("name", F.when(F.col("n_nationkey") % 4 == 0, "x").otherwise(""))
+    again = n.filter("n_nationkey % 2 = 0").select("vault", name.alias("name"), F.concat(F.lit("new "), "name").alias("value"))
+    both = vault.put(first, again, key, F.lit("2024-01-02").cast("timestamp"))
+    left = vault.remove(both, both.filter(F.col("name").endswith("3")).select("vault", "name"))
+    return vault.unseal(left, key).select("vault", "name", (F.col("created") > F.lit("2024-01-01").cast("timestamp")).alias("fresh"), "value")

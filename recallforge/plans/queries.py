@@ -137,10 +137,17 @@ def near_dup_pairs(spark, read):
     return similarity.similar_pairs(name_entries(read), 0.7)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE e AS (SELECT min(p_partkey) AS id, p_name AS t FROM part GROUP BY p_name), src AS (SELECT t FROM e), {S.encode('src')},
+v AS (SELECT id, bits, row_number() OVER (ORDER BY id) AS n FROM e JOIN enc USING (t)),
+near AS (SELECT b.n, list(a.id) AS ids FROM v b JOIN v a ON a.id < b.id AND {S.sim('a.bits', 'b.bits')} >= 0.7 GROUP BY b.n),
+o AS (SELECT v.id, v.n, coalesce(near.ids, []) AS ids FROM v LEFT JOIN near USING (n)),
+g(n, taken) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT o.n, CASE WHEN list_has_any(taken[-5:], o.ids) THEN taken ELSE list_append(taken, o.id) END FROM g JOIN o ON o.n = g.n + 1),
+last AS (SELECT taken FROM g ORDER BY n DESC LIMIT 1) SELECT id AS entry_id, list_contains(taken, id) AS accepted FROM o, last"""
+)
 def greedy_dedup(spark, read):
-    """Names without a similar earlier accepted one (order-dependent, so tested against a loop)."""
-    return similarity.greedy_dedup(name_entries(read), 0.7)
+    """Names that are like none of the last five accepted ones."""
+    return similarity.greedy_dedup(name_entries(read), 0.7, window=5)
 
 
 RACK_ENTRIES = """e AS (SELECT 'region' AS cartridge, r_regionkey::BIGINT AS entry_id, r_name AS key FROM region

@@ -131,4 +131,27 @@ def push(plan: DataFrame, local: dict[str, bytes], store: LocalStore, etags: dic
     return done
 
 
+def pull(plan: DataFrame, store: LocalStore, local: dict[str, bytes], dry_run: bool = False, force: bool = False) -> list[tuple[str, str]]:
+    """Carry out the pulls of a sync plan (remote_key, status, local_policy, remote_policy) into ``local``.
+
+    What is ahead at the remote or only there comes, conflicts only by force.
+    Force doesn't open what a policy closes: either side's policy other than
+    write_through (of a file that is there) keeps it out, a null one as well.
+    """
+    done = []
+    allowed = (F.coalesce("local_policy", F.lit("write_through")) == "write_through") & F.coalesce(F.col("remote_policy") == "write_through", F.lit(False))
+    rows = plan.filter(F.col("status").isin("remote_ahead", "remote_only", "conflict")).select("remote_key", "status", allowed.alias("allowed")).orderBy("remote_key")
+    for key, status, may in ((r["remote_key"], r["status"], r["allowed"]) for r in rows.collect()):
+        if not may:
+            done.append((key, "denied"))
+        elif status == "conflict" and not force:
+            done.append((key, "conflict"))
+        elif dry_run:
+            done.append((key, "would pull"))
+        else:
+            local[key] = store.get(key)
+            done.append((key, "pulled"))
+    return done
+
+
 sync_plan = diff.sync_status

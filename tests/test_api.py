@@ -46,6 +46,45 @@ def test_a_failed_compaction_loses_nothing(store, monkeypatch):
     assert store.entries().count() == 3 and store._version() == 2 and store.teach("more", "k") == 1
 
 
+def test_full_cartridges_are_split_as_they_are_written(spark, tmp_path):
+    r = Rack(spark, str(tmp_path / "rack"), max_entries=3)
+    rows = lambda *c: spark.createDataFrame([(x,) for x in c], "content string").coalesce(1)
+    counts = lambda: {x.cartridge: x.entries for x in r.stats().collect()}
+    assert r.add(rows("one", "two")) == 2 and counts() == {"main": 2}
+    assert r.add(rows("three", "four")) == 2 and counts() == {"main": 1, "main__2": 3}
+    assert {x.content for x in r.entries().filter("cartridge = 'main__2'").collect()} == {"one", "two", "three"}
+    assert r.add(rows(*[f"number {i}" for i in range(7)])) == 7 and counts() == {"main": 2, "main__2": 3, "main__3": 3, "main__4": 3}
+    assert r.search(["one"], top_k=1, cartridges=["main"]).first()["cartridge"] == "main__2"
+    r.compact()
+    assert counts() == {"main": 11}
+
+
+def test_cartridges_are_created_registered_unloaded_and_dropped(spark, store, tmp_path):
+    names = lambda: {x.cartridge for x in store.entries().select("cartridge").distinct().collect()}
+    assert store.create("main").entries().count() == 3  # what exists stays
+    assert store.unload("skills") and not store.unload("skills") and names() == {"main"}
+    store.compact()  # what is hidden is compacted, not lost
+    assert store.create("skills") is store and names() == {"main", "skills"}
+    assert not store.drop("none") and store.drop("skills", files=True) and names() == {"main"}
+    assert store.create("skills").entries().count() == 2
+    with pytest.raises(FileNotFoundError):
+        store.register("old", str(tmp_path / "none"))
+    store.create("main", overwrite=True)
+    assert store.entries().count() == 0
+
+
+def test_sessions_are_swapped(spark, store):
+    store.teach("What was said", "first talk", cartridge="session")
+    store.teach("What was unsaid", "other talk", cartridge="session")
+    store.delete([store.search(["other talk"], top_k=1).first()["entry_id"]])
+    path = store.swap()
+    assert store.entries().count() == 3 and store.search(["first talk"], top_k=1, cartridges=["session"]).isEmpty()
+    store.register("talks", path)
+    assert [h.content for h in store.search(["first talk"], top_k=1).collect()] == ["What was said"]
+    assert store.search(["other talk"], top_k=1).filter("mode = 'exact'").isEmpty()  # what was deleted stays so
+    assert store.drop("talks", files=True) and store.register("talks", path).entries().count() == 4  # a registered folder stays
+
+
 def test_memory_goes_into_the_system_message(store):
     said = [{"role": "user", "content": "auth middleware"}]
     assert "checks tokens" in remember(said, store)[0]["content"] and remember(said, store)[1:] == said

@@ -1,6 +1,7 @@
 import time
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from recallforge.functions import detectors, vectors
@@ -149,3 +150,50 @@ def test_tracker(spark, tmp_path):
     q.stop()
     assert {s for s, _ in found} == {"a.md#one", "a.md#two"}
     assert {r.path for r in readers.project_files(spark, str(root)).collect()} == {"a.md"}
+
+
+def test_recovery_finds_the_checkpoint_and_the_last_exchanges(spark):
+    c = spark.createDataFrame([("a", "release work", 3), ("b", "garden plans", 1)], "checkpoint_id string, label string, entries int")
+    turns = [(i, f"exchange {i}", f"exchange number {i}", 4, "s", {"exchange": str(i)}) for i in range(1, 13)]
+    turns.append((99, "exchange", "exchange 5 again", 4, "s", {"exchange": "5"}))
+    rows = agents.checkpoint_entries(c).unionByName(spark.createDataFrame(turns, "entry_id bigint, content string, key string, kind int, source string, meta map<string,string>"))
+    entries = memory.build_entries(rows)
+    asked = spark.createDataFrame([(1, "checkpoint release work"), (2, "zzzzz")], "query_id bigint, query string")
+    found = {r.query_id: r for r in agents.recover(asked, entries, least=0.6).collect()}
+    assert found[1].recovered and '"checkpoint_id":"a"' in found[1].checkpoint
+    assert [x.exchange for x in found[1].recent] == [12, 11, 10, 9, 8]
+    assert not found[2].recovered and found[2].recent is None
+
+
+def test_pulls_follow_policies(spark, tmp_path):
+    store = exports.LocalStore(str(tmp_path))
+    for k in "abcde":
+        store.put(k, k.encode())
+    plan = spark.createDataFrame(
+        [("a", "remote_ahead", None, "write_through"), ("b", "conflict", "write_through", "write_through"), ("c", "remote_ahead", "never", "write_through"), ("d", "remote_only", None, None), ("e", "in_sync", None, "write_through")],
+        "remote_key string, status string, local_policy string, remote_policy string",
+    )
+    local = {}
+    assert exports.pull(plan, store, local, dry_run=True) == [("a", "would pull"), ("b", "conflict"), ("c", "denied"), ("d", "denied")] and not local
+    assert exports.pull(plan, store, local, force=True) == [("a", "pulled"), ("b", "pulled"), ("c", "denied"), ("d", "denied")]
+    assert local == {"a": b"a", "b": b"b"}
+
+
+def test_graph_tracker_builds_when_files_change(spark, tmp_path):
+    root, out = tmp_path / "p", str(tmp_path / "out")
+    root.mkdir()
+    (root / "a.py").write_text("def one():\n    two()\n\ndef two():\n    pass\n")
+    (root / "note.xyz").write_text("no source")
+    assert [tuple(r) for r in trackers.track_graph_once(spark, str(root), out).collect()] == [("a.py", "added")]
+    assert trackers.track_graph_once(spark, str(root), out) is None
+    (root / "a.py").write_text("def one():\n    pass\n")
+    assert [tuple(r) for r in trackers.track_graph_once(spark, str(root), out).collect()] == [("a.py", "changed")]
+    symbols, _ = graph.load(spark, f"{out}/graph")
+    assert [(r.file_path, r.n, r.symbols[0].id) for r in graph.file_info(symbols).collect()] == [("a.py", 1, "a.py::one")]
+
+
+def test_personal_data_is_warned_of(spark):
+    rows = spark.createDataFrame([("write to a@b.org",), ("none",)], "content string")
+    with pytest.warns(UserWarning, match="email"):
+        assert detectors.warn_if_pii(rows) == ["email"]
+    assert detectors.warn_if_pii(rows.filter("content = 'none'")) == []

@@ -135,6 +135,20 @@ def test_greedy_dedup_equals_a_loop(spark):
     assert sorted(r.entry_id for r in similarity.greedy_dedup(e, 0.7).filter("accepted").collect()) == kept
 
 
+@pytest.mark.parametrize("window", [1, 2, 3])
+def test_greedy_dedup_looks_back_over_a_window(spark, window):
+    names = ["red widget", "blue gadget", "red widgets", "green thing", "red widgett", "blue gadgets", "red widget x", "odd one", "green things", "red widget"]
+    e = memory.build_entries(spark.createDataFrame([(i, n, f"key {n[::-1]}") for i, n in enumerate(names)], "entry_id bigint, content string, key string"))
+    near = {(r.a, r.b) for r in similarity.similar_pairs(e, 0.7, "c").collect()}
+    kept = []
+    for i in range(len(names)):
+        if not any((j, i) in near for j in kept[-window:]):
+            kept.append(i)
+    assert sorted(r.entry_id for r in similarity.greedy_dedup(e, 0.7, window).filter("accepted").collect()) == kept
+    star = similarity.star_edges(e, "main").collect()
+    assert len(star) == len(names) and {(r.b, r.similarity) for r in star} == {("main", 1.0)}
+
+
 def test_diff(spark):
     row = "entry_id bigint, key_norm string, content string, kind string"
     old = spark.createDataFrame([(1, "a", "x", "fact"), (2, "b", "y", "fact"), (3, "c", "z", "doc")], row)
@@ -242,6 +256,25 @@ def test_vault(spark):
     assert {r.ref: r.found for r in vault.resolve(refs, sealed).collect()} == {"vault:v/n": True, "vault:v/none": False}
 
 
+def test_vault_changes_and_commands(spark):
+    spare = vault.derive_key("a", b"s" * 16)
+    wrapped = vault.wrap_key(spark, b"k" * 32, spare)
+    key = vault.unwrap_key(spark, wrapped, spare)
+    assert key == b"k" * 32
+    with pytest.raises(ValueError):
+        vault.unwrap_key(spark, wrapped, vault.derive_key("b", b"s" * 16))
+    rows = lambda *r: spark.createDataFrame(list(r), "vault string, name string, value string")
+    empty = spark.createDataFrame([], "vault string, name string, sealed string, sensitive_name boolean")
+    one = vault.put(empty, rows(("v", "n", "secret"), ("v", "m", "other")), key, F.lit("2024-01-01").cast("timestamp"))
+    two = vault.put(one, rows(("v", "n", "changed")), key, F.lit("2024-01-02").cast("timestamp"))
+    r = vault.unseal(two, key).filter("name = 'n'").first()
+    assert (r.value, r.created.day, r.updated.day) == ("changed", 1, 2) and "value" not in vault.metadata(two).columns
+    code, output = vault.run(two, key, {"TOKEN": "n"}, "v", ["sh", "-c", "echo is $TOKEN; exit 3"])
+    assert (code, output) == (3, "is [REDACTED]\n")
+    with pytest.raises(KeyError):
+        vault.environment(vault.remove(two, rows(("v", "n", None))), key, {"TOKEN": "n"}, "v")
+
+
 def test_container_round_trip_and_damage(spark, tmp_path):
     records = [container.Record(bytes(128), json.dumps({"content": "x" * n}), kind=k, deleted=d) for n, k, d in ((5, 1, False), (500, 2, True))]
     blob = container.compose({"dims": 1024, "name": "t"}, records, {"ext": b"abc"})
