@@ -9,7 +9,7 @@ from ..operators import agents, graph, memory, rack, skills, units
 from ..operators.common import at_rest
 from ..sources import exports
 from . import sql as S
-from .queries import PART, RACK_ASKED, RACK_ENTRIES, call_graph, part_cards, part_entries
+from .queries import CALLS, PART, call_graph, part_cards, part_entries
 from .registry import query
 
 _EDGES = ".,;:!?()[]{}'"
@@ -247,3 +247,41 @@ def vault_put_remove(spark, read):
     both = vault.put(first, again, key, F.lit("2024-01-02").cast("timestamp"))
     left = vault.remove(both, both.filter(F.col("name").endswith("3")).select("vault", "name"))
     return vault.unseal(left, key).select("vault", "name", (F.col("created") > F.lit("2024-01-01").cast("timestamp")).alias("fresh"), "value")
+
+
+@query(
+    f"""WITH {CALLS}, one AS (SELECT min(id) AS id FROM s WHERE name = (SELECT max(n_name) FROM nation)), d AS (SELECT DISTINCT source, target FROM e)
+SELECT one.id, (SELECT count(*) FROM d WHERE target = one.id) AS n_callers, (SELECT string_agg(source, ',' ORDER BY source) FROM d WHERE target = one.id) AS callers,
+ (SELECT count(*) FROM d WHERE source = one.id) AS n_callees, (SELECT string_agg(target, ',' ORDER BY target) FROM d WHERE source = one.id) AS callees FROM one"""
+)
+def explore_symbol(spark, read):
+    """A nation's symbol with all that call it and that it calls."""
+    name = read("nation").agg(F.max("n_name")).first()[0]
+    return graph.explore(*call_graph(read), name).select("id", "n_callers", F.array_join("callers", ",").alias("callers"), "n_callees", F.array_join("callees", ",").alias("callees"))
+
+
+@query(
+    f"""WITH q(query_id, query) AS (VALUES (1, 'nation 7'), (2, 'asia minor')), e AS (SELECT 'region' AS cartridge, r_regionkey::BIGINT AS entry_id, r_name AS key, NULL AS skill FROM region UNION ALL SELECT 'nation', n_nationkey, n_name, 'r' || n_regionkey FROM nation),
+t1 AS (SELECT key AS t FROM e UNION SELECT query FROM q), {S.encode('t1', 'f')},
+hits AS (SELECT query_id, cartridge, entry_id, skill, {S.sim('a.bits', 'b.bits')} AS confidence, 'fuzzy' AS mode FROM q JOIN f a ON query = a.t, e JOIN f b ON key = b.t WHERE {S.normalize('key')} <> {S.normalize('query')}
+ UNION ALL SELECT query_id, cartridge, entry_id, skill, 1.0, 'exact' FROM q JOIN e ON {S.normalize('key')} = {S.normalize('query')}),
+own AS (SELECT *, row_number() OVER (PARTITION BY query_id, cartridge ORDER BY mode <> 'exact', confidence DESC, entry_id DESC) AS place FROM hits WHERE confidence >= 0.6),
+best AS (SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY query_id, cartridge, coalesce(skill, '#' || entry_id) ORDER BY confidence DESC, place) = 1)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, cartridge, place))::INT AS rank, cartridge, entry_id, confidence FROM best QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, cartridge, place) <= 3"""
+)
+def rack_search_grouped(spark, read):
+    """The best hit of each group (here nations of a region) over the cartridges of a rack."""
+    meta = F.create_map(F.lit("skill"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")))
+    rows = read("nation").select(F.lit("nation").alias("cartridge"), F.col("n_nationkey").cast("bigint").alias("entry_id"), F.col("n_name").alias("content"), meta.alias("meta"))
+    rows = rows.union(read("region").select(F.lit("region"), F.col("r_regionkey").cast("bigint"), "r_name", F.create_map().cast("map<string,string>")))
+    entries = at_rest(memory.build_entries(rows, score_trust=False), "grouped")
+    q = spark.createDataFrame([(1, "nation 7"), (2, "asia minor")], "query_id bigint, query string")
+    return rack.search_grouped(q, entries).select("query_id", "rank", "cartridge", "entry_id", "confidence")
+
+
+@query(f"WITH src AS (SELECT n_name AS t FROM nation), {S.encode('src')}, b AS (SELECT t, bits::VARCHAR AS b FROM enc) SELECT t AS name, substr(b, 68) || left(b, 67) AS bits FROM b")
+def rotated_vectors(spark, read):
+    """V2: vectors shifted cyclically."""
+    turned = vectors.rotate(vectors.encoder()(F.col("n_name")), 67)
+    bits = F.array_join(F.transform(turned, lambda w: F.lpad(F.bin(w), 64, "0")), "")
+    return read("nation").select(F.col("n_name").alias("name"), bits.alias("bits"))

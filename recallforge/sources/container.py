@@ -7,8 +7,11 @@ Layout, little-endian: header length and a reserved word, header JSON, tokens
 
 from __future__ import annotations
 
+import glob
 import json
+import os
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -145,7 +148,7 @@ def rows_of(path: str, blob: bytes) -> Iterator[tuple]:
         yield path, i, r.key_bits, r.payload, r.deleted, r.kind, r.encrypted, r.binvec or None, head
 
 
-def scan(spark: SparkSession, folder: str, skip: tuple[str, ...] = ("session",), glob: str = "*.cart"):
+def scan(spark: SparkSession, folder: str, skip: tuple[str, ...] = ("session",), pattern: str = "*.cart"):
     """Entries of all containers below a folder, through Spark's file reader; files that don't parse give one row with ``error``.
 
     Names come from relative paths with ``/`` as ``__``; files with a stem in
@@ -153,7 +156,7 @@ def scan(spark: SparkSession, folder: str, skip: tuple[str, ...] = ("session",),
     """
     from pyspark.sql import functions as F
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder).select("path", "content")
     schema = "cartridge string, " + SCHEMA + ", error string"
     root = folder.rstrip("/").split("://")[-1]
 
@@ -199,21 +202,24 @@ class ContainerReader(DataSourceReader):
 
 @dataclass
 class _Part(WriterCommitMessage):
+    aside: str
     path: str
     rows: int
 
 
 class ContainerWriter(DataSourceWriter):
-    """One container a partition under the path, each written aside and renamed."""
+    """One container a partition under the path: written aside by the tasks and renamed when all of them are done.
+
+    Names hold the job's id, so appending adds files and never replaces those of
+    an earlier job; what failed or repeated tasks wrote aside is taken away.
+    """
 
     def __init__(self, options: dict, schema: StructType):
         self.folder, self.names = options["path"], schema.fieldNames()
         self.header = json.loads(options.get("header", '{"dims": 1024}'))
+        self.job = uuid.uuid4().hex
 
     def write(self, iterator) -> _Part:
-        import os
-        import uuid
-
         from pyspark import TaskContext
 
         records = []
@@ -221,12 +227,24 @@ class ContainerWriter(DataSourceWriter):
             r = dict(zip(self.names, row, strict=True))
             records.append(Record(bytes(r["key_bits"]), r["payload"], bool(r.get("deleted")), int(r.get("kind") or 0), bool(r.get("encrypted")), bytes(r.get("binvec") or b"")))
         os.makedirs(self.folder, exist_ok=True)
-        path = f"{self.folder}/part-{TaskContext.get().partitionId():05d}.cart"
-        aside = f"{path}.{uuid.uuid4().hex}.tmp"
+        task = TaskContext.get()
+        path = f"{self.folder}/part-{task.partitionId():05d}-{self.job}.cart"
+        aside = f"{path}.{task.taskAttemptId()}.tmp"
         with open(aside, "wb") as f:
             f.write(compose(self.header, records))
-        os.replace(aside, path)
-        return _Part(path, len(records))
+        return _Part(aside, path, len(records))
+
+    def commit(self, messages: list[_Part | None]) -> None:
+        for m in filter(None, messages):
+            os.replace(m.aside, m.path)
+        self._clear()
+
+    def abort(self, messages: list[_Part | None]) -> None:
+        self._clear()
+
+    def _clear(self) -> None:
+        for left in glob.glob(f"{glob.escape(self.folder)}/part-*-{self.job}.cart.*.tmp"):
+            os.remove(left)
 
 
 class ContainerSource(DataSource):
