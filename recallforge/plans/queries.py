@@ -666,9 +666,19 @@ def skill_entries(spark, read):
     return skills.entries(part_cards(read)).groupBy("source", "key", "content").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE o AS (SELECT o_custkey::VARCHAR AS agent, (o_orderkey % 6)::INT AS s, (['identity', 'instruction', 'preference', 'goal', 'decision', 'note'])[o_orderkey % 6 + 1] AS section, o_orderpriority || ' ' || o_totalprice::VARCHAR AS content,
+ left(o_orderpriority, 1)::INT AS priority, o_orderstatus = 'F' AS done, o_orderdate AS updated, o_orderkey AS seq FROM orders),
+p AS (SELECT * FROM o QUALIFY s > 2 OR row_number() OVER (PARTITION BY agent, s ORDER BY seq DESC) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY agent, s ORDER BY updated DESC, seq) AS r FROM p WHERE s <> 3 OR NOT done QUALIFY s <> 4 OR r <= 5),
+l AS (SELECT agent, s, '[' || section || '] ' || content AS line, row_number() OVER (PARTITION BY agent ORDER BY s, CASE WHEN s = 3 THEN -priority ELSE 0 END, CASE WHEN s IN (3, 4) THEN r ELSE seq END, '[' || section || '] ' || content) AS n FROM r),
+g(agent, n, used, shut, packet) AS (SELECT DISTINCT agent, 0::BIGINT, 0::BIGINT, -1, '## Agent: ' || agent FROM l
+ UNION ALL SELECT g.agent, l.n, CASE WHEN shut <> s AND used + length(line) + 2 <= 400 THEN used + length(line) + 2 ELSE used END, CASE WHEN shut <> s AND used + length(line) + 2 > 400 THEN s ELSE shut END,
+ CASE WHEN shut <> s AND used + length(line) + 2 <= 400 THEN packet || chr(10) || line ELSE packet END FROM g JOIN l ON l.agent = g.agent AND l.n = g.n + 1)
+SELECT agent, packet FROM g QUALIFY row_number() OVER (PARTITION BY agent ORDER BY n DESC) = 1"""
+)
 def agent_bootstrap(spark, read):
-    """Packets with a budget; the fold is tested against a loop."""
+    """Packets with a budget."""
     o = read("orders")
     section = F.element_at(F.array(*[F.lit(s) for s in ["identity", "instruction", "preference", "goal", "decision", "note"]]), (F.col("o_orderkey") % 6 + 1).cast("int"))
     rows = o.select(F.col("o_custkey").cast("string").alias("agent"), section.alias("section"), F.lit(None).cast("string").alias("key"), F.concat_ws(" ", "o_orderpriority", F.col("o_totalprice").cast("string")).alias("content"), F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"), F.when(F.col("o_orderstatus") == "F", "done").otherwise("open").alias("status"), F.array().cast("array<string>").alias("tags"), F.col("o_orderdate").alias("updated"), F.col("o_orderkey").alias("seq"))
